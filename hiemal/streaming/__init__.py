@@ -1,0 +1 @@
+"""The work covered here is batch only; no streaming operator is part of it."""
