@@ -81,3 +81,49 @@ def minimum_rank(df: DataFrame, family: list[str], value: str, out: str,
     t = tie_totals(df, family, value)
     pos = (F.col("n_family") - F.col("n_before") - F.col("n") + 1) if descending else F.col("n_before") + 1
     return df.join(t.select(*family, value, pos.cast("long").alias(out)), [*family, value], "left")
+
+
+def order_statistics(df: DataFrame, family: list[str], value: str, positions: dict[str, "F.Column"],
+                     ranges: int = RANGES) -> DataFrame:
+    """One row per family with the values at given 0-based positions of the sorted family.
+
+    ``positions`` maps an output name to a Column over ``n_family``.
+    """
+    t = tie_totals(df, family, value, ranges=ranges)
+    here = lambda p: (p >= F.col("n_before")) & (p < F.col("n_before") + F.col("n"))
+    aggs = [F.max(F.when(here(p), F.col(value))).alias(k) for k, p in positions.items()]
+    return t.groupBy(*family).agg(F.max("n_family").alias("n_family"), *aggs)
+
+
+def family_quantiles(df: DataFrame, family: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-rule quantiles of families of any size (n_family and one column per prob)."""
+    n = F.col("n_family")
+    pos, out = {}, []
+    for name, p in probs.items():
+        h = (n - 1) * F.lit(p)
+        pos[f"_{name}_lo"], pos[f"_{name}_hi"] = F.floor(h), F.ceil(h)
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
+    return order_statistics(df, family, value, pos).select(*family, "n_family", *out)
+
+
+def median_of_others(df: DataFrame, family: list[str], value: str, out: str, count_out: str) -> DataFrame:
+    """For every row the median of the other rows of its family, without a self join.
+
+    Leaving one row out only shifts the positions after it, so four middle values per family and
+    the row's own rank decide the answer.
+    """
+    ranked = tie_totals(df, family, value)
+    n = F.col("n_family")
+    lo, hi = F.floor((n - 2) / 2), F.floor((n - 1) / 2)
+    here = lambda p: (p >= F.col("n_before")) & (p < F.col("n_before") + F.col("n"))
+    mid = ranked.groupBy(*family).agg(*[
+        F.max(F.when(here(p), F.col(value))).alias(k)
+        for k, p in (("_lo", lo), ("_lo1", lo + 1), ("_hi", hi), ("_hi1", hi + 1))])
+    at = ranked.select(*family, value, "n_before", "n_family")
+    j = df.join(at, [*family, value], "left").join(mid, family, "left")
+    r = F.col("n_before")
+    a = F.when(lo < r, F.col("_lo")).otherwise(F.col("_lo1"))
+    b = F.when(hi < r, F.col("_hi")).otherwise(F.col("_hi1"))
+    return (j.withColumn(count_out, n - 1).withColumn(out, F.when(n > 1, (a + b) / 2))
+            .drop("n_before", "n_family", "_lo", "_lo1", "_hi", "_hi1"))
