@@ -58,9 +58,9 @@ def running_extreme(df: DataFrame, family: list[str], key: str, value: str, out:
     cut = df.join(cuts, family).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
     low = cut.groupBy(*family, "_range").agg(F.min(value).alias("_low"))
-    after = W.partitionBy(*family).orderBy("_range").rowsBetween(1, W.unboundedFollowing)
+    after = W.partitionBy(*family).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     low = low.select(*family, "_range", F.min("_low").over(after).alias("_later"))
-    inside = W.partitionBy(*family, "_range").orderBy(key).rowsBetween(0, W.unboundedFollowing)
+    inside = W.partitionBy(*family, "_range").orderBy(F.desc(key)).rowsBetween(W.unboundedPreceding, 0)
     return (
         cut.join(low, [*family, "_range"])
         .withColumn(out, F.least(F.min(value).over(inside), F.col("_later")))
