@@ -276,9 +276,9 @@ def _(spark, sf):
 # ---------------------------------------------------------------- sign reversals and episodes
 REV_SQL = f"""{NATION_SQL}, sr AS (SELECT date, avg(y) OVER w - 25.45 AS u, x, count(y) OVER w AS n FROM nat WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 14 DAYS PRECEDING AND CURRENT ROW)),
 r0 AS (SELECT date, round(u, 9) AS u, x, round(u, 9) > 0 AS pos, row_number() OVER (ORDER BY date) AS n FROM sr WHERE n = 15),
-r1 AS (SELECT *, CASE WHEN pos THEN n - row_number() OVER (PARTITION BY pos ORDER BY date) END AS run FROM r0), r2 AS (SELECT *, CASE WHEN pos THEN row_number() OVER (PARTITION BY pos, run ORDER BY date) END AS at FROM r1),
-r3 AS (SELECT *, sum(CASE WHEN at = 8 THEN 1 ELSE 0 END) OVER (ORDER BY date) AS done, u < 0 AND lag(u) OVER (ORDER BY date) >= 0 AND date - lag(date) OVER (ORDER BY date) = 1 AND month(date) IN (11, 12, 1, 2, 3) AS c,
-  min(CASE WHEN at = 4 THEN date END) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM r2),
+r1 AS (SELECT *, CASE WHEN pos THEN n - row_number() OVER (PARTITION BY pos ORDER BY date) END AS run FROM r0), r2 AS (SELECT *, CASE WHEN pos THEN row_number() OVER (PARTITION BY pos, run ORDER BY date) END AS atn FROM r1),
+r3 AS (SELECT *, sum(CASE WHEN atn = 8 THEN 1 ELSE 0 END) OVER (ORDER BY date) AS done, u < 0 AND lag(u) OVER (ORDER BY date) >= 0 AND date - lag(date) OVER (ORDER BY date) = 1 AND month(date) IN (11, 12, 1, 2, 3) AS c,
+  min(CASE WHEN atn = 4 THEN date END) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM r2),
 r4 AS (SELECT *, row_number() OVER (PARTITION BY done ORDER BY date) AS k FROM r3 WHERE c AND nx <= make_date(year(date) + CASE WHEN month(date) <= 4 THEN 0 ELSE 1 END, 4, 30)),
 rev AS (SELECT date AS central_date, u AS central_value FROM r4 WHERE k = 1)"""
 
