@@ -73,6 +73,7 @@ _RESULT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("observed", "
 
 def _summary(obs: np.ndarray, draws: np.ndarray) -> pd.DataFrame:
     """Percentile summary of replicate draws (replicates x rows); undefined replicates leave n_valid."""
+    draws = np.round(draws, 12)  # a draw of exactly zero counts on both sides, so remove rounding noise
     ok = np.isfinite(draws)
     n = ok.sum(axis=0)
     lo, hi, se = (np.full(draws.shape[1], np.nan) for _ in range(3))
@@ -186,7 +187,7 @@ def sign_flip(df: DataFrame, keys: list[str], block: str, value: str, exact_up_t
     All 2^n patterns for short arrays, otherwise random patterns with a plus-one p. Patterns are
     made in slices, so memory stays bounded.
     """
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def p(values: pd.Series) -> pd.Series:
         out = []
         for v in values:

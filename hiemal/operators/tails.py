@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def beta_cdf(a: float, b: float, x: float) -> float:
@@ -46,12 +46,12 @@ def chi2_1_tail(x):
     return math.erfc(math.sqrt(max(x, 0.0) / 2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else t_two_sided(float(a), float(b)) for a, b in zip(t, df)], dtype="Float64")
 
 
-@F.pandas_udf("struct<low: double, high: double>")
+@F.pandas_udf(T.StructType().add("low", "double").add("high", "double"))
 def binomial_interval(k: pd.Series, n: pd.Series, level: pd.Series) -> pd.DataFrame:
     """Exact (Clopper-Pearson) interval of a share."""
     out = []

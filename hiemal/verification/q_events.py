@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..operators import area, climatology as k, events as ev, reconcile as rc
+from ..operators import area, climatology as k, events as ev
+from ..session import cut_lineage
 from .q_climate import BASE, FIRST, LAST, NATION_SQL, SD_SQL, national, series, t8
 from .q_quality import KM
 from .registry import GRID_DAILY_SQL, R, STATION_XY_SQL, grid_daily, query, r6, station_xy, table
@@ -130,13 +131,18 @@ def primary_days(spark, sf, d=None, days=None):
     return e.filter("event_id IS NOT NULL").select("date", "event_id", "event_day").join(d, "date")
 
 
-def primary(spark, sf):
+def primary_plan(spark, sf):
     return ev.catalogue(primary_days(spark, sf), ["season"], METRICS, "cold_area", "cold_count")
 
 
+def primary(spark, sf):
+    """The catalogue as a materialised stage: later steps read it several times."""
+    return cut_lineage(primary_plan(spark, sf))
+
+
 @query("event_catalogue_area_weighted", "E09 E10", f"""WITH {CAT_SQL} SELECT season, event_id, start_date, end_date, duration_days, peak_date, duration_group, max_cold_count, {', '.join(R(c) + ' AS ' + c for c in ('min_cold_area', 'max_cold_area', 'mean_cold_area', 'sum_cold_area', 'sum_weighted_deficit', 'min_weighted_mean', 'sum_mild_area'))} FROM cat""")
 def _(spark, sf):
-    c = primary(spark, sf)
+    c = primary_plan(spark, sf)
     return c.select("season", "event_id", "start_date", "end_date", "duration_days", "peak_date", "duration_group", "max_cold_count",
                     *[r6(x).alias(x) for x in ("min_cold_area", "max_cold_area", "mean_cold_area", "sum_cold_area", "sum_weighted_deficit", "min_weighted_mean", "sum_mild_area")])
 

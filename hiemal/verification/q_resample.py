@@ -30,7 +30,7 @@ bs AS (SELECT {ks}i, {sums} FROM {src} JOIN bl ON {block} = b WHERE {value} IS N
 
 
 BOOT_OUT = (f"{R('quantile_cont(d, 0.025)', 5)} AS ci_low, {R('quantile_cont(d, 0.975)', 5)} AS ci_high, count(*) AS n_valid, "
-            + R("least(1.0, 2.0 * (least(count(*) FILTER (WHERE d <= 0), count(*) FILTER (WHERE d >= 0)) + 1) / (count(*) + 1))") + " AS p_value")
+            + R("least(1.0, 2.0 * (least(count(*) FILTER (WHERE round(d, 12) <= 0), count(*) FILTER (WHERE round(d, 12) >= 0)) + 1) / (count(*) + 1))") + " AS p_value")
 
 
 def boot_cols(df, keys):
@@ -99,12 +99,12 @@ def _(spark, sf):
 
 
 @query("joined_covariates", "A08", f"""WITH {NATION_SQL}, {GRID_DAILY_SQL}, b AS (SELECT time AS date, avg(t) AS box_t FROM grid WHERE lat <= 35 GROUP BY 1), c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, 1 AS has_order FROM orders)
-SELECT nat.date, {R('x')} AS x, {R('y')} AS y, {R('box_t')} AS box_t, {R('box_t - p.pt')} AS box_t_tend, has_order FROM nat LEFT JOIN b USING (date) LEFT JOIN (SELECT CAST(date + 1 AS DATE) AS date, box_t AS pt FROM b) p USING (date) LEFT JOIN c USING (date)""")
+SELECT nat.date, {R('y')} AS y, {R('box_t')} AS box_t, {R('box_t - p.pt')} AS box_t_tend, has_order FROM nat LEFT JOIN b USING (date) LEFT JOIN (SELECT CAST(date + 1 AS DATE) AS date, box_t AS pt FROM b) p USING (date) LEFT JOIN c USING (date)""")
 def _(spark, sf):
     b = grid_daily(spark, sf).filter("lat <= 35").groupBy(F.col("time").alias("date")).agg(F.avg("t").alias("box_t"))
     b = k.tendency(b, [], "date", "box_t", "box_t_tend")
     c = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), F.lit(1).alias("has_order")).distinct()
-    return rounded(al.join_families(national(spark, sf).select("date", "x", "y"), [b, c]), "x", "y", "box_t", "box_t_tend")
+    return rounded(al.join_families(national(spark, sf).select("date", "y"), [b, c]), "y", "box_t", "box_t_tend")
 
 
 @query("window_features", "A09")
@@ -134,7 +134,7 @@ def _(spark, sf):
     return boot_cols(d.filter("n_valid > 0"), ["lat", "lon"])
 
 
-@query("duration_trend", "B12", f"""WITH {SWEEP_SQL}, ca AS (SELECT scenario, season, event_id, count(*) AS d FROM evd WHERE event_id IS NOT NULL GROUP BY 1, 2, 3), {boot('ca', 'scenario', 'd', draw='(sum(w*n)*sum(w*xy) - sum(w*x)*sum(w*yv)) / nullif(round(sum(w*n)*sum(w*xx) - pow(sum(w*x), 2), 9), 0)', sums='count(*) AS n, sum(season / 10.0::DOUBLE - 199.5) AS x, sum(d)::DOUBLE AS yv, sum(pow(season / 10.0::DOUBLE - 199.5, 2)) AS xx, sum((season / 10.0::DOUBLE - 199.5) * d) AS xy')}, ob AS (SELECT scenario, {R('regr_slope(d, season / 10.0::DOUBLE)', 5)} AS observed FROM ca GROUP BY 1)
+@query("duration_trend", "B12", f"""WITH {SWEEP_SQL}, trd AS (SELECT scenario, season, event_id, count(*) AS d FROM evd WHERE event_id IS NOT NULL GROUP BY 1, 2, 3), {boot('trd', 'scenario', 'd', draw='(sum(w*n)*sum(w*xy) - sum(w*x)*sum(w*yv)) / nullif(round(sum(w*n)*sum(w*xx) - pow(sum(w*x), 2), 9), 0)', sums='count(*) AS n, sum(season / 10.0::DOUBLE - 199.5) AS x, sum(d)::DOUBLE AS yv, sum(pow(season / 10.0::DOUBLE - 199.5, 2)) AS xx, sum((season / 10.0::DOUBLE - 199.5) * d) AS xy')}, ob AS (SELECT scenario, {R('regr_slope(d, season / 10.0::DOUBLE)', 5)} AS observed FROM trd GROUP BY 1)
 SELECT scenario, any_value(observed) AS observed, {R('quantile_cont(d, 0.025)', 4)} AS ci_low, {R('quantile_cont(d, 0.975)', 4)} AS ci_high FROM dr JOIN ob USING (scenario) GROUP BY 1""")
 def _(spark, sf):
     c = swept(spark, sf).filter("event_id IS NOT NULL").groupBy("scenario", "season", "event_id").agg(F.count(F.lit(1)).cast("double").alias("d"))
@@ -166,7 +166,7 @@ def _(spark, sf):
     return rounded(rs.benjamini_hochberg(f, ["lat"], "p_value"), "mean_difference", "p_value", "q_value")
 
 
-BH_SQL = """t AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, CASE WHEN l_quantity > 3 THEN round(l_extendedprice / 120000, 6) END AS p FROM lineitem)"""
+BH_SQL = """t AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, CASE WHEN l_quantity > 3 THEN l_extendedprice / 120000 END AS p FROM lineitem)"""
 
 
 def _bh(part, out):
@@ -176,11 +176,11 @@ def _bh(part, out):
 
 @query("false_discovery_by_family", "B07 B08", f"""WITH {BH_SQL}, a AS (SELECT *, count(*) OVER (PARTITION BY l_returnflag) AS cnt, rank() OVER (PARTITION BY l_returnflag ORDER BY p) + count(*) OVER (PARTITION BY l_returnflag, p) - 1 AS rk FROM t WHERE p IS NOT NULL),
 b AS (SELECT *, {_bh('l_returnflag', '')} AS qf FROM a), g0 AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, p, qf, count(*) OVER () AS cnt, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS rk FROM b), g AS (SELECT *, {_bh('', '')} AS qa FROM g0)
-SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, {R('p')} AS p, {R('qf')} AS q_family, {R('qa')} AS q_all FROM g UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, NULL, NULL, NULL FROM t WHERE p IS NULL""")
+SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, {R('qf')} AS q_family, {R('qa')} AS q_all FROM g UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, NULL, NULL FROM t WHERE p IS NULL""")
 def _(spark, sf):
-    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", F.when(F.col("l_quantity") > 3, F.round(F.col("l_extendedprice") / 120000, 6)).alias("p"))
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", F.when(F.col("l_quantity") > 3, F.col("l_extendedprice") / 120000).alias("p"))
     q = rs.benjamini_hochberg(rs.benjamini_hochberg(t, ["l_returnflag"], "p", "q_family"), [], "p", "q_all")
-    return rounded(q, "p", "q_family", "q_all")
+    return rounded(q.drop("p"), "q_family", "q_all")
 
 
 # ---------------------------------------------------------------- rank correlation
@@ -216,7 +216,7 @@ def _(spark, sf):
 NULL_SQL = f"""{REV_SQL}, c0 AS (SELECT strftime(central_date, '%Y%m%d') AS id, central_date AS date, year(central_date) - CASE WHEN month(central_date) <= 6 THEN 1 ELSE 0 END AS own FROM rev), c1 AS (SELECT id, date, s.s, s.s + CASE WHEN month(date) >= 7 THEN 0 ELSE 1 END AS y FROM c0, (SELECT unnest(range(1995, 2001)) AS s) s WHERE s.s <> own),
 c2 AS (SELECT id, date, CAST(least(make_date(y, month(date), 1) + INTERVAL (day(date) - 1) DAY, make_date(y, month(date), 1) + INTERVAL 1 MONTH - INTERVAL 1 DAY) AS DATE) AS candidate FROM c1), c3 AS (SELECT c2.*, EXISTS (SELECT 1 FROM c0 WHERE abs(c0.date - c2.candidate) <= 20) AS taken FROM c2),
 adm AS (SELECT id, date, candidate, false AS fallback FROM c3 WHERE NOT taken UNION ALL SELECT id, date, candidate, true FROM c3 WHERE id NOT IN (SELECT id FROM c3 WHERE NOT taken)),
-nul AS (SELECT CAST(r AS INTEGER) AS rep, id, bool_or(fallback) AS fallback, list(candidate ORDER BY candidate)[CAST('0x' || substr(md5('9:' || CAST(r AS VARCHAR) || ':' || id), 1, 8) AS BIGINT) % count(*) + 1] AS null_date FROM adm, (SELECT unnest(range({REPS})) AS r) GROUP BY 1, 2)"""
+nul AS (SELECT CAST(r AS INTEGER) AS rep, id, bool_or(fallback) AS fallback, list(candidate ORDER BY candidate)[CAST('0x' || substr(md5('9:' || CAST(any_value(r) AS VARCHAR) || ':' || id), 1, 8) AS BIGINT) % count(*) + 1] AS null_date FROM adm, (SELECT unnest(range({REPS})) AS r) GROUP BY 1, 2)"""
 
 
 def reversal_dates(spark, sf):
