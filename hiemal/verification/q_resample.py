@@ -33,8 +33,11 @@ BOOT_OUT = (f"{R('quantile_cont(d, 0.025)', 5)} AS ci_low, {R('quantile_cont(d,
             + R("least(1.0, 2.0 * (least(count(*) FILTER (WHERE round(d, 12) <= 0), count(*) FILTER (WHERE round(d, 12) >= 0)) + 1) / (count(*) + 1))") + " AS p_value")
 
 
-def boot_cols(df, keys):
-    return df.select(*keys, r6("ci_low", 5).alias("ci_low"), r6("ci_high", 5).alias("ci_high"), "n_valid", r6("p_value").alias("p_value"))
+MAP_OUT = BOOT_OUT.replace("DOUBLE, 5)", "DOUBLE, 3)")
+
+
+def boot_cols(df, keys, digits=5):
+    return df.select(*keys, r6("ci_low", digits).alias("ci_low"), r6("ci_high", digits).alias("ci_high"), "n_valid", r6("p_value").alias("p_value"))
 
 
 # ---------------------------------------------------------------- alignment
@@ -121,17 +124,17 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- bootstrap, slopes, leave one out
-@query("map_bootstrap", "B05 B03", f"""WITH {LAG_SQL}, e0 AS (SELECT * FROM ea WHERE lag = 0), {boot('e0', 'lat, lon', 'a')} SELECT lat, lon, {BOOT_OUT} FROM dr GROUP BY 1, 2""")
+@query("map_bootstrap", "B05 B03", f"""WITH {LAG_SQL}, e0 AS (SELECT * FROM ea WHERE lag = 0), {boot('e0', 'lat, lon', 'a')} SELECT lat, lon, {MAP_OUT} FROM dr GROUP BY 1, 2""")
 def _(spark, sf):
-    return boot_cols(rs.bootstrap_mean(_event_fields(spark, sf).filter("lag = 0"), ["lat", "lon"], "t_anom", "season", REPS, 42), ["lat", "lon"])
+    return boot_cols(rs.bootstrap_mean(_event_fields(spark, sf).filter("lag = 0"), ["lat", "lon"], "t_anom", "season", REPS, 42), ["lat", "lon"], 3)
 
 
 @query("map_group_difference", "B05 B04", f"""WITH {LAG_SQL}, e0 AS (SELECT * FROM ea WHERE lag BETWEEN 0 AND 2), {boot('e0', 'lat, lon', 'a', draw=DIFF_DRAW, sums="coalesce(sum(a) FILTER (WHERE duration_group <> 'short'), 0) AS sa, count(a) FILTER (WHERE duration_group <> 'short') AS na, coalesce(sum(a) FILTER (WHERE duration_group = 'short'), 0) AS sb, count(a) FILTER (WHERE duration_group = 'short') AS nb")}
-SELECT lat, lon, {BOOT_OUT} FROM dr GROUP BY 1, 2""")
+SELECT lat, lon, {MAP_OUT} FROM dr GROUP BY 1, 2""")
 def _(spark, sf):
     short = F.col("duration_group") == "short"
     d = rs.bootstrap_difference(_event_fields(spark, sf).filter("lag BETWEEN 0 AND 2"), ["lat", "lon"], "t_anom", "season", ~short, short, REPS, 42)
-    return boot_cols(d.filter("n_valid > 0"), ["lat", "lon"])
+    return boot_cols(d.filter("n_valid > 0"), ["lat", "lon"], 3)
 
 
 @query("duration_trend", "B12", f"""WITH {SWEEP_SQL}, trd AS (SELECT scenario, season, event_id, count(*) AS d FROM evd WHERE event_id IS NOT NULL GROUP BY 1, 2, 3), {boot('trd', 'scenario', 'd', draw='(sum(w*n)*sum(w*xy) - sum(w*x)*sum(w*yv)) / nullif(round(sum(w*n)*sum(w*xx) - pow(sum(w*x), 2), 9), 0)', sums='count(*) AS n, sum(season / 10.0::DOUBLE - 199.5) AS x, sum(d)::DOUBLE AS yv, sum(pow(season / 10.0::DOUBLE - 199.5, 2)) AS xx, sum((season / 10.0::DOUBLE - 199.5) * d) AS xy')}, ob AS (SELECT scenario, {R('regr_slope(d, season / 10.0::DOUBLE)', 5)} AS observed FROM trd GROUP BY 1)
