@@ -43,7 +43,7 @@ def bridge_gaps(daily: DataFrame, keys: list[str], base: str, usable: str, share
     return daily.withColumn("bridge_day", bridge).withColumn("candidate_day", b | F.col("bridge_day"))
 
 
-def sweep(daily: DataFrame, scenarios: list[dict], season: str = "season", usable: str = "usable", date: str = "date") -> DataFrame:
+def sweep(daily: DataFrame, scenarios: list[dict], season: str = "season", usable: str = "usable", date: str = "date", keep: list[str] | None = None) -> DataFrame:
     """Event days of the same daily table under several rule sets.
 
     Each scenario: id, column, share, min_days and optionally marginal (one-day gap bridging).
@@ -52,7 +52,7 @@ def sweep(daily: DataFrame, scenarios: list[dict], season: str = "season", usabl
     spec = F.array(*[F.struct(
         F.lit(s["id"]).alias("scenario"), F.lit(float(s["share"])).alias("_share"), F.lit(int(s["min_days"])).alias("_min"),
         F.lit(s.get("marginal")).cast("double").alias("_marginal"), F.col(s["column"]).cast("double").alias("area_share")) for s in scenarios])
-    d = daily.select(date, season, usable, F.inline(spec)).withColumn("area_share", F.round("area_share", 9))
+    d = daily.select(date, season, usable, *(keep or []), F.inline(spec)).withColumn("area_share", F.round("area_share", 9))
     d = d.withColumn("base_day", F.col(usable) & F.coalesce(F.col("area_share") >= F.col("_share"), F.lit(False)))
     keys = ["scenario", season]
     d = bridge_gaps(d, keys, "base_day", usable, "area_share", F.col("_marginal"), date)

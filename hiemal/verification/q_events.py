@@ -110,7 +110,8 @@ evd AS (SELECT *, CASE WHEN qualifying THEN scenario || '_' || CAST(season AS VA
 
 
 def swept(spark, sf):
-    return ev.sweep(daily(spark, sf), SCENARIOS)
+    """All rule sets over the materialised daily table, which they read several times."""
+    return ev.sweep(cut_lineage(daily(spark, sf)), SCENARIOS)
 
 
 @query("scenario_sweep_days", "E06 E07 E08", f"WITH {SWEEP_SQL} SELECT scenario, date, season, {R('area_share', 7)} AS area_share, base_day, bridge_day, candidate_day, candidate_run_length, qualifying, CAST(event_day AS INTEGER) AS event_day, event_id FROM evd")
@@ -125,10 +126,12 @@ pk AS (SELECT event_id, date AS peak_date FROM (SELECT *, row_number() OVER (PAR
 cat AS (SELECT cat0.*, peak_date, CASE WHEN duration_days = 3 THEN 'short' WHEN duration_days >= 6 THEN 'persistent' ELSE 'intermediate' END AS duration_group FROM cat0 JOIN pk USING (event_id))"""
 
 
-def primary_days(spark, sf, d=None, days=None):
+DAY_COLUMNS = ["observed_count", "cold_count", "severe_count", "observed_area", "cold_area", "severe_area", "weighted_mean", "lowest_value", "weighted_deficit", "mild_area"]
+
+
+def primary_days(spark, sf, d=None):
     d = d if d is not None else daily(spark, sf)
-    e = ev.sweep(d, SCENARIOS[:1]) if days is None else days.filter("scenario = 'PRIMARY'")
-    return e.filter("event_id IS NOT NULL").select("date", "event_id", "event_day").join(d, "date")
+    return ev.sweep(d, SCENARIOS[:1], keep=DAY_COLUMNS).filter("event_id IS NOT NULL")
 
 
 def primary_plan(spark, sf):
@@ -182,7 +185,7 @@ def _(spark, sf):
 SELECT event_id, 'missing_side' AS issue FROM j WHERE n IS NULL UNION ALL SELECT event_id, 'not_contiguous' FROM j WHERE b - a + 1 <> n UNION ALL SELECT event_id, 'catalogue_differs' FROM j WHERE a <> start_date OR b <> end_date OR duration_days <> n
 UNION ALL SELECT event_id, 'too_short' FROM j WHERE n < 3 UNION ALL SELECT event_id, 'below_threshold' FROM j WHERE low < 0.07""")
 def _(spark, sf):
-    d = primary_days(spark, sf)
+    d = cut_lineage(primary_days(spark, sf))
     return ev.catalogue_issues(d.filter(F.dayofmonth("date") != 10), ev.catalogue(d, ["season"], {}, "cold_area", "cold_count"), 3, 0.07)
 
 
@@ -251,9 +254,9 @@ def _(spark, sf):
 @query("frozen_event_days", "E20", f"""WITH {ROBUST_SQL}, f AS (SELECT cat.event_id, start_date, end_date, robustness_class, CAST(start_date - 10 AS DATE) AS window_start, CAST(end_date + 10 AS DATE) AS window_end FROM cat LEFT JOIN robc USING (event_id))
 SELECT event_id, start_date, end_date, robustness_class, window_start, window_end, CAST(d AS DATE) AS date, CAST(CAST(d AS DATE) - start_date AS INTEGER) AS "offset" FROM (SELECT *, unnest(generate_series(window_start, window_end, INTERVAL 1 DAY)) AS d FROM f)""")
 def _(spark, sf):
-    dl = daily(spark, sf)
+    dl = cut_lineage(daily(spark, sf))
     d = ev.sweep(dl, SCENARIOS)
-    fr = ev.freeze(ev.catalogue(primary_days(spark, sf, dl, d), ["season"], {}, "cold_area", "cold_count"), ev.robustness(compared(spark, sf, d)))
+    fr = ev.freeze(ev.catalogue(primary_days(spark, sf, dl), ["season"], {}, "cold_area", "cold_count"), ev.robustness(compared(spark, sf, d)))
     return ev.event_days(fr, 10, 10, ["robustness_class", "window_start", "window_end"])
 
 
