@@ -55,7 +55,7 @@ def pooled_moments(base: DataFrame, keys: list[str], value: str, slot: str, half
                       F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sd"))
 
 
-def calendar_anomaly(df: DataFrame, keys: list[str], value: str, slot: str, half: int, baseline: Column,
+def calendar_anomaly(df: DataFrame, keys: list[str], value: str, slot: str, half: int, baseline: Column | str,
                      period: int = 365, scale: bool = False) -> DataFrame:
     """Departure from the pooled calendar-day mean of the baseline (z-score if ``scale``)."""
     clim = pooled_moments(df.filter(baseline), keys, value, slot, half, period)
@@ -81,7 +81,7 @@ def robust_calendar(base: DataFrame, keys: list[str], value: str, slot: str, hal
         q.linear(F.col("_x"), 0.01).alias("clim_p01"), q.linear(F.col("_x"), 0.99).alias("clim_p99"))
 
 
-def month_day_climatology(df: DataFrame, keys: list[str], value: str, month_day: str, baseline: Column | None = None,
+def month_day_climatology(df: DataFrame, keys: list[str], value: str, month_day: str, baseline: Column | str | None = None,
                           quantiles: bool = False) -> DataFrame:
     """Mean, sample SD, count (and p75, p90) per month-day without a window."""
     b = df.filter(baseline) if baseline is not None else df
@@ -215,7 +215,7 @@ def detrend(df: DataFrame, keys: list[str], date: str, values: list[str]) -> Dat
 
 
 # ---------------------------------------------------------------- grids
-def grid_climatology(grid: DataFrame, cell: list[str], values: list[str], time: str = "time", baseline: Column | None = None) -> DataFrame:
+def grid_climatology(grid: DataFrame, cell: list[str], values: list[str], time: str = "time", baseline: Column | str | None = None) -> DataFrame:
     """Mean and count per (month-day, cell); partial aggregation plays the accumulator."""
     g = grid.filter(baseline) if baseline is not None else grid
     aggs = []

@@ -9,11 +9,8 @@ from ..functions.text import pack_codes
 from ..plans.ordered import family_quantiles
 from .climatology import pooled_moments
 
-F_ = F.lit(False)
-
-
 def _true(c: Column) -> Column:
-    return F.coalesce(c, F_)
+    return F.coalesce(c, F.lit(False))
 
 
 # ---------------------------------------------------------------- first pass
@@ -50,7 +47,7 @@ def first_pass(df: DataFrame, tmin_range=(-5.0, 40.0), tmax_range=(0.0, 50.0), h
         "duplicate_conflict": text("duplicate_status").contains("conflict"),
         "source_numeric_conflict": text("reconciliation_status").contains("numeric_conflict"),
         "source_duplicate_conflict": text("reconciliation_status").contains("conflicting_duplicate"),
-        "metadata_pending": _true(F.col("metadata_pending")) if "metadata_pending" in has else F_,
+        "metadata_pending": _true(F.col("metadata_pending")) if "metadata_pending" in has else F.lit(False),
     }
     out = df.select(*[c for c in df.columns if c != "metadata_pending"], rng.alias("diurnal_range"),
                     *[c.alias(k) for k, c in flags.items()])
@@ -267,7 +264,7 @@ def spatial_decision(df: DataFrame, value: str = "value", source: str = "source"
             .withColumn("value_changed", changed(F.col(value), F.col(f"{value}_clean"))))
 
 
-def screen_maximum(df: DataFrame, slot: str, baseline: Column, valid_range=(0.0, 45.0), half: int = 7, sd_limit: float = 5.0,
+def screen_maximum(df: DataFrame, slot: str, baseline: Column | str, valid_range=(0.0, 45.0), half: int = 7, sd_limit: float = 5.0,
                    min_day_stations: int = 10, departure: float = 10.0) -> DataFrame:
     """Sequential screen of tmax: range, below tmin, calendar SD outlier (rejected); departure from
     the day's median anomaly (flagged, retained). Adds tmax_screened, decision and reason.

@@ -21,7 +21,7 @@ def series(spark, sf):
         cal.month_day(d).alias("month_day"))
 
 
-BASE = F.col("year").between(FIRST, LAST)
+BASE = f"year BETWEEN {FIRST} AND {LAST}"
 
 
 def t8(arr: str, p: float) -> str:
