@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .resample import benjamini_hochberg, block_list, p_from_tails, plan_matrix
+from .resample import benjamini_hochberg, block_list, p_from_tails, plan_matrix, refuse_large
 from .tails import chi2_1_tail
 from ..plans.ordered import tie_totals
 
@@ -138,10 +138,7 @@ def pack_models(rs: DataFrame, keys: list[str], columns: list[Column], block: st
         ok = ok & c.isNotNull()
     no = F.array_position(F.array(*[F.lit(b) for b in blocks]), F.col(block)).cast("int") - 1
     e = rs.filter(ok).select(*keys, F.struct(no.alias("b"), F.col(y).cast("double").alias("y"), F.array(*[c.cast("double") for c in columns]).alias("x")).alias("_e"))
-    n = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    big = n.filter(F.col("n") > MAX_PACKED).limit(1).collect()
-    if big:
-        raise ValueError("model too large to pack: use fit_large or fit_replicates_large")
+    refuse_large(e, keys, MAX_PACKED, "pack_models (use fit_large or fit_replicates_large)")
     return e.groupBy(*keys).agg(F.sort_array(F.collect_list("_e")).alias("_d"))
 
 
@@ -352,6 +349,7 @@ def nested_predictions(rs: DataFrame, candidates: list[str], adjust: list[str],
 
     e = rs.dropna(subset=[*cols, "terminates"]).select(F.struct(row_id.cast("string").alias("i"), F.col(block).alias("b"), F.col("terminates").cast("double").alias("y"),
                                                                F.array(*[F.col(c).cast("double") for c in cols]).alias("x")).alias("_e"))
+    refuse_large(e, [], MAX_PACKED, "nested_predictions")
     p = e.agg(F.sort_array(F.collect_list("_e")).alias("_d")).withColumn("fold", F.explode(F.array(*[F.lit(b) for b in blocks]))).repartition("fold")
     return p.select(F.inline(run("_d", "fold")))
 
@@ -403,6 +401,7 @@ def score_intervals(pred: DataFrame, keys: list[str], block: str, reps: int = 10
             out.append((*np.nanpercentile(da, [2.5, 97.5]), *np.nanpercentile(db, [2.5, 97.5]), slope))
         return pd.DataFrame(out, columns=schema.names)
 
+    refuse_large(pred, keys, MAX_PACKED, "score_intervals")
     p = pred.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(block).alias("b"), "y", F.col("p_adjust").alias("a"), F.col("p_full").alias("f")))).alias("_d"))
     return p.select(*keys, run("_d").alias("_r")).select(*keys, "_r.*")
 
