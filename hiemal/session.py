@@ -1,11 +1,15 @@
 """Session settings and lineage cutting."""
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STAGE_KEY = "spark.checkpoint.dir"
+
 
 def build_session(cores: str = "*", app: str = "hiemal") -> SparkSession:
     """A local session with the settings the library is tested under."""
@@ -23,14 +27,35 @@ def build_session(cores: str = "*", app: str = "hiemal") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def stage_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    A folder of our own is used only when the session has none (tests).
+    Where it is unset, a local master gets a folder of the application that goes when Python ends; on a cluster
+    that is an error, as executors and driver would not see the same files.
     """
-    spark = df.sparkSession
+    named = spark.conf.get(STAGE_KEY, None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError(f"set {STAGE_KEY} to a folder that the driver and all executors share")
+    folder = f"{sc._jvm.System.getProperty('java.io.tmpdir')}/spark-stages-{sc.applicationId}"
+    if not os.path.isdir(folder):
+        os.makedirs(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(stage_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: smaller than a checkpoint, read by column."""
+    path = f"{stage_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
