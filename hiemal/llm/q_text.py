@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage_folder
 from . import byte_bpe
+from .passages import repeated_passages
 from .queries import query, table
 from .simhash import simhash_components
 from .token_files import checksums, places, read_tokens, write_tokens
@@ -33,3 +34,8 @@ def op10(spark, sf_dir):
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
     out = byte_bpe.decode(coded, ranks, ["doc_id", "n_tokens", "ids"])
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_compact_windows")
+def op8(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
