@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ragged, small_batches, worker_cache
+from .common import map_arrow, ragged, small_batches, worker_cache
 from .ragged import PieceTable
 
 # What a character means for the split: letter, number, other, white space before white space or the end of the text,
@@ -130,11 +130,9 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int], long_piece: int = 48):
         self.ranks, self.long_piece = ranks, long_piece
-        self.bytes = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            self.bytes[i] = token
-        self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.decimals = [str(i) for i in range(len(self.bytes))]
+        self.none = max(ranks.values()) + 1
+        self.size = np.zeros(self.none, np.int64)
+        self.size[list(ranks.values())] = [len(b) for b in ranks]
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         pairs = []
         for token, i in ranks.items():
@@ -143,7 +141,6 @@ class Merges:
                 if a is not None and b is not None:
                     pairs.append((a << 32 | b, i))
         pairs.sort()
-        self.none = len(self.bytes)
         self.bits = max(20, (4 * len(pairs)).bit_length())
         keys, joined = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
         # open addressing: a slot holds a pair and its rank, the next slots are tried in turn
@@ -266,6 +263,16 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """Bytes of each id; decoding needs no more."""
+    with open(path, "rb") as f:
+        ranks = load_ranks(f.read())
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        out[i] = token
+    return out
+
+
 class Coder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -303,7 +310,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
             ids, counts = coder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), ragged(ids, counts), ragged(coder.offsets(ids, counts), counts)], [id_col, "ids", "offsets"])
 
-    return docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")), run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -312,11 +319,11 @@ def decode(encoded: DataFrame, ranks_path: str, keep: list[str], ids_col: str =
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "decoded binary"])
 
     def run(batches):
-        names = worker_cache(("byte_bpe", ranks_path), lambda: Coder(ranks_path)).merges.bytes
+        names = worker_cache(("token_bytes", ranks_path), lambda: token_bytes(ranks_path))
         for batch in batches:
             out = []
             for line in batch.column(len(keep)):
                 out.append(None if not line.is_valid else b"".join([names[i] for i in line.values.to_numpy().tolist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*keep, "decoded"])
 
-    return encoded.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(run, schema)
+    return map_arrow(encoded.select(*keep, F.col(ids_col).alias("_ids")), run, schema)

@@ -20,6 +20,18 @@ def worker_cache(key, build):
     return host.__dict__[key]
 
 
+BATCH_ROWS = 2000
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with Arrow batches of at most BATCH_ROWS rows: whole texts are large rows, and the default of the
+    session (10,000) would make buffers of many megabytes in every task. A smaller setting of the session stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def small_batches(batches, column: str, limit: int = 2 << 20):
     """Arrow batches again, cut so that ``column`` (text) holds about ``limit`` bytes in each; no row is split."""
     for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage_table
-from .common import small_batches
+from .common import map_arrow, small_batches
 
 STATISTICS = ("log_words", "log_chars", "word_length", "upper", "digit", "punctuation", "symbol", "white", "non_ascii", "entropy", "distinct_words",
               "repeated_word", "top_word", "upper_words", "symbol_words", "sentence_ends", "pipes", "exclaims", "distinct_lines", "log_line", "short_words", "longest_word")
@@ -65,7 +65,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS)), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], [id_col, "stats"])
 
-    return docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, stats array<float>")
+    return map_arrow(docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, stats array<float>")
 
 
 def matrix(column, width: int) -> np.ndarray:
@@ -212,4 +212,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             rows = np.array([statistics_of(t or "") for t in batch.column(at).to_pylist()], np.float32)
             yield batch.filter(pa.array(model.score(rows.astype(np.float64)) >= cut))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

@@ -13,7 +13,7 @@ class PieceTable:
     pieces the table starts anew, which costs time but changes no result.
     """
 
-    def __init__(self, encode_many, limit: int = 400_000):
+    def __init__(self, encode_many, limit: int = 200_000):
         self.encode_many, self.limit = encode_many, limit
         self.clear()
 

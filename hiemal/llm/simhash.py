@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage_table
-from .common import salted_lookup
+from .common import map_arrow, salted_lookup
 from .components import components
 
 RADIUS = 2
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             marks = np.fromiter((fingerprint_of(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], [id_col, "fingerprint"])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, F.col(text_col).cast("string")), run, schema)
 
 
 def bit_masks(radius: int, level: int, taken: int = 0) -> list[int]:
@@ -150,7 +150,7 @@ def near_links(values: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
                 a, b = (np.array(x, np.uint64).view(np.int64) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        here = fit.select("mask", "part", "fingerprint").mapInArrow(run, "a bigint, b bigint")
+        here = map_arrow(fit.select("mask", "part", "fingerprint"), run, "a bigint, b bigint")
         links = here if links is None else links.unionByName(here)
         rows = keyed.where(full).select("fingerprint", "mask")
         if level == LEVELS or rows.isEmpty():

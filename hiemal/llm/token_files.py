@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .byte_bpe import WHITE_SPACE
-from .common import ragged, small_batches, worker_cache
+from .common import map_arrow, ragged, small_batches, worker_cache
 from .ragged import PieceTable
 
 #: Columns of a token table. ``part`` and ``row`` give a document's place: parts follow each other in document order.
@@ -72,7 +72,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     kind = dict(docs.dtypes)[id_col]
     placed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     placed = placed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
-    coded = placed.select(F.monotonically_increasing_id().alias("_m"), "doc_id", "_text").mapInArrow(run, f"_m bigint, doc_id {kind}, n_tokens bigint, ids array<int>")
+    coded = map_arrow(placed.select(F.monotonically_increasing_id().alias("_m"), "doc_id", "_text"), run, f"_m bigint, doc_id {kind}, n_tokens bigint, ids array<int>")
     coded.select(F.shiftright("_m", 33).cast("int").alias("part"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), "doc_id", "n_tokens", "ids").write.options(**{
         "compression": "zstd", "parquet.block.size": row_group_bytes, "parquet.page.row.count.limit": page_rows, "parquet.writer.version": "v2",
         "parquet.enable.dictionary#ids.list.element": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#row": "false",
@@ -108,4 +108,4 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
     kinds = dict(tokens.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in COLUMNS[:4]) + ", ids_crc32 bigint"
-    return tokens.select(*COLUMNS).mapInArrow(run, schema)
+    return map_arrow(tokens.select(*COLUMNS), run, schema)

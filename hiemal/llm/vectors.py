@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage_table
 from .components import components
-from .common import salted_lookup
+from .common import map_arrow, salted_lookup
 
 # ------------------------------------------------------------------ near-duplicates
 TABLES = 20
@@ -63,7 +63,7 @@ def bucket_codes(vectors: DataFrame, tables: int, per_table: int, width: float,
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, "codes"])
 
-    return vectors.mapInArrow(run, schema)
+    return map_arrow(vectors, run, schema)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if found is not None:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["node", "links", "root"])
 
-    found = stage_table(packed.mapInArrow(run, "node bigint, links bigint, root bigint"))
+    found = stage_table(map_arrow(packed, run, "node bigint, links bigint, root bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     member = components(found, "node", "root").select("node", F.col("root").alias("top"))
     named = nodes.select("_same", "node", "first", "copies").join(links, "node", "left").join(member, "node", "left").withColumn("top", F.coalesce("top", "node"))
@@ -292,7 +292,8 @@ def top_products(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 least.append(float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.float64())], ["_id", "_v", "_norm", "least"])
 
-    queries = rows.where(F.col("_id") % every == 0).mapInArrow(floors, "_id bigint, _v array<double>, _norm double, least double")
+    queries = rows.where(F.col("_id") % every == 0)
+    queries = map_arrow(queries, floors, "_id bigint, _v array<double>, _norm double, least double")
     limits = F.array(*[F.lit(float(c)) for c in caps])
     # a bucket is out if even its longest vector, in the query's direction, stays below
     reach = F.filter(F.sequence(F.lit(0), F.lit(len(caps) - 1)), lambda i: F.col("least").isNull() | (F.col("least") <= 0) | (F.col("_norm") * limits[i] * (1 + 1e-9) >= F.col("least")))
@@ -328,6 +329,6 @@ def top_products(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
-    found = both.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    found = map_arrow(both, search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows per block at most
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
