@@ -23,7 +23,8 @@ def op3(spark, sf_dir):
     import public_tokenizers
     path = f"{stage_folder(spark)}/token-files/{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return places(checksums(read_tokens(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    tokens = read_tokens(spark, path)
+    return places(tokens, checksums(tokens)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query("op10_byte_level_bpe")

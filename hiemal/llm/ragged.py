@@ -7,10 +7,11 @@ from .common import gather_ranges
 
 
 class PieceTable:
-    """Token ids of pieces of text; each distinct piece is encoded once and kept.
+    """Token ids of pieces of text; distinct pieces are encoded once and kept.
 
     ``encode_many`` takes a list of pieces and returns flat ids and the number of ids of each piece. Beyond ``limit``
-    pieces the table starts anew, which costs time but changes no result.
+    pieces the table drops those that came once only, and all if too many are left; a dropped piece costs time, no result
+    depends on it.
     """
 
     def __init__(self, encode_many, limit: int = 200_000):
@@ -23,11 +24,24 @@ class PieceTable:
         self.used = 0
         self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def shrink(self):
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.limit // 2:
+            return self.clear()
+        names = list(self.codes)  # in order of their codes
+        self.codes = dict(zip([names[i] for i in keep.tolist()], range(len(keep))))
+        counts = self.counts[keep]
+        flat = self.flat[gather_ranges(self.starts[keep], counts)]
+        self.flat = np.concatenate([flat, np.zeros(1 << 16, np.int32)])
+        self.used, self.counts, self.uses = len(flat), counts, np.zeros(len(keep), np.int64)
+        self.starts = np.cumsum(counts) - counts
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all pieces in order, and the number of ids of each piece."""
         if len(self.codes) > self.limit:
-            self.clear()
+            self.shrink()
         codes = self.codes
         new = list({p for p in pieces if p not in codes})
         if new:
@@ -39,7 +53,9 @@ class PieceTable:
             ends = self.used + np.cumsum(counts)
             self.starts = np.concatenate([self.starts, ends - counts])
             self.counts = np.concatenate([self.counts, counts])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
             self.used += len(ids)
         order = np.fromiter(map(codes.__getitem__, pieces), np.int64, len(pieces))
+        self.uses += np.bincount(order, minlength=len(self.uses))
         counts = self.counts[order]
         return self.flat[gather_ranges(self.starts[order], counts)], counts

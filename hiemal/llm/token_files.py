@@ -19,25 +19,56 @@ NOT_WHITE = re.compile("[^%s]+" % "".join(map(chr, WHITE_SPACE)))
 SPLIT_ONLY = re.compile("[\x1c-\x1f]")
 
 
+#: Common marks at the end of a word, after a letter or number: the tokenizer's pieces part there in any case.
+TAIL = re.compile(r"""(?<=[^\W_])([.,;:!?"()%#&*$-]+)(?=\s|$)""")
+
+
 class WordCoder:
-    """A tokenizer that treats stretches without white space one by one: each distinct stretch is encoded by the library once."""
+    """A tokenizer that lower-cases, drops white space and treats the stretches between it one by one.
+
+    Each distinct stretch is encoded by the library once. Before that, what can't change the ids makes more of them
+    equal: text is lower-cased, and marks at the end of a word become stretches of their own. Words of letters alone
+    are one piece each for the tokenizer, so many go through it in one call and are told apart by their last token,
+    which ends a word.
+    """
+    END = "</w>"
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.table = PieceTable(self.encode_many)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
+        self.table = PieceTable(self.encode_many, 300_000)
 
     def encode_many(self, words: list[str]):
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for line in ids for x in line), np.int32, int(counts.sum())), counts
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        many = [w for w, p in zip(words, plain.tolist()) if p]
+        joined = self.tokenizer.encode_batch_fast([" ".join(many[i:i + 1000]) for i in range(0, len(many), 1000)], add_special_tokens=False)
+        flat = np.array([x for e in joined for x in e.ids], np.int32)
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) != len(many):
+            raise ValueError("the tokenizer doesn't close each word with one end token")
+        counts = np.zeros(len(words), np.int64)
+        counts[plain] = np.diff(np.append(-1, last))
+        if plain.all():
+            return flat, counts
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain.tolist()) if not p], add_special_tokens=False)]
+        counts[~plain] = [len(x) for x in rest]
+        out = np.zeros(int(counts.sum()), np.int32)
+        of_plain = np.repeat(plain, counts)
+        out[of_plain] = flat
+        out[~of_plain] = np.array([x for line in rest for x in line], np.int32)
+        return out, counts
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each closed with ``end_id``, and the number of ids of each."""
         words, sizes = [], []
         for t in texts:
+            # a capital sigma at the end of a word has a small form of its own only for str.lower()
+            t = TAIL.sub(r" \1", t.replace("\u03a3", "\u03c3").lower())
             w = NOT_WHITE.findall(t) if SPLIT_ONLY.search(t) else t.split()
             words += w
             sizes.append(len(w))
@@ -85,10 +116,13 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: tuple | None = None) ->
     return df if doc_ids is None else df.where(F.col("doc_id").between(*doc_ids))
 
 
-def places(tokens: DataFrame) -> DataFrame:
-    """(part, row, doc_id, n_tokens, start): number of ids before each document; reads only the small columns."""
-    small = tokens.select("part", "row", "doc_id", "n_tokens", *[c for c in tokens.columns if c not in COLUMNS])
-    sums = small.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # one row per file
+def places(tokens: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(part, row, doc_id, n_tokens, start): number of ids before each document; reads only the small columns.
+
+    ``rows``, if given, are the documents of ``tokens`` with further columns, which are kept.
+    """
+    small = tokens.select("part", "row", "doc_id", "n_tokens") if rows is None else rows
+    sums = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # one row per file
     zero = F.lit(0).cast("long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("_n").over(before), zero).alias("_base"))
