@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..plans.single import attach
 from .events import event_days
 
 
@@ -70,8 +71,8 @@ def window_features(daily: DataFrame, cat: DataFrame, windows: dict[str, tuple[i
     spec = [F.struct(F.lit(n).alias("window"), F.date_add("start_date", a).alias("_a"), F.date_add("start_date", b).alias("_b")) for n, (a, b) in windows.items()]
     spec.append(F.struct(F.lit("event").alias("window"), F.col("start_date").alias("_a"), F.col("end_date").alias("_b")))
     days = cat.select("event_id", *keep, F.inline(F.array(*spec))).select("event_id", *keep, "window", F.explode(F.sequence("_a", "_b")).alias("date"))
-    names = daily.agg(F.collect_set("sector").alias("_s")).withColumn("_k", F.lit(1))  # a short list of sector names
-    days = days.withColumn("_k", F.lit(1)).join(names, "_k").drop("_k").withColumn("sector", F.explode("_s")).drop("_s")
+    names = daily.agg(F.collect_set("sector").alias("_s"))  # a short list of sector names
+    days = attach(days, names).withColumn("sector", F.explode("_s")).drop("_s")
     j = days.join(daily.withColumn("_hit", F.lit(True)), ["sector", "date"], "left")
     j = j.filter(F.assert_true(F.col("_hit").isNotNull(), F.lit("window day missing from the daily index")).isNull())
     keys = ["event_id", *keep, "sector", "window"]

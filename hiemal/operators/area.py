@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..plans.single import attach
 from ..functions.geo import EARTH_KM
 from ..functions.numeric import fraction
 from ..plans.nearest import nearest_k
@@ -31,8 +32,7 @@ def area_weights(assigned: DataFrame, stations: DataFrame) -> DataFrame:
     """Cell area, normalised weight and rank per station; stations without points get weight 0."""
     a = assigned.groupBy("station").agg(F.sum("area").alias("cell_area"))
     j = stations.select("station").join(a, "station", "left").withColumn("cell_area", F.coalesce("cell_area", F.lit(0.0)))
-    total = assigned.agg(F.sum("area").alias("_t")).withColumn("_k", F.lit(1))
-    j = j.withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
+    j = attach(j, assigned.agg(F.sum("area").alias("_t")))
     return j.select("station", "cell_area", (F.col("cell_area") / F.col("_t")).alias("weight"))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..plans.single import attach
 from ..functions import quantile as q
 
 
@@ -208,7 +209,7 @@ def detrend(df: DataFrame, keys: list[str], date: str, values: list[str]) -> Dat
     if keys:
         j = df.join(df.groupBy(*keys).agg(*aggs), keys)
     else:
-        j = df.withColumn("_k", F.lit(1)).join(df.agg(*aggs).withColumn("_k", F.lit(1)), "_k").drop("_k")
+        j = attach(df, df.agg(*aggs))
     for c in values:
         j = j.withColumn(f"{c}_detrended", F.col(c) - (F.col(f"_{c}_a") + F.col(f"_{c}_b") * t)).drop(f"_{c}_a", f"_{c}_b")
     return j

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..plans.single import attach
 from ..functions import calendar as cal
 from ..functions.numeric import duration_group, first_match, lag_class
 from ..functions.text import event_id as make_id
@@ -164,7 +165,7 @@ def compare_sets(primary: DataFrame, other: DataFrame, season: str = "season", b
     base = np_
     if by:
         sets = F.collect_set(F.struct(*by)).alias("_sets")
-        base = np_.withColumn("_k", F.lit(1)).join(o.agg(sets).withColumn("_k", F.lit(1)), "_k").select(
+        base = attach(np_, o.agg(sets)).select(
             "event_id", "primary_duration", F.inline("_sets"))
     j = base.join(m, [*by, "event_id"], "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("overlapping_events", "intersection_days", "matching_duration")]

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..plans.single import attach
 from .resample import benjamini_hochberg, block_list, p_from_tails, plan_matrix, refuse_large
 from .tails import chi2_1_tail
 from ..plans.ordered import tie_totals
@@ -59,62 +60,50 @@ def standardise(rs: DataFrame, columns: list[str], training: Column | None = Non
     keys = keys or []
     t = rs.filter(training) if training is not None else rs
     s = t.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    j = rs.join(s, keys) if keys else rs.withColumn("_k", F.lit(1)).join(s.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    if keys:
+        j = rs.join(s, keys)
+    else:
+        j = attach(rs, s)
     for c in columns:
         j = j.withColumn(f"{c}_z", (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") != 0, F.col(f"_s_{c}"))).drop(f"_m_{c}", f"_s_{c}")
     return j
 
 
 # ---------------------------------------------------------------- numerical core
-def _loglik(eta, y, w):
-    return (w * (y * eta - np.logaddexp(0.0, eta))).sum(axis=1)
+def logistic_fits(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 60, tol: float = 1e-10):
+    """Weighted logistic fits of one design under many weight rows at once, as grouped binomial scoring.
 
-
-def logit_many(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 60, tol: float = 1e-10):
-    """Weighted logistic fits of one design under many weight rows at once.
-
-    Returns (coefficients with the intercept first, converged). Rows whose weighted outcome has one
-    class are undefined; separated rows keep their last iterate and count as not converged.
+    Equal design rows are merged first; a weight row then only sees trials and events of each distinct row. Scoring steps
+    are shortened so that no linear predictor moves by more than 5. Returns (coefficients with the intercept first,
+    converged). Weight rows whose outcome has one class are undefined (NaN); separated ones end unconverged.
     """
-    d = np.column_stack([np.ones(len(y)), x])
-    k = d.shape[1]
-    iu = np.triu_indices(k)
-    pairs = d[:, iu[0]] * d[:, iu[1]]
-    out, conv = np.full((len(w), k), np.nan), np.zeros(len(w), bool)
-    share = (w @ y) / np.maximum(w.sum(axis=1), 1e-300)
-    live = np.flatnonzero((share > 0) & (share < 1))
-    if not len(live):
-        return out, conv
-    b = np.zeros((len(live), k))
-    b[:, 0] = np.log(share[live] / (1 - share[live]))
-    ll = _loglik(b @ d.T, y, w[live])
-    todo = np.arange(len(live))
+    design, row = np.unique(np.column_stack([np.ones(len(y)), x]), axis=0, return_inverse=True)
+    order = np.argsort(row.ravel(), kind="stable")
+    firsts = np.searchsorted(row.ravel()[order], np.arange(len(design)))
+    merged = lambda v: np.add.reduceat(v[:, order], firsts, axis=1)
+    trials, events = merged(w), merged(w * y)
+    k = design.shape[1]
+    beta, done = np.full((len(w), k), np.nan), np.zeros(len(w), bool)
+    hits = events.sum(axis=1)
+    active = np.flatnonzero((hits > 0) & (hits < trials.sum(axis=1)))
+    beta[active] = 0.0
     for _ in range(steps):
-        wt, cur = w[live[todo]], b[todo]
-        mu = 1.0 / (1.0 + np.exp(-np.clip(cur @ d.T, -700, 700)))
-        grad, flat = (wt * (y - mu)) @ d, (wt * mu * (1 - mu)) @ pairs
-        hess = np.zeros((len(todo), k, k))
-        hess[:, iu[0], iu[1]] = flat
-        hess[:, iu[1], iu[0]] = flat
-        move = np.linalg.solve(hess + 1e-10 * np.eye(k), grad[..., None])[..., 0]
-        scale = np.ones(len(todo))
-        new = cur + move
-        got = _loglik(new @ d.T, y, wt)
-        for _ in range(30):
-            worse = got < ll[todo] - 1e-12
-            if not worse.any():
-                break
-            scale[worse] /= 2
-            new[worse] = cur[worse] + scale[worse, None] * move[worse]
-            got[worse] = _loglik(new[worse] @ d.T, y, wt[worse])
-        b[todo], ll[todo] = new, got
-        small = np.abs(scale[:, None] * move).max(axis=1) < tol
-        conv[live[todo[small]]] = True
-        todo = todo[~small]
-        if not len(todo):
+        if not len(active):
             break
-    out[live] = b
-    return out, conv
+        n = trials[active]
+        share = 1.0 / (1.0 + np.exp(-np.clip(beta[active] @ design.T, -700, 700)))
+        score = (events[active] - n * share) @ design
+        spread = n * share * (1 - share)
+        info = np.stack([np.stack([spread @ (design[:, i] * design[:, j]) for j in range(k)], 1) for i in range(k)], 1)
+        info[:, np.arange(k), np.arange(k)] += 1e-10
+        step = np.linalg.solve(info, score[:, :, None])[:, :, 0]
+        reach = np.abs(step @ design.T).max(axis=1, keepdims=True)
+        step *= np.minimum(1.0, 5.0 / np.maximum(reach, 1e-300))
+        beta[active] += step
+        over = np.abs(step).max(axis=1) < tol
+        done[active[over]] = True
+        active = active[~over]
+    return beta, done
 
 
 def _unpack(rows):
@@ -154,7 +143,7 @@ def fit_draws(packed: DataFrame, keys: list[str], plan: np.ndarray, chunk: int =
             b, y, x = _unpack(rows)
             x = _z(x) if standard else x
             w = np.ones((1, len(y))) if c < 0 else plan[c * chunk:(c + 1) * chunk][:, b].astype(float)
-            coef, conv = logit_many(x, y, w)
+            coef, conv = logistic_fits(x, y, w)
             out.append([{"rep": -1 if c < 0 else int(c * chunk + i), "coef": None if np.isnan(coef[i]).any() else coef[i].tolist(), "converged": bool(conv[i])} for i in range(len(w))])
         return pd.Series(out)
 
@@ -297,7 +286,7 @@ def _select(x, y, names, adjust, q_limit, r_limit):
     one = np.ones((1, len(y)))
 
     def fit_ll(d):
-        b = logit_many(d, y, one)[0][0]
+        b = logistic_fits(d, y, one)[0][0]
         eta = b[0] + d @ b[1:]
         return float((y * eta - np.logaddexp(0.0, eta)).sum())
     base = fit_ll(a)
@@ -339,7 +328,7 @@ def nested_predictions(rs: DataFrame, candidates: list[str], adjust: list[str],
             chosen = _select(x[tr][:, :nc], y[tr], candidates, x[tr][:, nc:], q_limit, r_limit) if select else list(range(nc))
 
             def predict(idx):
-                b = logit_many(_z(x[tr][:, idx]), y[tr], one)[0][0]
+                b = logistic_fits(_z(x[tr][:, idx]), y[tr], one)[0][0]
                 return 1.0 / (1.0 + np.exp(-(b[0] + _z(x[te][:, idx], x[tr][:, idx]) @ b[1:])))
             a_idx = list(range(nc, x.shape[1]))
             pa, pf = predict(a_idx), predict(chosen + a_idx)
@@ -397,7 +386,7 @@ def score_intervals(pred: DataFrame, keys: list[str], block: str, reps: int = 10
                 da.append(weighted_auc(y, f, w) - weighted_auc(y, a, w))
                 db.append((w * ((y - f) ** 2 - (y - a) ** 2)).sum() / w.sum() if w.sum() else np.nan)
             lp = np.clip(f, 1e-9, 1 - 1e-9)
-            slope = logit_many(np.log(lp / (1 - lp))[:, None], y, np.ones((1, len(y))))[0][0][1]
+            slope = logistic_fits(np.log(lp / (1 - lp))[:, None], y, np.ones((1, len(y))))[0][0][1]
             out.append((*np.nanpercentile(da, [2.5, 97.5]), *np.nanpercentile(db, [2.5, 97.5]), slope))
         return pd.DataFrame(out, columns=schema.names)
 
@@ -409,9 +398,8 @@ def score_intervals(pred: DataFrame, keys: list[str], block: str, reps: int = 10
 def selection_frequency(pred: DataFrame) -> DataFrame:
     """Share of folds that picked each candidate."""
     f = pred.select("fold", "chosen").distinct()
-    n = f.agg(F.count(F.lit(1)).alias("folds")).withColumn("_k", F.lit(1))
-    c = f.select(F.explode("chosen").alias("predictor")).groupBy("predictor").agg(F.count(F.lit(1)).alias("times_chosen")).withColumn("_k", F.lit(1))
-    return c.join(n, "_k").drop("_k").withColumn("share", F.col("times_chosen") / F.col("folds"))
+    c = f.select(F.explode("chosen").alias("predictor")).groupBy("predictor").agg(F.count(F.lit(1)).alias("times_chosen"))
+    return c.withColumn("folds", F.lit(f.count()).cast("long")).withColumn("share", F.col("times_chosen") / F.col("folds"))
 
 
 def direction_agreement(variants: DataFrame, primary: str, variant: str = "variant") -> DataFrame:

@@ -12,8 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..plans.single import attach
 from ..functions import calendar as cal
-from ..plans.ordered import average_rank, running_extreme, tie_totals
+from ..plans.ordered import average_rank, running_extreme, tie_totals, with_rank
 from .tails import binomial_interval, t_p_value
 
 MAX_BLOCKS = 2_000
@@ -178,7 +179,7 @@ def leave_one_out(df: DataFrame, keys: list[str], value: str, block: str) -> Dat
     """Sign stability of the mean when each block is left out, same-sign block share, block-equal mean."""
     b = df.filter(F.col(value).isNotNull()).groupBy(*keys, block).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     t = b.groupBy(*keys).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
-    j = b.join(t, keys) if keys else b.withColumn("_k", F.lit(1)).join(t.withColumn("_k", F.lit(1)), "_k")
+    j = b.join(t, keys) if keys else attach(b, t)
     rest = F.round((F.col("_ts") - F.col("_s")) / F.when(F.col("_tn") > F.col("_n"), F.col("_tn") - F.col("_n")), 12)
     full, own = F.round(F.col("_ts") / F.col("_tn"), 12), F.round(F.col("_s") / F.col("_n"), 12)
     return j.groupBy(*keys).agg(
@@ -189,30 +190,42 @@ def leave_one_out(df: DataFrame, keys: list[str], value: str, block: str) -> Dat
 
 
 # ---------------------------------------------------------------- sign flips
+def _signed_sums(d: np.ndarray) -> np.ndarray:
+    """Sums of ``d`` under every choice of signs."""
+    sums = np.zeros(1)
+    for v in d:
+        sums = np.concatenate([sums + v, sums - v])
+    return sums
+
+
+def _flip_share(d: np.ndarray, exact_up_to: int, draws: int, seed: int) -> float:
+    if not len(d) or not np.isfinite(d).all():
+        return np.nan
+    far = abs(d.sum()) - 1e-9 * np.abs(d).sum()  # rounding must not exclude the observed pattern
+    if far <= 0:
+        return 1.0
+    if len(d) <= exact_up_to:
+        one, two = _signed_sums(d[::2]), np.sort(_signed_sums(d[1::2]))
+        above = len(two) - np.searchsorted(two, far - one, "left")
+        return float(2 * above.sum() / 2.0 ** len(d))  # the patterns below are the mirror images
+    rng, hits, left = np.random.default_rng(seed), 0, draws
+    while left:
+        n = min(left, 1 << 15)
+        hits += int(np.count_nonzero(np.abs(np.where(rng.random((n, len(d))) < 0.5, 1.0, -1.0) @ d) >= far))
+        left -= n
+    return (hits + 1) / (draws + 1)
+
+
 def sign_flip(df: DataFrame, keys: list[str], block: str, value: str, exact_up_to: int = 22, draws: int = 200_000, seed: int = 42) -> DataFrame:
     """Two-sided sign-flip test of zero mean over per-block differences, per key.
 
-    All 2^n patterns for short arrays, otherwise random patterns with a plus-one p. Patterns are
-    made in slices, so memory stays bounded.
+    Up to ``exact_up_to`` blocks the share of all 2^n patterns whose sum is as far from zero is counted exactly: the blocks
+    are parted into two halves, the signed sums of one half are sorted, and each sum of the other half finds by bisection
+    how many complete it. Beyond, ``draws`` random patterns give a plus-one p.
     """
     @F.pandas_udf(T.DoubleType())
     def p(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            d = np.asarray([np.nan if x is None else x for x in v], float)
-            n = len(d)
-            if n == 0 or not np.isfinite(d).all():
-                out.append(np.nan)
-                continue
-            obs, tol = abs(d.sum()), 1e-9 * max(np.abs(d).sum(), 1e-30)
-            exact = n <= exact_up_to
-            total, hits, rng = (2 ** n if exact else draws), 0, np.random.default_rng(seed)
-            for s in range(0, total, 65536):
-                m = min(65536, total - s)
-                bits = ((np.arange(s, s + m)[:, None] >> np.arange(n)) & 1) if exact else rng.integers(0, 2, (m, n))
-                hits += int((np.abs((1.0 - 2.0 * bits) @ d) >= obs - tol).sum())
-            out.append(min(1.0, hits / total if exact else (hits + 1.0) / (total + 1.0)))
-        return pd.Series(out)
+        return pd.Series([_flip_share(np.asarray([np.nan if x is None else x for x in v], float), exact_up_to, draws, seed) for v in values])
 
     a = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(block), F.col(value).alias("v")))).alias("_a"))
     a = a.select(*keys, F.size("_a").alias("block_count"), F.transform("_a", lambda e: e["v"]).alias("_v"))
@@ -227,12 +240,12 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str, out: str = "q_v
     Tied p share the largest rank. The family is never collected into one task (see
     ``plans.ordered``), so a map of any size may be one family.
     """
-    fam = family or ["_all"]
-    d = df if family else df.withColumn("_all", F.lit(1))
-    t = tie_totals(d, fam, p)
-    raw = F.col(p) * F.col("n_family") / (F.col("n_before") + F.col("n"))
-    q = running_extreme(t.select(*fam, p, raw.alias("_raw")), fam, p, "_raw", "_q").select(*fam, p, F.least(F.col("_q"), F.lit(1.0)).alias(out))
-    return d.join(q, [*fam, p], "left").drop("_all")
+    def q_values(d):
+        t = tie_totals(d, family, p)
+        raw = F.col(p) * F.col("n_family") / (F.col("n_before") + F.col("n"))
+        return running_extreme(t.select(*family, p, raw.alias("_raw")), family, p, "_raw", "_q").select(*family, p, F.least(F.col("_q"), F.lit(1.0)).alias(out))
+
+    return with_rank(df, family, p, q_values)
 
 
 # ---------------------------------------------------------------- rank correlation
@@ -375,10 +388,11 @@ def onsets_in_windows(onsets: DataFrame, dates: DataFrame, first: int, last: int
 
 
 def null_summary(null: DataFrame, value: str, observed: Column) -> DataFrame:
-    """Null mean, percentiles, one- and two-sided plus-one p, dispersion and critical value."""
+    """Null mean, percentiles, one- and two-sided plus-one p, dispersion, and the critical count: the smallest whole number
+    that at most 5% of the null values reach."""
     x = F.col(value).cast("double")
     g = null.withColumn("_o", observed).groupBy("_o").agg(
-        F.count(x).alias("n"), F.avg(x).alias("null_mean"), F.percentile(x, 0.025).alias("null_p025"), F.percentile(x, 0.95).alias("critical_value"), F.percentile(x, 0.975).alias("null_p975"),
+        F.count(x).alias("n"), F.avg(x).alias("null_mean"), F.percentile(x, 0.025).alias("null_p025"), (F.floor(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY CAST({value} AS DOUBLE))")) + 1).cast("long").alias("critical_value"), F.percentile(x, 0.975).alias("null_p975"),
         F.var_pop(x).alias("_v"), F.count_if(x >= F.col("_o")).alias("_ge"), F.count_if(x <= F.col("_o")).alias("_le"))
     return g.select(F.col("_o").alias("observed"), "n", "null_mean", "null_p025", "null_p975", "critical_value", ((F.col("_ge") + 1) / (F.col("n") + 1)).alias("p_one_sided"),
                     p_from_tails(F.col("_le"), F.col("_ge"), F.col("n")).alias("p_two_sided"), F.when(F.col("null_mean") != 0, F.col("_v") / F.col("null_mean")).alias("dispersion"))

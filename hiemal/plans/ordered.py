@@ -1,24 +1,24 @@
 """Ranks and running totals over a family of any size.
 
-A plain window over a family puts the whole family into one task. Here ties are collapsed first
-(partial aggregation), the family is cut into value ranges at approximate quantiles, ranges are
-summed, and only the inside of one range is windowed. The cut points affect balance only; ranks
-and totals are exact for any cut points.
+A plain window over a family puts the whole family into one task. Here ties are collapsed first (partial aggregation),
+the result is range-partitioned by (family, key) into as many ranges as the session has shuffle partitions (adaptive
+execution merges small ones), ranges are summed, and only the inside of one range is windowed. The ranges are staged, so that sums and
+rows see the same cut; ranks and totals are exact for any cut.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-RANGES = 32
+from ..session import stage_table
 
 
-def _range_of(x: Column, ranges: int) -> Column:
-    """Number of cut points below x, as plain arithmetic that stays in generated code."""
-    return sum((F.when(F.get("_cuts", F.lit(i)) < x, 1).otherwise(0) for i in range(ranges - 1)), F.lit(0))
+def _ranges(df: DataFrame, family: list[str], key: str) -> DataFrame:
+    """``df`` sorted by (family, key) and cut into ranges, with the number of the range."""
+    cut = df.repartitionByRange(*[F.col(c) for c in (*family, key)]).sortWithinPartitions(*family, key)
+    return stage_table(cut.withColumn("_range", F.spark_partition_id()))
 
 
-def tie_totals(df: DataFrame, family: list[str], key: str, weights: dict[str, str] | None = None,
-               ranges: int = RANGES) -> DataFrame:
+def tie_totals(df: DataFrame, family: list[str], key: str, weights: dict[str, str] | None = None) -> DataFrame:
     """One row per (family, key): n, n_before (rows with a smaller key), n_family.
 
     ``weights`` maps an output name to a numeric column; each adds ``w``, ``w_before`` and
@@ -26,19 +26,11 @@ def tie_totals(df: DataFrame, family: list[str], key: str, weights: dict[str, st
     """
     weights = weights or {}
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(w) for w, c in weights.items()]
-    ties = df.filter(F.col(key).isNotNull()).groupBy(*family, key).agg(*aggs)
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = ties.groupBy(*family).agg(F.percentile_approx(F.col(key), probs, 1000).alias("_cuts"))
-    if family:
-        cut = ties.join(cuts, family)
-    else:
-        cut = ties.withColumn("_one", F.lit(1)).join(cuts.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    cut = cut.withColumn("_range", _range_of(F.col(key), ranges)).drop("_cuts")
+    cut = _ranges(df.filter(F.col(key).isNotNull()).groupBy(*family, key).agg(*aggs), family, key)
     names = ["n", *weights]
-    totals = cut.groupBy(*family, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in names])
     before = W.partitionBy(*family).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*family)
-    totals = totals.select(
+    totals = cut.groupBy(*family, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in names]).select(
         *family, "_range",
         *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_off") for c in names],
         *[F.sum(f"_{c}").over(whole).alias(f"{c}_family") for c in names],
@@ -46,55 +38,53 @@ def tie_totals(df: DataFrame, family: list[str], key: str, weights: dict[str, st
     inside = W.partitionBy(*family, "_range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     out = cut.join(totals, [*family, "_range"])
     for c in names:
-        out = out.withColumn(
-            f"{c}_before", F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}_off")
-        )
+        out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}_off"))
     return out.drop("_range", *[f"_{c}_off" for c in names])
 
 
-def running_extreme(df: DataFrame, family: list[str], key: str, value: str, out: str,
-                    ranges: int = RANGES) -> DataFrame:
+def running_extreme(df: DataFrame, family: list[str], key: str, value: str, out: str) -> DataFrame:
     """Minimum of ``value`` over all rows of the family with the same or a larger ``key``.
 
     Keys must be unique inside a family (use ``tie_totals`` first).
     """
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(*family).agg(F.percentile_approx(F.col(key), probs, 1000).alias("_cuts"))
-    cut = df.join(cuts, family).withColumn(
-        "_range", _range_of(F.col(key), ranges)).drop("_cuts")
-    low = cut.groupBy(*family, "_range").agg(F.min(value).alias("_low"))
+    cut = _ranges(df, family, key)
     after = W.partitionBy(*family).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
-    low = low.select(*family, "_range", F.min("_low").over(after).alias("_later"))
+    low = cut.groupBy(*family, "_range").agg(F.min(value).alias("_low")).select(*family, "_range", F.min("_low").over(after).alias("_later"))
     inside = W.partitionBy(*family, "_range").orderBy(F.desc(key)).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        cut.join(low, [*family, "_range"])
-        .withColumn(out, F.least(F.min(value).over(inside), F.col("_later")))
-        .drop("_range", "_later")
-    )
+    return cut.join(low, [*family, "_range"]).withColumn(out, F.least(F.min(value).over(inside), F.col("_later"))).drop("_range", "_later")
+
+
+def with_rank(df: DataFrame, family: list[str], value: str, make) -> DataFrame:
+    """``df`` with the columns that ``make`` derives from it per (family, value); rows without a value get nulls.
+
+    ``df`` is staged first: both sides of the join then hold the same bits, whatever order its sums were made in. Rows
+    without a value don't take part in the join, so they are no hot key.
+    """
+    df = stage_table(df)
+    table = make(df)
+    known = df.filter(F.col(value).isNotNull()).join(table, [*family, value], "left")
+    return known.unionByName(df.filter(F.col(value).isNull()), allowMissingColumns=True)
 
 
 def average_rank(df: DataFrame, family: list[str], value: str, out: str) -> DataFrame:
     """Average rank (ties share the mean of their positions) of every row; null stays null."""
-    ranks = tie_totals(df, family, value).select(
-        *family, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out))
-    return df.join(ranks, [*family, value], "left")
+    return with_rank(df, family, value, lambda d: tie_totals(d, family, value).select(
+        *family, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out)))
 
 
 def minimum_rank(df: DataFrame, family: list[str], value: str, out: str,
                  descending: bool = True) -> DataFrame:
     """Competition rank (ties share the smallest position)."""
-    t = tie_totals(df, family, value)
     pos = (F.col("n_family") - F.col("n_before") - F.col("n") + 1) if descending else F.col("n_before") + 1
-    return df.join(t.select(*family, value, pos.cast("long").alias(out)), [*family, value], "left")
+    return with_rank(df, family, value, lambda d: tie_totals(d, family, value).select(*family, value, pos.cast("long").alias(out)))
 
 
-def order_statistics(df: DataFrame, family: list[str], value: str, positions: dict[str, "F.Column"],
-                     ranges: int = RANGES) -> DataFrame:
+def order_statistics(df: DataFrame, family: list[str], value: str, positions: dict[str, Column]) -> DataFrame:
     """One row per family with the values at given 0-based positions of the sorted family.
 
     ``positions`` maps an output name to a Column over ``n_family``.
     """
-    t = tie_totals(df, family, value, ranges=ranges)
+    t = tie_totals(df, family, value)
     here = lambda p: (p >= F.col("n_before")) & (p < F.col("n_before") + F.col("n"))
     aggs = [F.max(F.when(here(p), F.col(value))).alias(k) for k, p in positions.items()]
     return t.groupBy(*family).agg(F.max("n_family").alias("n_family"), *aggs)
@@ -118,6 +108,7 @@ def median_of_others(df: DataFrame, family: list[str], value: str, out: str, cou
     Leaving one row out only shifts the positions after it, so four middle values per family and
     the row's own rank decide the answer.
     """
+    df = stage_table(df)  # the join below is on values: both sides have to hold the same bits
     ranked = tie_totals(df, family, value)
     n = F.col("n_family")
     lo, hi = F.floor((n - 2) / 2), F.floor((n - 1) / 2)
@@ -126,7 +117,8 @@ def median_of_others(df: DataFrame, family: list[str], value: str, out: str, cou
         F.max(F.when(here(p), F.col(value))).alias(k)
         for k, p in (("_lo", lo), ("_lo1", lo + 1), ("_hi", hi), ("_hi1", hi + 1))])
     at = ranked.select(*family, value, "n_before", "n_family")
-    j = df.join(at, [*family, value], "left").join(mid, family, "left")
+    known = df.filter(F.col(value).isNotNull()).join(at, [*family, value], "left")
+    j = known.unionByName(df.filter(F.col(value).isNull()), allowMissingColumns=True).join(mid, family, "left")
     r = F.col("n_before")
     a = F.when(lo < r, F.col("_lo")).otherwise(F.col("_lo1"))
     b = F.when(hi < r, F.col("_hi")).otherwise(F.col("_hi1"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.single import attach
 from ..functions import calendar as cal
 from ..operators import climatology as k
 from .registry import GRID_DAILY_SQL, R, STATION_DAILY_SQL, grid_daily, query, r6, station_daily
@@ -120,9 +121,8 @@ def _(spark, sf):
 @query("threshold_order_check", "K09", f"""WITH {THR_SQL} SELECT count(*) AS threshold_rows, count(*) FILTER (WHERE p05 > p10 OR p10 > p20) AS unordered FROM thr""")
 def _(spark, sf):
     t = thresholds(spark, sf)
-    n = t.agg(F.count(F.lit(1)).alias("threshold_rows")).withColumn("_k", F.lit(1))
-    u = k.unordered_thresholds(t).agg(F.count(F.lit(1)).alias("unordered")).withColumn("_k", F.lit(1))
-    return n.join(u, "_k").drop("_k")
+    n = t.agg(F.count(F.lit(1)).alias("threshold_rows"))
+    return attach(n, k.unordered_thresholds(t).agg(F.count(F.lit(1)).alias("unordered")))
 
 
 @query("compound_cold_days", "K10 K11", f"""WITH {THR_SQL}, j AS (SELECT sd.station, sd.date, sd.tmin, t.p20, coalesce(sd.tmin < t.p20, false) AS a, coalesce(sd.tmin <= 10, false) AS b FROM sd LEFT JOIN thr t ON t.station = sd.station AND t.slot = sd.slot)

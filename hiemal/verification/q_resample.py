@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.single import attach
 from ..functions import calendar as cal
 from ..operators import align as al, climatology as k, events as ev, resample as rs
 from .q_climate import NATION_SQL, national
@@ -240,16 +241,16 @@ def _(spark, sf):
 
 @query("onset_count_null", "B16 B17", f"""WITH {NULL_SQL}, x AS (SELECT CAST(o_orderdate AS DATE) AS start_date, o_orderkey FROM orders WHERE o_totalprice > 490000), hit AS (SELECT rep, count(DISTINCT o_orderkey) AS c FROM nul JOIN x ON start_date BETWEEN null_date AND null_date + 20 GROUP BY 1),
 a AS (SELECT r.rep, coalesce(c, 0)::DOUBLE AS c FROM (SELECT DISTINCT rep FROM nul) r LEFT JOIN hit ON hit.rep = r.rep), ob AS (SELECT count(DISTINCT o_orderkey)::DOUBLE AS o FROM rev JOIN x ON start_date BETWEEN central_date AND central_date + 20)
-SELECT o AS observed, count(*) AS n, {R('avg(c)')} AS null_mean, {R('quantile_cont(c, 0.025)')} AS null_p025, {R('quantile_cont(c, 0.975)')} AS null_p975, {R('quantile_cont(c, 0.95)')} AS critical_value, {R('(count(*) FILTER (WHERE c >= o) + 1) / (count(*) + 1)')} AS p_one_sided, {R('least(1.0, 2.0 * (least(count(*) FILTER (WHERE c <= o), count(*) FILTER (WHERE c >= o)) + 1) / (count(*) + 1))')} AS p_two_sided, {R('var_pop(c) / avg(c)')} AS dispersion FROM a, ob GROUP BY o""")
+SELECT o AS observed, count(*) AS n, {R('avg(c)')} AS null_mean, {R('quantile_cont(c, 0.025)')} AS null_p025, {R('quantile_cont(c, 0.975)')} AS null_p975, (SELECT min(k) FROM range(0, 100000) t(k) WHERE (SELECT count(*) FROM a WHERE c >= k) <= 0.05 * (SELECT count(*) FROM a)) AS critical_value, {R('(count(*) FILTER (WHERE c >= o) + 1) / (count(*) + 1)')} AS p_one_sided, {R('least(1.0, 2.0 * (least(count(*) FILTER (WHERE c <= o), count(*) FILTER (WHERE c >= o)) + 1) / (count(*) + 1))')} AS p_two_sided, {R('var_pop(c) / avg(c)')} AS dispersion FROM a, ob GROUP BY o""")
 def _(spark, sf):
     d = reversal_dates(spark, sf)
     x = table(spark, sf, "orders").filter("o_totalprice > 490000").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("start_date"))
     nul = rs.null_dates(rs.admissible_dates(d, 1995, 2000, 20), REPS, 9)
     c = rs.onsets_in_windows(x, nul, 0, 20, ["rep"], "null_date")
-    c = nul.select("rep").distinct().join(c, "rep", "left").select("rep", F.coalesce("onset_count", F.lit(0)).alias("c"), F.lit(1).alias("_k"))
-    ob = rs.onsets_in_windows(x, d, 0, 20).select(F.col("onset_count").cast("double").alias("o"), F.lit(1).alias("_k"))
-    s = rs.null_summary(c.join(ob, "_k"), "c", F.col("o"))
-    return rounded(s, "null_mean", "null_p025", "null_p975", "critical_value", "p_one_sided", "p_two_sided", "dispersion")
+    c = nul.select("rep").distinct().join(c, "rep", "left").select("rep", F.coalesce("onset_count", F.lit(0)).alias("c"))
+    ob = rs.onsets_in_windows(x, d, 0, 20).select(F.col("onset_count").cast("double").alias("o"))
+    s = rs.null_summary(attach(c, ob), "c", F.col("o"))
+    return rounded(s, "null_mean", "null_p025", "null_p975", "p_one_sided", "p_two_sided", "dispersion")
 
 
 EXPO_SQL = f"""{CAT_SQL}, ref AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_totalprice > 498000), inn AS (SELECT DISTINCT CAST(unnest(generate_series(start_date + 1, end_date, INTERVAL 1 DAY)) AS DATE) AS date FROM cat WHERE duration_days > 1), rk AS (SELECT season, date, EXISTS (SELECT 1 FROM ref WHERE dly.date BETWEEN ref.date AND ref.date + 15) AS w FROM dly WHERE date NOT IN (SELECT date FROM inn))"""

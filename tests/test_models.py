@@ -15,7 +15,7 @@ def data(n=400, seed=3):
 def test_score_equations_vanish():
     x, y, b = data()
     w = rs.plan_matrix(9, 50, 1)[:, b].astype(float)
-    coef, conv = hz.logit_many(x, y, w)
+    coef, conv = hz.logistic_fits(x, y, w)
     d = np.column_stack([np.ones(len(y)), x])
     assert conv.all() and np.abs((w * (y - 1 / (1 + np.exp(-coef @ d.T)))) @ d).max() < 1e-6
 
@@ -23,19 +23,19 @@ def test_score_equations_vanish():
 def test_one_class_is_undefined_and_separation_is_reported():
     x = np.arange(6.0)[:, None]
     y = np.array([0, 0, 0, 1, 1, 1.0])
-    coef, conv = hz.logit_many(x, y, np.array([[1, 1, 1, 0, 0, 0.0], [1, 1, 1, 1, 1, 1.0]]), steps=20)
+    coef, conv = hz.logistic_fits(x, y, np.array([[1, 1, 1, 0, 0, 0.0], [1, 1, 1, 1, 1, 1.0]]), steps=20)
     assert np.isnan(coef[0]).all() and np.isfinite(coef[1]).all() and not conv[1]
 
 
 def test_large_fits_agree_with_the_batched_fit(spark):
     x, y, b = data()
     s = spark.createDataFrame(pd.DataFrame({"x0": x[:, 0], "x1": x[:, 1], "terminates": y, "b": b})).repartition(4)
-    want = hz.logit_many(x, y, np.ones((1, len(y))))[0][0]
+    want = hz.logistic_fits(x, y, np.ones((1, len(y))))[0][0]
     got = hz.fit_large(s, ["x0", "x1"])
     assert np.allclose([got["intercept"], got["x0"], got["x1"]], want, atol=1e-4)
     plan = rs.plan_matrix(9, 5, 1)
     many = hz.fit_replicates_large(s, ["x0", "x1"], "b", plan, list(range(9)))
-    assert np.allclose(many, hz.logit_many(x, y, plan[:, b].astype(float))[0], atol=1e-6)
+    assert np.allclose(many, hz.logistic_fits(x, y, plan[:, b].astype(float))[0], atol=1e-6)
 
 
 def test_auc(spark):
@@ -47,12 +47,32 @@ def test_auc(spark):
     assert abs(hz.auc(s, ["k"], "y", "p").first()["auc"] - want) < 1e-12
 
 
-def test_smoothing_keeps_a_constant_and_masks_gaps():
+def frame(spark, lat, lon, **fields):
+    la, lo = np.meshgrid(lat, lon, indexing="ij")
+    pdf = pd.DataFrame({"t": 1, "level": 300.0, "lat": la.ravel(), "lon": lo.ravel()} | {k: v.ravel() for k, v in fields.items()})
+    return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "t int, level double, lat double, lon double, " + ", ".join(f"{k} double" for k in fields))
+
+
+def test_smoothing_keeps_a_constant_and_masks_gaps(spark):
     a = np.full((12, 14), 3.0)
     a[4:6, 4:6] = np.nan
-    out = gk.smooth_array(a, 1.0)
-    assert np.allclose(out[np.isfinite(out)], 3.0)
-    assert np.isnan(gk.smooth_array(np.full((9, 9), np.nan))).all()
+    lat, lon = np.arange(12.0), np.arange(14.0)
+    out = gk.smooth(frame(spark, lat, lon, a=a).filter("a IS NOT NULL"), ["t"], "a").collect()
+    assert len(out) == a.size and all(r.smoothed is None or abs(r.smoothed - 3) < 1e-12 for r in out)
+    assert all(r.smoothed is None for r in gk.smooth(frame(spark, lat, lon, a=np.full(a.shape, np.nan)), ["t"], "a").collect())
+    point = np.zeros(a.shape)
+    point[5, 5] = 1.0
+    got = {(r.lat, r.lon): r.smoothed for r in gk.smooth(frame(spark, lat, lon, a=point), ["t"], "a").collect()}
+    w = gk.gaussian(1.0)
+    assert abs(got[5, 5] - w[4] ** 2) < 1e-15 and abs(got[6, 3] - w[5] * w[2]) < 1e-15
+
+
+def test_slope_is_exact_for_parabolas(spark):
+    from pyspark.sql import Window
+    x = np.array([0.0, 1.0, 2.5, 3.0, 7.0])
+    s = spark.createDataFrame(pd.DataFrame({"x": x, "f": 2 * x ** 2 - 3 * x}))
+    got = s.select("x", gk.slope(F.col("f"), F.col("x"), Window.orderBy("x")).alias("d")).collect()
+    assert all(abs(r.d - (4 * r.x - 3)) < 1e-9 for r in got)
 
 
 def test_wave_filter(spark):
@@ -68,11 +88,16 @@ def test_peaks():
     assert list(np.flatnonzero(gk.peak_mask(v, np.full(10, 0.5), 3))) == [3, 6]
 
 
-def test_flux_of_a_wave_on_westerlies_points_east():
+def test_flux_of_a_wave_on_westerlies_points_east(spark):
     lat, lon = np.arange(25, 70, 2.5), np.arange(0, 180, 2.5)
     z = 50 * np.cos(np.radians(5 * lon))[None, :] * np.exp(-((lat - 45) / 10.0) ** 2)[:, None]
-    f = gk.flux_arrays(z, np.full(z.shape, 20.0), np.zeros(z.shape), lat, lon, 300.0, 1.0, (30, 65), 1.0)
-    assert np.nanmean(f["fx"][6:10, 10:-10]) > 0
+    f = gk.wave_flux(frame(spark, lat, lon, z=z, u=np.full(z.shape, 20.0), v=np.zeros(z.shape)), ["t", "level"], "z", "u", "v", lat_range=(30, 65)).toPandas()
+    assert len(f) == z.size and f[f.lat < 30]["fx"].isna().all() and f[(f.lat > 40) & (f.lat < 50)]["fx"].mean() > 0
+    one = f[(f.lat == 45) & (f.lon == 90)].iloc[0]
+    assert abs(one.magnitude - np.hypot(one.fx, one.fy)) < 1e-12 and abs(one.southeast - (one.fx - one.fy) / np.sqrt(2)) < 1e-12
+    # a pure wave in longitude: s_x^2 - s s_xx = (5 A)^2 everywhere, so the flux depends on latitude alone
+    row = f[(f.lat == 45) & (f.lon > 20) & (f.lon < 160)]["fx"]
+    assert row.std() / row.mean() < 0.02
 
 
 def test_suggestions(spark):
