@@ -2,7 +2,7 @@
 
 Many small fits (predictors x replicates) are spread over the cluster: a model's rows are packed
 once, its replicates are cut into chunks, and each (model, chunk) is one Arrow row. A model with
-more rows than ``MAX_PACKED`` is fitted by ``fit_large`` or ``fit_replicates_large``, which never
+more rows than ``max_rows`` is fitted by ``fit_large`` or ``fit_replicates_large``, which never
 bring rows together: every Newton step is one pass that sums gradients and curvatures.
 """
 from __future__ import annotations
@@ -16,7 +16,11 @@ from .resample import benjamini_hochberg, block_list, p_from_tails, plan_matrix,
 from .tails import chi2_1_tail
 from ..plans.ordered import tie_totals
 
-MAX_PACKED = 200_000
+#: Default of ``max_rows``: complete rows of one model that are packed for its replicate fits. Larger models stop with an
+#: error unless the argument is raised; ``fit_large`` and ``fit_replicates_large`` have no bound.
+PACKED_ROWS = 200_000
+#: Complete rows that a candidate needs to be screened.
+SCREEN_ROWS = 30
 
 
 # ---------------------------------------------------------------- risk sets
@@ -120,14 +124,15 @@ def _z(x, ref=None):
 
 
 # ---------------------------------------------------------------- packed models
-def pack_models(rs: DataFrame, keys: list[str], columns: list[Column], block: str, blocks: list, y: str = "terminates") -> DataFrame:
-    """One row per model key with its complete rows; refuses models too large to pack."""
+def pack_models(rs: DataFrame, keys: list[str], columns: list[Column], block: str, blocks: list, y: str = "terminates",
+                max_rows: int = PACKED_ROWS) -> DataFrame:
+    """One row per model key with its complete rows, of which there may be ``max_rows``."""
     ok = F.col(y).isNotNull()
     for c in columns:
         ok = ok & c.isNotNull()
     no = F.array_position(F.array(*[F.lit(b) for b in blocks]), F.col(block)).cast("int") - 1
     e = rs.filter(ok).select(*keys, F.struct(no.alias("b"), F.col(y).cast("double").alias("y"), F.array(*[c.cast("double") for c in columns]).alias("x")).alias("_e"))
-    refuse_large(e, keys, MAX_PACKED, "pack_models (use fit_large or fit_replicates_large)")
+    refuse_large(e, keys, max_rows, "pack_models (use fit_large or fit_replicates_large)")
     return e.groupBy(*keys).agg(F.sort_array(F.collect_list("_e")).alias("_d"))
 
 
@@ -153,7 +158,7 @@ def fit_draws(packed: DataFrame, keys: list[str], plan: np.ndarray, chunk: int =
 
 
 def odds_ratios(rs: DataFrame, models: list[tuple[str, str]], adjust: list[str], block: str, reps: int = 10_000, seed: int = 42, keys: list[str] | None = None,
-                method: str = "hash", y: str = "terminates") -> DataFrame:
+                method: str = "hash", y: str = "terminates", max_rows: int = PACKED_ROWS) -> DataFrame:
     """Odds ratio per SD of each (family, predictor), block interval and plus-one p.
 
     ``keys`` adds group columns of the risk set (variants, catalogues), so that every variant of
@@ -164,7 +169,7 @@ def odds_ratios(rs: DataFrame, models: list[tuple[str, str]], adjust: list[str],
     spec = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(p).alias("predictor"), F.col(p).cast("double").alias("_x")) for f, p in models])
     long = rs.select(*keys, block, y, *adjust, F.inline(spec))
     k = [*keys, "family", "predictor"]
-    packed = pack_models(long, k, [F.col("_x"), *[F.col(a) for a in adjust]], block, blocks, y)
+    packed = pack_models(long, k, [F.col("_x"), *[F.col(a) for a in adjust]], block, blocks, y, max_rows)
     d = fit_draws(packed, k, plan_matrix(len(blocks), reps, seed, method)).withColumn("_b", F.get("coef", 1))
     rep = F.col("rep") >= 0
     g = d.groupBy(*k).agg(
@@ -281,33 +286,44 @@ _PRED = T.ArrayType(T.StructType().add("row_id", "string").add("fold", "integer"
 
 
 def _select(x, y, names, adjust, q_limit, r_limit):
-    """Likelihood-ratio screening of candidates with false-discovery control and a correlation rule."""
-    a = _z(adjust)
-    one = np.ones((1, len(y)))
+    """Likelihood-ratio screening of candidates with false-discovery control and a correlation rule.
 
-    def fit_ll(d):
-        b = logistic_fits(d, y, one)[0][0]
+    A candidate is judged on the rows that hold it, against the base model on the same rows; with fewer than SCREEN_ROWS
+    of them, or without spread, it is no candidate.
+    """
+    def log_likelihood(d, y):
+        b = logistic_fits(d, y, np.ones((1, len(y))))[0][0]
         eta = b[0] + d @ b[1:]
         return float((y * eta - np.logaddexp(0.0, eta)).sum())
-    base = fit_ll(a)
-    p = np.array([chi2_1_tail(2 * (fit_ll(np.column_stack([_z(x[:, [j]]), a])) - base)) if x[:, j].std() > 0 else np.nan for j in range(len(names))])
-    order = [j for j in np.argsort(np.where(np.isnan(p), np.inf, p), kind="stable") if not np.isnan(p[j])]
-    q, low = {}, 1.0
-    for rank in range(len(order), 0, -1):
-        low = min(low, p[order[rank - 1]] * len(order) / rank)
-        q[order[rank - 1]] = low
+
+    p = {}
+    for j in range(len(names)):
+        held = np.isfinite(x[:, j])
+        if held.sum() < SCREEN_ROWS or not x[held, j].std() > 0:
+            continue
+        base, more = _z(adjust[held]), _z(x[held][:, [j]])
+        gain = 2 * (log_likelihood(np.column_stack([more, base]), y[held]) - log_likelihood(base, y[held]))
+        if np.isfinite(gain):
+            p[j] = chi2_1_tail(gain)
+    order = sorted(p, key=lambda j: (p[j], j))
+    q = np.minimum.accumulate([p[j] * len(order) / (i + 1) for i, j in reversed(list(enumerate(order)))])[::-1] if order else []
     chosen = []
-    for j in order:
-        if q[j] < q_limit and all(abs(np.corrcoef(x[:, j], x[:, c])[0, 1]) <= r_limit for c in chosen):
+    for j, value in zip(order, q):
+        alike = []
+        for c in chosen:
+            both = np.isfinite(x[:, j]) & np.isfinite(x[:, c])
+            alike.append(abs(np.corrcoef(x[both, j], x[both, c])[0, 1]) > r_limit if both.sum() > 2 else False)
+        if value < q_limit and not any(alike):
             chosen.append(j)
     return chosen
 
 
 def nested_predictions(rs: DataFrame, candidates: list[str], adjust: list[str], block: str, row_id: Column, select: bool = True, q_limit: float = 0.05,
-                       r_limit: float = 0.8, split: Column | None = None) -> DataFrame:
+                       r_limit: float = 0.8, split: Column | None = None, max_rows: int = PACKED_ROWS) -> DataFrame:
     """Out-of-block predictions: selection, scaling and fit use the other blocks only.
 
-    ``select=False`` uses all candidates; ``split`` names a boolean column for one training period
+    Missing candidates cost no row: each is screened on the rows that hold it, and a model is fitted on the rows that hold
+    what it uses (other rows get a null prediction). ``select=False`` uses all candidates; ``split`` names a boolean column for one training period
     (true) predicting the rest. Each fold is one Arrow row.
     """
     if split is not None:
@@ -324,21 +340,24 @@ def nested_predictions(rs: DataFrame, candidates: list[str], adjust: list[str],
             ids, blk = np.asarray([r["i"] for r in rows]), np.asarray([r["b"] for r in rows])
             y, x = np.asarray([r["y"] for r in rows], float), np.asarray([list(r["x"]) for r in rows], float)
             tr, te = blk != f, blk == f
-            one = np.ones((1, int(tr.sum())))
             chosen = _select(x[tr][:, :nc], y[tr], candidates, x[tr][:, nc:], q_limit, r_limit) if select else list(range(nc))
 
             def predict(idx):
-                b = logistic_fits(_z(x[tr][:, idx]), y[tr], one)[0][0]
-                return 1.0 / (1.0 + np.exp(-(b[0] + _z(x[te][:, idx], x[tr][:, idx]) @ b[1:])))
+                whole = tr & np.isfinite(x[:, idx]).all(axis=1)
+                if whole.sum() < 2:
+                    return np.full(int(te.sum()), np.nan)
+                known = x[whole][:, idx]
+                b = logistic_fits(_z(known), y[whole], np.ones((1, len(known))))[0][0]
+                return 1.0 / (1.0 + np.exp(-(b[0] + _z(x[te][:, idx], known) @ b[1:])))
             a_idx = list(range(nc, x.shape[1]))
             pa, pf = predict(a_idx), predict(chosen + a_idx)
             out.append([{"row_id": i, "fold": int(f), "y": v, "p_adjust": None if np.isnan(p) else float(p), "p_full": None if np.isnan(q) else float(q), "p_climatology": float(y[tr].mean()),
                          "chosen": [candidates[c] for c in chosen]} for i, v, p, q in zip(ids[te], y[te], pa, pf)])
         return pd.Series(out)
 
-    e = rs.dropna(subset=[*cols, "terminates"]).select(F.struct(row_id.cast("string").alias("i"), F.col(block).alias("b"), F.col("terminates").cast("double").alias("y"),
+    e = rs.dropna(subset=[*adjust, "terminates"]).select(F.struct(row_id.cast("string").alias("i"), F.col(block).alias("b"), F.col("terminates").cast("double").alias("y"),
                                                                F.array(*[F.col(c).cast("double") for c in cols]).alias("x")).alias("_e"))
-    refuse_large(e, [], MAX_PACKED, "nested_predictions")
+    refuse_large(e, [], max_rows, "nested_predictions")
     p = e.agg(F.sort_array(F.collect_list("_e")).alias("_d")).withColumn("fold", F.explode(F.array(*[F.lit(b) for b in blocks]))).repartition("fold")
     return p.select(F.inline(run("_d", "fold")))
 
@@ -363,7 +382,7 @@ def scores(pred: DataFrame, keys: list[str]) -> DataFrame:
     return g.join(a, keys).withColumn("auc_difference", F.col("auc_full") - F.col("auc_adjust"))
 
 
-def score_intervals(pred: DataFrame, keys: list[str], block: str, reps: int = 10_000, seed: int = 42) -> DataFrame:
+def score_intervals(pred: DataFrame, keys: list[str], block: str, reps: int = 10_000, seed: int = 42, max_rows: int = PACKED_ROWS) -> DataFrame:
     """Block intervals of AUC and Brier differences and the calibration slope, per packed prediction set."""
     blocks = block_list(pred, block)
     plan = plan_matrix(len(blocks), reps, seed)
@@ -390,16 +409,17 @@ def score_intervals(pred: DataFrame, keys: list[str], block: str, reps: int = 10
             out.append((*np.nanpercentile(da, [2.5, 97.5]), *np.nanpercentile(db, [2.5, 97.5]), slope))
         return pd.DataFrame(out, columns=schema.names)
 
-    refuse_large(pred, keys, MAX_PACKED, "score_intervals")
+    refuse_large(pred, keys, max_rows, "score_intervals")
     p = pred.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(block).alias("b"), "y", F.col("p_adjust").alias("a"), F.col("p_full").alias("f")))).alias("_d"))
     return p.select(*keys, run("_d").alias("_r")).select(*keys, "_r.*")
 
 
-def selection_frequency(pred: DataFrame) -> DataFrame:
-    """Share of folds that picked each candidate."""
+def selection_frequency(pred: DataFrame, candidates: list[str]) -> DataFrame:
+    """Share of folds that picked each candidate, zero included."""
     f = pred.select("fold", "chosen").distinct()
-    c = f.select(F.explode("chosen").alias("predictor")).groupBy("predictor").agg(F.count(F.lit(1)).alias("times_chosen"))
-    return c.withColumn("folds", F.lit(f.count()).cast("long")).withColumn("share", F.col("times_chosen") / F.col("folds"))
+    named = f.select("fold", F.explode(F.array(*[F.lit(c) for c in candidates])).alias("predictor"), "chosen")
+    c = named.groupBy("predictor").agg(F.count_if(F.array_contains("chosen", F.col("predictor"))).alias("times_chosen"), F.count(F.lit(1)).alias("folds"))
+    return c.withColumn("share", F.col("times_chosen") / F.col("folds"))
 
 
 def direction_agreement(variants: DataFrame, primary: str, variant: str = "variant") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Rows are first reduced to one sum per key and block (a partial aggregate). What is resampled is
 that short array, so the cost of B replicates does not depend on the number of rows. The plan
-matrix (replicates x blocks) is the only thing sent to the tasks and its size is checked.
+matrix (replicates x blocks, blocks being seasons) is the only thing sent to the tasks.
 """
 from __future__ import annotations
 
@@ -17,9 +17,8 @@ from ..functions import calendar as cal
 from ..plans.ordered import average_rank, running_extreme, tie_totals, with_rank
 from .tails import binomial_interval, t_p_value
 
-MAX_BLOCKS = 2_000
-MAX_PLAN_CELLS = 50_000_000
-MAX_EVENTS = 200_000
+#: Default of ``max_rows`` of the rank-correlation interval: events of one key that are packed into one row.
+PACKED_EVENTS = 200_000
 
 
 def refuse_large(df: DataFrame, keys: list[str], limit: int, what: str) -> None:
@@ -31,11 +30,8 @@ def refuse_large(df: DataFrame, keys: list[str], limit: int, what: str) -> None:
 
 # ---------------------------------------------------------------- plan
 def block_list(df: DataFrame, block: str) -> list:
-    """Sorted distinct blocks (seasons); refuses a block column that is not block-like."""
-    got = [r[0] for r in df.select(block).filter(F.col(block).isNotNull()).distinct().limit(MAX_BLOCKS + 1).collect()]
-    if len(got) > MAX_BLOCKS:
-        raise ValueError(f"more than {MAX_BLOCKS} distinct blocks in {block}")
-    return sorted(got)
+    """Sorted distinct blocks; these are seasons, so their number grows with the years on record and not with the rows."""
+    return sorted(r[0] for r in df.select(block).filter(F.col(block).isNotNull()).distinct().collect())
 
 
 def plan_matrix(n_blocks: int, reps: int, seed: int, method: str = "hash") -> np.ndarray:
@@ -44,8 +40,6 @@ def plan_matrix(n_blocks: int, reps: int, seed: int, method: str = "hash") -> np
     ``numpy`` uses a generator seeded once; ``hash`` takes draw j of replicate r from
     md5("seed:r:j"), which any SQL engine can repeat.
     """
-    if reps * n_blocks > MAX_PLAN_CELLS:
-        raise ValueError("resampling plan too large to send to the tasks")
     if method == "numpy":
         draws = np.random.default_rng(seed).integers(0, n_blocks, size=(reps, n_blocks))
     else:
@@ -70,11 +64,13 @@ def p_from_tails(n_le: Column, n_ge: Column, n: Column) -> Column:
 
 def block_arrays(df: DataFrame, keys: list[str], block: str, blocks: list, sums: dict[str, Column]) -> DataFrame:
     """One row per key with, for every named column, an array of its per-block sums."""
-    aggs = []
-    for name, c in sums.items():
-        per = [F.coalesce(F.sum(F.when(F.col(block) == F.lit(b), c)), F.lit(0.0)).cast("double") for b in blocks]
-        aggs.append(F.array(*per).alias(name))
-    return df.groupBy(*keys).agg(*aggs)
+    kind = next(t for c, t in df.select(F.col(block).alias("b")).dtypes)
+    each = df.groupBy(*keys, F.col(block).alias("_b")).agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()])
+    # at most one entry per block, as the sums are merged before
+    packed = each.groupBy(*keys).agg(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", F.struct(*sums)))).alias("_e"))
+    found, order = F.map_from_entries("_e"), F.array(*[F.lit(b) for b in blocks]).cast(f"array<{kind}>")
+    entry = lambda n: lambda b: F.coalesce(F.try_element_at(found, b)[n], F.lit(0.0))
+    return packed.select(*keys, *[F.transform(order, entry(n)).alias(n) for n in sums])
 
 
 _RESULT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("observed", "se", "ci_low", "ci_high", "n_le", "n_ge", "n_valid")])
@@ -281,7 +277,7 @@ def _residual_corr(r: list[np.ndarray]) -> float:
     return float(np.corrcoef(x, y)[0, 1])
 
 
-def spearman_interval(df: DataFrame, keys: list[str], columns: list[str], block: str, reps: int = 10_000, seed: int = 42, permutations: int = 0) -> DataFrame:
+def spearman_interval(df: DataFrame, keys: list[str], columns: list[str], block: str, reps: int = 10_000, seed: int = 42, permutations: int = 0, max_rows: int = PACKED_EVENTS) -> DataFrame:
     """(Partial) Spearman of the first two columns given the others, block interval and p.
 
     A key holds one value per event, so its arrays are as long as the event list. Every replicate
@@ -315,7 +311,7 @@ def spearman_interval(df: DataFrame, keys: list[str], columns: list[str], block:
             out.append(s)
         return pd.DataFrame(out)[[f.name for f in schema.fields]]
 
-    refuse_large(d, keys, MAX_EVENTS, "spearman_interval")
+    refuse_large(d, keys, max_rows, "spearman_interval")
     a = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(block).alias("_b"), *columns))).alias("_a"))
     r = a.select(*keys, run("_a").alias("_r")).select(*keys, "_r.*")
     return r.withColumn("p_value", p_from_tails(F.col("n_le"), F.col("n_ge"), F.col("n_valid")))

@@ -106,17 +106,17 @@ def _(spark, sf):
 
 @query("nested_selection", "H12 H13")
 def _(spark, sf):
-    return predictions(spark, sf, q_limit=0.9).groupBy("fold", F.concat_ws(",", "chosen").alias("chosen")).agg(F.count(F.lit(1)).alias("rows"))
+    return predictions(spark, sf).groupBy("fold", F.concat_ws(",", "chosen").alias("chosen")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("nested_selection_frequency", "H13")
 def _(spark, sf):
-    return hz.selection_frequency(predictions(spark, sf, q_limit=0.9))
+    return hz.selection_frequency(predictions(spark, sf), ["x", "y", "xy"])
 
 
 @query("split_period_scores", "H13 H14")
 def _(spark, sf):
-    p = predictions(spark, sf, q_limit=0.9, split=F.col("season") < 1998).withColumn("model", F.lit("split"))
+    p = predictions(spark, sf, split=F.col("season") < 1998).withColumn("model", F.lit("split"))
     return hz.scores(p, ["model"])
 
 
