@@ -11,7 +11,7 @@ from .q_events import CAT_SQL, DAILY_SQL, REV_SQL, SWEEP_SQL, daily, primary, re
 from .q_grid import IO_SQL, LAG_SQL, SEC_SQL, _event_fields, inside_outside, rounded, sectors
 from .registry import GRID_DAILY_SQL, R, grid_daily, query, r6, table
 
-REPS = 200
+REPS = 10_000
 COV_SQL = "nat AS (SELECT date, avg(tmax) AS x, avg(tmin) AS y FROM sd GROUP BY 1), cov AS (SELECT date, CAST(year(date) - CASE WHEN month(date) <= 6 THEN 1 ELSE 0 END AS INTEGER) AS season_y, strftime(date, '%m-%d') AS month_day, round(x, 9) - 54 AS x, round(y, 9) - 25.4 AS y FROM nat)"
 
 
