@@ -57,29 +57,70 @@ def _(spark, sf):
     return a.join(t, ["event_id", "event_age"])
 
 
-@query("large_logistic_fit", "H05")
+def newton(keys: str, steps: int = 30) -> str:
+    """CTEs for logistic fits of t on v and a with weights w, for every ``keys`` of table d: Newton steps on the sums.
+
+    fit holds the coefficients b0, b1, b2 and whether the last step was below 1e-10; keys with one class have no row.
+    """
+    det = "(s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02))"
+    return f"""nw AS (SELECT {keys}, 0 AS it, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 1.0::DOUBLE AS move FROM d GROUP BY {keys} HAVING sum(w * t) > 0 AND sum(w * t) < sum(w)
+  UNION ALL SELECT {keys}, it + 1, b0 + d0, b1 + d1, b2 + d2, greatest(abs(d0), abs(d1), abs(d2)) FROM (
+    SELECT {keys}, it, b0, b1, b2, ((s11 * s22 - s12 * s12) * g0 + (s02 * s12 - s01 * s22) * g1 + (s01 * s12 - s02 * s11) * g2) / {det} AS d0,
+      ((s12 * s02 - s01 * s22) * g0 + (s00 * s22 - s02 * s02) * g1 + (s01 * s02 - s00 * s12) * g2) / {det} AS d1,
+      ((s01 * s12 - s11 * s02) * g0 + (s01 * s02 - s00 * s12) * g1 + (s00 * s11 - s01 * s01) * g2) / {det} AS d2 FROM (
+      SELECT {keys}, it, b0, b1, b2, sum(w * (t - m)) AS g0, sum(w * (t - m) * v) AS g1, sum(w * (t - m) * a) AS g2, sum(w * m * (1 - m)) + 1e-10 AS s00, sum(w * m * (1 - m) * v) AS s01,
+        sum(w * m * (1 - m) * a) AS s02, sum(w * m * (1 - m) * v * v) + 1e-10 AS s11, sum(w * m * (1 - m) * v * a) AS s12, sum(w * m * (1 - m) * a * a) + 1e-10 AS s22 FROM (
+        SELECT {keys}, it, b0, b1, b2, t, w, v, a, 1 / (1 + exp(-greatest(-500, least(500, b0 + b1 * v + b2 * a)))) AS m FROM nw JOIN d USING ({keys}) WHERE it < {steps} AND move >= 1e-10)
+      GROUP BY {keys}, it, b0, b1, b2))),
+fit AS (SELECT {keys}, arg_max(b0, it) AS b0, arg_max(b1, it) AS b1, arg_max(b2, it) AS b2, arg_max(move, it) < 1e-10 AS conv FROM nw GROUP BY {keys})"""
+
+
+@query("large_logistic_fit", "H05", f"""WITH RECURSIVE d AS (SELECT 1 AS one, l_quantity / 10 AS v, l_discount * 10 AS a, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END::DOUBLE AS t, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL), {newton('one')}
+SELECT term, {R('b', 4)} AS coefficient FROM (SELECT 'intercept' AS term, b0 AS b FROM fit UNION ALL SELECT 'q', b1 FROM fit UNION ALL SELECT 'd', b2 FROM fit)""")
 def _(spark, sf):
     d = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("terminates"), (F.col("l_quantity") / 10).alias("q"), (F.col("l_discount") * 10).alias("d"))
     got = hz.fit_large(d, ["q", "d"])
-    return spark.createDataFrame([(a, float(b)) for a, b in got.items()], "term string, coefficient double")
+    return rounded(spark.createDataFrame([(a, float(b)) for a, b in got.items()], "term string, coefficient double"), "coefficient", digits=4)
 
 
 MODELS = [("local", "x"), ("local", "y"), ("mixed", "xy")]
 
 
-@query("hazard_odds_ratios", "H06 H07")
+HAZARD_SQL = f"""{SC_SQL}, hz AS (SELECT season, log_age AS a, CASE WHEN month(end_date) = 2 AND month(CAST(end_date + 1 AS DATE)) <> 2 AND date = end_date THEN 0 ELSE terminates END AS t, x, y, x * 0.3 - y AS xy FROM rs0 LEFT JOIN cov USING (date)),
+lo AS (SELECT 'local' AS family, 'x' AS predictor, x AS v, a, t, season FROM hz UNION ALL SELECT 'local', 'y', y, a, t, season FROM hz UNION ALL SELECT 'mixed', 'xy', xy, a, t, season FROM hz),
+cm AS (SELECT * FROM lo WHERE v IS NOT NULL AND a IS NOT NULL), st AS (SELECT family, predictor, avg(v) AS mv, stddev_samp(v) AS sv, avg(a) AS ma, stddev_samp(a) AS sa FROM cm GROUP BY 1, 2),
+zs AS (SELECT family, predictor, season, t::DOUBLE AS t, (v - mv) / sv AS v, (a - ma) / sa AS a FROM cm JOIN st USING (family, predictor)),
+bl AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS i FROM (SELECT DISTINCT season AS b FROM hz))"""
+PLAN_SQL = f"""pl AS (SELECT r AS rep, CAST('0x' || substr(md5('42:' || CAST(r AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT count(*) FROM bl) AS i, count(*)::DOUBLE AS w FROM (SELECT unnest(range({REPS})) AS r), (SELECT unnest(range((SELECT count(*) FROM bl))) AS j) GROUP BY 1, 2 UNION ALL SELECT -1, i, 1.0 FROM bl)"""
+DESIGN_SQL = "d AS (SELECT family, predictor, rep, v, a, t, w FROM zs JOIN bl ON season = b JOIN pl USING (i))"
+FITTED = f"WITH RECURSIVE {HAZARD_SQL}, {PLAN_SQL}, {DESIGN_SQL}, {newton('family, predictor, rep')}"
+RATIO_SQL = f"""SELECT family, predictor, n_rows, n_terminations, {R('exp(o)', 5)} AS odds_ratio_per_sd, {R('exp(l)', 5)} AS ci_low, {R('exp(h)', 5)} AS ci_high, {R('least(1.0, 2.0 * (least(le, ge) + 1) / (n + 1))')} AS p_bootstrap, n AS n_boot_valid, bad AS n_not_converged, l > 0 OR h < 0 AS ci_excludes_one
+FROM (SELECT family, predictor, max(b1) FILTER (WHERE rep = -1) AS o, quantile_cont(b1, 0.025) FILTER (WHERE rep >= 0) AS l, quantile_cont(b1, 0.975) FILTER (WHERE rep >= 0) AS h, count(*) FILTER (WHERE rep >= 0) AS n, count(*) FILTER (WHERE rep >= 0 AND NOT conv) AS bad,
+  count(*) FILTER (WHERE rep >= 0 AND b1 <= 0) AS le, count(*) FILTER (WHERE rep >= 0 AND b1 >= 0) AS ge FROM fit GROUP BY 1, 2) JOIN (SELECT family, predictor, count(*) AS n_rows, CAST(sum(t) AS INTEGER) AS n_terminations FROM cm GROUP BY 1, 2) USING (family, predictor)"""
+
+
+def ratios(df):
+    return rounded(rounded(df, "odds_ratio_per_sd", "ci_low", "ci_high", digits=5), "p_bootstrap")
+
+
+@query("hazard_odds_ratios", "H06 H07", f"{FITTED} {RATIO_SQL}")
 def _(spark, sf):
-    return hz.odds_ratios(hazard_rows(spark, sf), MODELS, ["log_age"], "season", REPS)
+    return ratios(hz.odds_ratios(hazard_rows(spark, sf), MODELS, ["log_age"], "season", REPS))
 
 
-@query("hazard_family_scan", "H08 B08")
+@query("hazard_family_scan", "H08 B08", f"""{FITTED}, od AS ({RATIO_SQL}), rf AS (SELECT *, p_bootstrap * count(*) OVER (PARTITION BY family) / (rank() OVER (PARTITION BY family ORDER BY p_bootstrap) + count(*) OVER (PARTITION BY family, p_bootstrap) - 1) AS f,
+p_bootstrap * count(*) OVER () / (rank() OVER (ORDER BY p_bootstrap) + count(*) OVER (PARTITION BY p_bootstrap) - 1) AS g FROM od)
+SELECT * EXCLUDE (f, g), {R('least(1.0, min(f) OVER (PARTITION BY family ORDER BY p_bootstrap DESC))', 5)} AS q_family, {R('least(1.0, min(g) OVER (ORDER BY p_bootstrap DESC))', 5)} AS q_all FROM rf""")
 def _(spark, sf):
-    return cut_lineage(hz.family_scan(hazard_rows(spark, sf), MODELS, ["log_age"], "season", REPS))
+    return rounded(ratios(hz.family_scan(hazard_rows(spark, sf), MODELS, ["log_age"], "season", REPS)), "q_family", "q_all", digits=5)
 
 
-@query("hazard_leave_one_out", "H09")
+@query("hazard_leave_one_out", "H09", f"""WITH RECURSIVE {HAZARD_SQL}, pl AS (SELECT o.i AS rep, x.i, 1.0 AS w FROM bl o JOIN bl x ON x.i <> o.i UNION ALL SELECT -1, i, 1.0 FROM bl), {DESIGN_SQL}, {newton('family, predictor, rep')},
+f AS (SELECT *, max(b1) FILTER (WHERE rep = -1) OVER (PARTITION BY family, predictor) AS o FROM fit)
+SELECT family, predictor, {R('exp(max(o))', 5)} AS odds_ratio, {R('exp(min(b1))', 5)} AS loo_low, {R('exp(max(b1))', 5)} AS loo_high, {R('avg(CASE WHEN sign(b1) = sign(o) THEN 1.0 ELSE 0.0 END)')} AS sign_stability, count(*) AS block_count FROM f WHERE rep >= 0 GROUP BY 1, 2""")
 def _(spark, sf):
-    return hz.leave_block_out_ratios(hazard_rows(spark, sf), MODELS, ["log_age"], "season")
+    got = hz.leave_block_out_ratios(hazard_rows(spark, sf), MODELS, ["log_age"], "season")
+    return rounded(rounded(got, "odds_ratio", "loo_low", "loo_high", digits=5), "sign_stability")
 
 
 @query("hazard_multivariable", "H10")
