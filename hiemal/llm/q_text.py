@@ -31,10 +31,9 @@ def op3(spark, sf_dir):
 def op10(spark, sf_dir):
     import public_tokenizers
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
-    out = byte_bpe.decode(coded, ranks, ["doc_id", "n_tokens", "ids"])
-    return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, decoded=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op8_compact_windows")
