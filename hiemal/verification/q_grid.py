@@ -167,9 +167,15 @@ def _(spark, sf):
     return z.select("time", r6("box_mean", 4).alias("box_mean"), r6("box_max", 4).alias("box_max"), r6("zscore", 5).alias("zscore"))
 
 
-@query("smoothed_field", "G25")
+@query("smoothed_field", "G25", f"""WITH {GRID_MONTHLY_SQL}, ws AS (SELECT k, exp(-k * k / 2.0) / sum(exp(-k * k / 2.0)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS k)),
+la AS (SELECT time, level, lat, row_number() OVER (PARTITION BY time, level ORDER BY lat) - 1 AS i, count(*) OVER (PARTITION BY time, level) AS n FROM (SELECT DISTINCT time, level, lat FROM gridm)),
+lo AS (SELECT time, level, lon, row_number() OVER (PARTITION BY time, level ORDER BY lon) - 1 AS i, count(*) OVER (PARTITION BY time, level) AS n FROM (SELECT DISTINCT time, level, lon FROM gridm)),
+py AS (SELECT time, level, lat, least(greatest(i + k, 0), n - 1) AS i, sum(w) AS w FROM la, ws GROUP BY 1, 2, 3, 4), px AS (SELECT time, level, lon, least(greatest(i + k, 0), n - 1) AS i, sum(w) AS w FROM lo, ws GROUP BY 1, 2, 3, 4),
+cell AS (SELECT time, level, la.i AS iy, lo.i AS ix, t FROM gridm JOIN la USING (time, level, lat) JOIN lo USING (time, level, lon) WHERE t IS NOT NULL)
+SELECT time, level, py.lat, px.lon, {R('CASE WHEN sum(CASE WHEN t IS NOT NULL THEN py.w * px.w ELSE 0 END) > 0.25 THEN sum(py.w * px.w * t) / sum(CASE WHEN t IS NOT NULL THEN py.w * px.w ELSE 0 END) END')} AS smoothed
+FROM py JOIN px USING (time, level) LEFT JOIN cell ON cell.time = py.time AND cell.level = py.level AND cell.iy = py.i AND cell.ix = px.i GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
-    return gk.smooth(grid_monthly(spark, sf), ["time", "level"], "t", 1.0)
+    return rounded(gk.smooth(grid_monthly(spark, sf), ["time", "level"], "t", 1.0), "smoothed")
 
 
 def flux(spark, sf):
@@ -224,15 +230,22 @@ def _(spark, sf):
     return rounded(band(spark, sf), "v")
 
 
-@query("wave_envelope", "G28")
+@query("wave_envelope", "G28", f"""WITH {BAND_SQL}, ix AS (SELECT time, lon, v, row_number() OVER (PARTITION BY time ORDER BY lon) - 1 AS j, count(*) OVER (PARTITION BY time) AS n FROM bd),
+tr AS (SELECT time, lon, v, k, n, 2 * pi() * k * j / n AS th FROM ix, (SELECT unnest(range(2, 5)) AS k)), co AS (SELECT time, k, sum(v * cos(th)) AS a, sum(v * sin(th)) AS b, count(v) AS m FROM tr GROUP BY 1, 2),
+wv AS (SELECT time, lon, sum(2.0 / n * (a * cos(th) + b * sin(th))) AS re, sum(2.0 / n * (a * sin(th) - b * cos(th))) AS im, bool_and(m = n) AS whole FROM tr JOIN co USING (time, k) GROUP BY 1, 2)
+SELECT time, lon, {R('CASE WHEN whole THEN sqrt(re * re + im * im) END')} AS envelope, {R('CASE WHEN whole THEN re END')} AS wave, CASE WHEN whole AND sqrt(re * re + im * im) > 1e-6 THEN abs({R('atan2(im, re)', 4)}) * CASE WHEN {R('atan2(im, re)', 4)} < 0 AND {R('atan2(im, re)', 4)} > -3.1416 THEN -1 ELSE 1 END END AS phase FROM wv""")
 def _(spark, sf):
-    return gk.analytic_wave(band(spark, sf), ["time"], "v", 2, 4)
+    w = gk.band_wave(band(spark, sf), ["time"], "v", 2, 4)
+    # no phase where there is no wave; half a turn is written as pi
+    phase = F.when(F.col("phase") <= -3.1416, -F.col("phase")).otherwise(F.col("phase"))
+    w = rounded(w.withColumn("phase", F.when(F.col("envelope") > 1e-6, F.col("phase"))), "phase", digits=4).withColumn("phase", phase)
+    return rounded(w, "envelope", "wave")
 
 
 @query("recurrent_wave_metric", "G29")
 def _(spark, sf):
     b = k.centred_mean(band(spark, sf), ["lon"], "time", "v", 2, "v_filtered")
-    return gk.analytic_wave(b.filter("v_filtered IS NOT NULL"), ["time"], "v_filtered", 2, 4)
+    return gk.band_wave(b.filter("v_filtered IS NOT NULL"), ["time"], "v_filtered", 2, 4)
 
 
 SECTORS = {"west": (0.0, 150.0), "east": (180.0, 330.0)}

@@ -79,7 +79,7 @@ def test_wave_filter(spark):
     lon = np.arange(0, 360, 10.0)
     v = 2.0 * np.cos(np.radians(3 * lon) + 0.4) + 5 * np.cos(np.radians(9 * lon))
     s = spark.createDataFrame(pd.DataFrame({"t": 1, "lon": lon, "v": v}))
-    got = gk.analytic_wave(s, ["t"], "v", 2, 5).toPandas().sort_values("lon")
+    got = gk.band_wave(s, ["t"], "v", 2, 5).toPandas().sort_values("lon")
     assert np.allclose(got["envelope"], 2.0) and np.allclose(got["wave"], 2 * np.cos(np.radians(3 * lon) + 0.4))
 
 
