@@ -1,8 +1,11 @@
 """Row-level functions and sources."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F, types as T
 
+from ..session import stage_folder
 from ..functions import calendar as cal, geo, numeric as num, parse, text
 from ..operators.reconcile import distinct_text
 from ..sources import delimited, tables
@@ -257,8 +260,13 @@ def _(spark, sf):
     head = files.filter("file <> 3").select("file", F.lit(5).cast("long").alias("line_key"),
                                             F.when(F.col("file") == 4, "id,amount,note").otherwise("id,balance,note").alias("line"))
     schema = T.StructType().add("id", "long").add("balance", "double").add("note", "string")
-    rows = delimited.split_fields(delimited.after_header(body.unionByName(pre).unionByName(head), "id,"), schema)
-    return rows.groupBy(F.col("file").alias("file_no"), "row_status").agg(
+    # one text file per nation, preamble and header first, read again by the file reader
+    lines = body.unionByName(pre).unionByName(head).repartition("file").sortWithinPartitions("file", "line_key")
+    path = f"{stage_folder(spark)}/reports/{uuid.uuid4().hex}"
+    lines.select("file", "line").write.partitionBy("file").text(path)
+    rows = delimited.read_with_preamble(spark, path, "id,", schema)
+    number = F.regexp_extract("file", r"/file=(\d+)/", 1).cast(c.schema["c_nationkey"].dataType)
+    return rows.groupBy(number.alias("file_no"), "row_status").agg(
         F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"), F.round(F.sum("balance"), 4).alias("balance"))
 
 
@@ -276,7 +284,13 @@ SELECT s_suppkey, CAST(round(s_acctbal / 7, 2) AS VARCHAR) IS NOT NULL AS has_va
 def _(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", F.lit(True).alias("has_value"),
                                             F.when(F.col("s_acctbal") >= 1000, F.col("s_acctbal") * 3).alias("balance"))
-    return tables.fixed_format(s)
+    folder = f"{stage_folder(spark)}/sinks/{uuid.uuid4().hex}"
+    kinds = T.StructType().add("s_suppkey", s.schema["s_suppkey"].dataType).add("has_value", "boolean").add("balance", "double")
+    tables.write_table(s, f"{folder}/typed", kinds, cluster_by=["s_suppkey"])
+    typed = tables.read_table(spark, f"{folder}/typed")
+    tables.write_csv(typed, f"{folder}/rows.csv")
+    back = tables.read_table(spark, f"{folder}/rows.csv", schema=T.StructType(kinds.fields[:2]).add("balance", "string"))
+    return back.withColumn("balance", F.coalesce("balance", F.lit("")))
 
 
 @query("month_file_coverage", "R05", f"""WITH {GRID_DAILY_SQL}, n AS (
