@@ -34,3 +34,12 @@ def test_query_matches_sql(spark, name):
     cols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(df.columns)
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(cols, rel.fetchall())
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
+@pytest.mark.parametrize("name", ["false_discovery_by_family", "cell_regression_p", "area_weights", "standardised_risk_set", "event_set_comparison", "station_participation",
+                                  "threshold_order_check", "network_residuals", "onset_count_null", "leave_one_season_out"])
+def test_plan_has_no_product(spark, name):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().explainString(mode)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
