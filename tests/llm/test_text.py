@@ -308,6 +308,23 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_phrase_of_many_documents(spark):
+    """Repeats that lie mostly in a phrase of 40, 45 or 48 words of many documents, their holders far apart in id order."""
+    rng = np.random.default_rng(21)
+    texts = {}
+    for k, (n, more) in enumerate([(40, 12), (45, 10), (48, 6)]):
+        phrase, tails = words(rng, n), [words(rng, more) for _ in range(150)]
+        for i in range(600):
+            tail = tails[i % 150] if i % 2 else words(rng, more)
+            texts[1000 * k + i] = " ".join(words(rng, 8) + (phrase + tail if i % 4 == 1 else tail + phrase) + words(rng, 8))
+    df = spark.createDataFrame([doc(i, t) for i, t in texts.items()], DOCS).repartition(6)
+    cover = {}
+    for r in passages.repeated_passages(df).collect():
+        cover.setdefault(r.doc_id, set()).update(range(r.start_word, r.stop_word))
+    want = {i: w for i, w in exact_repeats(texts, 50).items() if w}
+    assert len(want) > 300 and sum(not w <= cover.get(i, set()) for i, w in want.items()) == 0
+
+
 def test_whole_copies_go(spark):
     rng = np.random.default_rng(9)
     t = " ".join(words(rng, 90))
