@@ -267,53 +267,81 @@ def _ranks(a: np.ndarray) -> np.ndarray:
     return (np.cumsum(n) - (n - 1) / 2.0)[inv]
 
 
-def _residual_corr(r: list[np.ndarray]) -> float:
-    x, y = r[0], r[1]
-    if len(r) > 2:
-        z = np.column_stack([np.ones(len(x)), *r[2:]])
-        x, y = (v - z @ np.linalg.lstsq(z, v, rcond=None)[0] for v in (x, y))
-    if x.std() == 0 or y.std() == 0:
-        return np.nan
-    return float(np.corrcoef(x, y)[0, 1])
+def _weighted_ranks(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Average ranks of ``a`` with each value repeated as often as a row of ``w`` (replicates x values) says."""
+    _, inv = np.unique(a, return_inverse=True)
+    order = np.argsort(inv, kind="stable")
+    n = np.add.reduceat(w[:, order], np.flatnonzero(np.diff(inv[order], prepend=-1)), axis=1)
+    return (np.cumsum(n, axis=1) - (n - 1) / 2.0)[:, inv]
+
+
+def _residual_corr(r: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+    """For each row of weights the (partial) correlation of the first two rank columns given the others."""
+    total = w.sum(axis=1)
+    with np.errstate(all="ignore"):
+        r = np.stack([np.broadcast_to(x, w.shape) for x in r], axis=1)
+        r = r - ((r * w[:, None]).sum(axis=2) / total[:, None])[:, :, None]
+        cov = np.einsum("rin,rjn,rn->rij", r, r, w, optimize=True) / total[:, None, None]
+        ok = (total > 3) & np.isfinite(cov).all(axis=(1, 2))
+        cov[~ok] = 0
+        z = cov[:, :2, 2:]
+        rest = cov[:, :2, :2] - z @ np.linalg.pinv(cov[:, 2:, 2:], hermitian=True) @ z.transpose(0, 2, 1) if len(r[0]) > 2 else cov[:, :2, :2]
+        x, y = rest[:, 0, 0], rest[:, 1, 1]
+        ok &= (x > 1e-12 * cov[:, 0, 0]) & (y > 1e-12 * cov[:, 1, 1])
+        return np.where(ok, rest[:, 0, 1] / np.sqrt(x * y), np.nan)
+
+
+#: Replicates of one Arrow row, and numbers held at once while they are ranked.
+CHUNK, HELD = 500, 1_000_000
 
 
 def spearman_interval(df: DataFrame, keys: list[str], columns: list[str], block: str, reps: int = 10_000, seed: int = 42, permutations: int = 0, max_rows: int = PACKED_EVENTS) -> DataFrame:
     """(Partial) Spearman of the first two columns given the others, block interval and p.
 
     A key holds one value per event, so its arrays are as long as the event list. Every replicate
-    needs new ranks, which is why this runs in NumPy. ``permutations`` adds a permutation p.
+    needs new ranks, which is why this runs in NumPy; CHUNK replicates of a key are one row, so its
+    replicates spread over tasks. ``permutations`` adds a permutation p.
     """
     d = df
     for c in columns:
         d = d.filter(F.col(c).isNotNull())
     blocks = block_list(d, block)
     plan = plan_matrix(len(blocks), reps, seed)
-    schema = T.StructType([*_RESULT.fields, T.StructField("p_permutation", T.DoubleType()), T.StructField("n", T.LongType())])
+    parts = -(-max(reps, permutations, 1) // CHUNK)
 
-    @F.pandas_udf(schema)
-    def run(rows: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("observed double, draws array<double>, hits long, n long")
+    def replicate(rows: pd.Series, part: pd.Series) -> pd.DataFrame:
         out = []
-        for r in rows:
+        for r, k in zip(rows, part):
             m = np.asarray([[e[c] for c in columns] for e in r], float)
             at = np.searchsorted(blocks, [e["_b"] for e in r])
-            obs = _residual_corr([_ranks(m[:, k]) for k in range(m.shape[1])])
-            draws = []
-            for w in plan:
-                i = np.repeat(np.arange(len(m)), w[at])
-                draws.append(_residual_corr([_ranks(m[i, k]) for k in range(m.shape[1])]) if len(i) > 3 else np.nan)
-            s = _summary(np.array([obs]), np.array(draws)[:, None]).iloc[0].to_dict()
-            s["p_permutation"] = None
-            if permutations:
-                rng, ranks = np.random.default_rng(seed), [_ranks(m[:, k]) for k in range(m.shape[1])]
-                hit = sum(abs(_residual_corr([rng.permutation(ranks[0]), *ranks[1:]])) >= abs(obs) - 1e-12 for _ in range(permutations))
-                s["p_permutation"] = (hit + 1.0) / (permutations + 1.0)
-            s["n"] = len(m)
-            out.append(s)
-        return pd.DataFrame(out)[[f.name for f in schema.fields]]
+            ranks, one = [_ranks(x) for x in m.T], np.ones((1, len(m)))
+            obs = _residual_corr(ranks, one)[0]
+            step = max(1, HELD // m.size)
+            draws, hits, rng = [], 0, np.random.default_rng([seed, int(k)])
+            mine = plan[k * CHUNK:(k + 1) * CHUNK]
+            for i in range(0, len(mine), step):
+                w = mine[i:i + step][:, at].astype(float)
+                draws += _residual_corr([_weighted_ranks(x, w) for x in m.T], w).tolist()
+            todo = min(CHUNK, max(0, permutations - k * CHUNK))
+            for i in range(0, todo, step):
+                n = min(step, todo - i)
+                x = rng.permuted(np.tile(ranks[0], (n, 1)), axis=1)
+                hits += int((np.abs(_residual_corr([x, *ranks[1:]], np.repeat(one, n, axis=0))) >= abs(obs) - 1e-12).sum())
+            out.append((obs, draws, hits, len(m)))
+        return pd.DataFrame(out, columns=["observed", "draws", "hits", "n"])
+
+    @F.pandas_udf(T.StructType(_RESULT.fields))
+    def summary(observed: pd.Series, draws: pd.Series) -> pd.DataFrame:
+        return pd.concat([_summary(np.array([o]), np.asarray(x, float)[:, None]) for o, x in zip(observed, draws)], ignore_index=True)
 
     refuse_large(d, keys, max_rows, "spearman_interval")
     a = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(block).alias("_b"), *columns))).alias("_a"))
-    r = a.select(*keys, run("_a").alias("_r")).select(*keys, "_r.*")
+    a = a.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, *keys, "_part")
+    a = a.select(*keys, "_part", replicate("_a", "_part").alias("_r")).select(*keys, "_part", "_r.*")
+    a = a.groupBy(*keys).agg(F.first("observed").alias("_o"), F.flatten(F.sort_array(F.collect_list(F.struct("_part", "draws")))["draws"]).alias("_d"), F.sum("hits").alias("_h"), F.first("n").alias("n"))
+    p = (F.col("_h") + 1.0) / (permutations + 1.0) if permutations else F.lit(None).cast("double")
+    r = a.select(*keys, "n", p.alias("p_permutation"), summary("_o", "_d").alias("_r")).select(*keys, "_r.*", "p_permutation", "n")
     return r.withColumn("p_value", p_from_tails(F.col("n_le"), F.col("n_ge"), F.col("n_valid")))
 
 

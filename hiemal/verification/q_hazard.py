@@ -207,6 +207,6 @@ def _(spark, sf):
     long = al.long_form(w, ["window", "season", "duration_group", "duration_days"], ["x", "y"])
     short = F.col("duration_group") == "short"
     d = rs.bootstrap_difference(long, ["window", "variable"], "value", "season", ~short, short, REPS).select("window", "variable", F.col("observed").alias("difference"), F.col("p_value").alias("diff_p"))
-    s = rs.spearman_interval(long.withColumn("d", F.col("duration_days").cast("double")), ["window", "variable"], ["d", "value"], "season", 100)
+    s = rs.spearman_interval(long.withColumn("d", F.col("duration_days").cast("double")), ["window", "variable"], ["d", "value"], "season")
     j = cut_lineage(d.join(s.select("window", "variable", F.col("observed").alias("rho"), "ci_low", "ci_high", F.col("p_value").alias("rho_p")), ["window", "variable"]))
     return rs.benjamini_hochberg(rs.benjamini_hochberg(j, ["window"], "diff_p", "diff_q"), ["window"], "rho_p", "rho_q")

@@ -100,7 +100,7 @@ def _(spark, sf):
 def known(spark, sf):
     r = residuals(spark, sf)
     t = station_xy(spark, sf).select("station", F.when(F.col("lat") < 23, F.lit("1998-03-01")).otherwise("1999-01-01").cast("date").alias("transition_month"))
-    return nw.known_date_shift(r, t, 12, 0.1, 400, 42, (0.5, 0.1), (1.5, 0.3))
+    return nw.known_date_shift(r, t, 12, 0.1, moderate=(0.5, 0.1), high=(1.5, 0.3))
 
 
 KNOWN_SQL = f"""{RES_SQL}, {STATION_XY_SQL}, tr AS (SELECT station, CASE WHEN lat < 23 THEN DATE '1998-03-01' ELSE DATE '1999-01-01' END AS t FROM station_xy),
@@ -129,7 +129,7 @@ def _(spark, sf):
 
 
 def scan(spark, sf):
-    return nw.break_scan(annual(spark, sf), 2, 0.1, 400, 42, (0.5, 0.1), (1.5, 0.3))
+    return nw.break_scan(annual(spark, sf), 2, 0.1, moderate=(0.5, 0.1), high=(1.5, 0.3))
 
 
 SCAN_SQL = f"""{RES_SQL}, an AS (SELECT station, CAST(year(month) AS INTEGER) AS year, median(residual) AS v FROM rs WHERE residual IS NOT NULL GROUP BY 1, 2 HAVING count(residual) >= 6),

@@ -206,7 +206,7 @@ def window_table(spark, sf):
 @query("spearman_intervals", "B09 B10 B11")
 def _(spark, sf):
     w = window_table(spark, sf).withColumn("d", F.col("duration_days").cast("double"))
-    return rs.spearman_interval(w, ["window"], ["d", "x", "y"], "season", 100, 42, permutations=200)
+    return rs.spearman_interval(w, ["window"], ["d", "x", "y"], "season", permutations=10_000)
 
 
 # ---------------------------------------------------------------- matched nulls

@@ -100,6 +100,37 @@ def test_flux_of_a_wave_on_westerlies_points_east(spark):
     assert row.std() / row.mean() < 0.02
 
 
+def test_spearman_replicates_as_one_by_one(spark):
+    """Chunks of replicates give what ranking each resampled list gives; more replicates than one chunk holds."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (40, 3)).astype(float)
+    b = np.arange(40) % 7
+    rows = [(k, int(s), *map(float, v)) for k in "pq" for s, v in zip(b, x if k == "p" else x[:, ::-1])]
+    got = {r["k"]: r for r in rs.spearman_interval(spark.createDataFrame(rows, "k string, s int, u double, v double, z double"), ["k"], ["u", "v", "z"], "s", 1100, 42, permutations=700).collect()}
+
+    def corr(m):
+        r = [pd.Series(c).rank().to_numpy() for c in m.T]
+        d = np.column_stack([np.ones(len(m)), r[2]])
+        p, q = (c - d @ np.linalg.lstsq(d, c, rcond=None)[0] for c in r[:2])
+        return np.corrcoef(p, q)[0, 1]
+
+    for k, m in (("p", x), ("q", x[:, ::-1])):
+        draws = [corr(m[np.repeat(np.arange(40), w[b])]) for w in rs.plan_matrix(7, 1100, 42)]
+        assert abs(got[k]["observed"] - corr(m)) < 1e-9 and got[k]["n"] == 40 and got[k]["n_valid"] == 1100
+        assert np.allclose([got[k]["ci_low"], got[k]["ci_high"]], np.percentile(draws, [2.5, 97.5]), atol=1e-9)
+        assert 1 / 701 <= got[k]["p_permutation"] <= 1
+
+
+def test_queries_run_the_stated_replicates():
+    """No registered query hands the rank correlations or the shift intervals fewer replicates than their defaults."""
+    import inspect
+    from hiemal.operators import network as nw
+    from hiemal.verification import q_hazard, q_network, q_resample
+    text = "".join(inspect.getsource(m) for m in (q_hazard, q_network, q_resample))
+    assert not any(x in text for x in ('"season", 100', "0.1, 400", "permutations=200"))
+    assert "permutations=10_000" in text and all(inspect.signature(f).parameters["reps"].default == n for f, n in ((nw.known_date_shift, 2000), (nw.break_scan, 2000), (rs.spearman_interval, 10_000)))
+
+
 def test_suggestions(spark):
     names = ["dhakka", "chitagong", "zzz"]
     off = ["dhaka", "chittagong", "sylhet", "zzzz"]
