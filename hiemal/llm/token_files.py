@@ -29,7 +29,8 @@ class WordCoder:
     Each distinct stretch is encoded by the library once. Before that, what can't change the ids makes more of them
     equal: text is lower-cased, and marks at the end of a word become stretches of their own. Words of letters alone
     are one piece each for the tokenizer, so many go through it in one call and are told apart by their last token,
-    which ends a word.
+    which ends a word. Added tokens are matched on the raw text, before it is lower-cased, and by their exact spelling; the
+    stretches between them never are added tokens, whatever they look like in lower case.
     """
     END = "</w>"
 
@@ -41,8 +42,33 @@ class WordCoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip or not t.special for t in added.values()):
+            raise ValueError("only special added tokens that are matched as they stand are supported")
+        self.tokenizer.encode_special_tokens = True  # the library then reads them as ordinary text
+        #: keys of added tokens in the table of pieces: with a space in front, which no stretch has
+        self.added = {f" {t.content}": i for i, t in added.items()}
+        self.names = [t.content for t in added.values()]
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.names, key=len, reverse=True)))) if self.names else None
         self.table = PieceTable(self.encode_many, 300_000)
 
+    def stretches(self, text: str) -> list[str]:
+        """Lower-case stretches of a text without added tokens."""
+        # a capital sigma at the end of a word has a small form of its own only for str.lower()
+        text = TAIL.sub(r" \1", text.replace("\u03a3", "\u03c3").lower())
+        return NOT_WHITE.findall(text) if SPLIT_ONLY.search(text) else text.split()
+
+    def pieces(self, text: str) -> list[str]:
+        """The stretches of a text and the keys of its added tokens, in order."""
+        if not any(t in text for t in self.names):
+            return self.stretches(text)
+        out, at = [], 0
+        for m in self.marks.finditer(text):
+            out += self.stretches(text[at:m.start()])
+            out.append(f" {m.group()}")
+            at = m.end()
+        return out + self.stretches(text[at:])
+
     def encode_many(self, words: list[str]):
         plain = np.fromiter(map(str.isalpha, words), bool, len(words))
         many = [w for w, p in zip(words, plain.tolist()) if p]
@@ -55,7 +81,8 @@ class WordCoder:
         counts[plain] = np.diff(np.append(-1, last))
         if plain.all():
             return flat, counts
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain.tolist()) if not p], add_special_tokens=False)]
+        others = [w for w, p in zip(words, plain.tolist()) if not p]
+        rest = [[self.added[w]] if w in self.added else e.ids for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False))]
         counts[~plain] = [len(x) for x in rest]
         out = np.zeros(int(counts.sum()), np.int32)
         of_plain = np.repeat(plain, counts)
@@ -67,9 +94,7 @@ class WordCoder:
         """Flat ids of all texts, each closed with ``end_id``, and the number of ids of each."""
         words, sizes = [], []
         for t in texts:
-            # a capital sigma at the end of a word has a small form of its own only for str.lower()
-            t = TAIL.sub(r" \1", t.replace("\u03a3", "\u03c3").lower())
-            w = NOT_WHITE.findall(t) if SPLIT_ONLY.search(t) else t.split()
+            w = self.pieces(t)
             words += w
             sizes.append(len(w))
         ids, per_word = self.table.encode(words)

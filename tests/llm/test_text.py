@@ -114,6 +114,22 @@ def test_op3(spark, tmp_path, odd_docs):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_added_tokens_as_the_library():
+    """Added tokens in every case, alone, glued to words, cut short and repeated: only their exact spelling is one."""
+    from tokenizers import Tokenizer
+    library, own = Tokenizer.from_file(WORDS), token_files.WordCoder(WORDS)
+    names = [t.content for t in library.get_added_tokens_decoder().values()]
+    forms = [f(n) for n in names for f in (str, str.upper, str.title, str.swapcase, lambda n: n[:-1], lambda n: n[1:], lambda n: n + n, lambda n: n.replace("|", " | "))]
+    rng = random.Random(5)
+    rest = ["word", "W\u00d6RT", " ", "\n", "'s", "12", "e\u0301", "\u0301", "\u03a3", "<|", "|>", "!?"]
+    texts = [*forms, *(a + f + b for f in forms for a in ("", "ab", "A ", "9") for b in ("", "ab", " Z", "."))]
+    texts += ["".join(rng.choice(forms + rest) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    ids, counts = own.encode(texts, None)
+    ends = np.cumsum(counts)
+    for t, a, b in zip(texts, ends - counts, ends):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_file_format(spark, tmp_path, odd_docs):
     import glob
     import pyarrow.parquet as pq
