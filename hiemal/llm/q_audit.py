@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from .divergence import source_divergence
 from .filter_audit import filter_audit
+from .languages import languages
 from .queries import query, table
 
 FILTER_SQL = r"""
@@ -50,3 +51,8 @@ SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
 @query("op13_source_divergence_audit", SOURCE_SQL)
 def op13(spark, sf_dir):
     return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op11_nearest_centroid_language")
+def op11(spark, sf_dir):
+    return languages(table(spark, sf_dir, "documents"))
