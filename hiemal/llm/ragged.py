@@ -6,6 +6,19 @@ import numpy as np
 from .common import gather_ranges
 
 
+class Places(dict):
+    """Places of pieces in order of first use; ``new`` holds those that have come since it was last emptied."""
+
+    def __init__(self, names=()):
+        super().__init__(zip(names, range(len(names))))
+        self.new: list[str] = []
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class PieceTable:
     """Token ids of pieces of text; distinct pieces are encoded once and kept.
 
@@ -19,7 +32,7 @@ class PieceTable:
         self.clear()
 
     def clear(self):
-        self.codes: dict[str, int] = {}
+        self.codes = Places()
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.starts = np.zeros(0, np.int64)
@@ -31,7 +44,7 @@ class PieceTable:
         if len(keep) > self.limit // 2:
             return self.clear()
         names = list(self.codes)  # in order of their codes
-        self.codes = dict(zip([names[i] for i in keep.tolist()], range(len(keep))))
+        self.codes = Places([names[i] for i in keep.tolist()])
         counts = self.counts[keep]
         flat = self.flat[gather_ranges(self.starts[keep], counts)]
         self.flat = np.concatenate([flat, np.zeros(1 << 16, np.int32)])
@@ -42,11 +55,10 @@ class PieceTable:
         """Flat ids of all pieces in order, and the number of ids of each piece."""
         if len(self.codes) > self.limit:
             self.shrink()
-        codes = self.codes
-        new = list({p for p in pieces if p not in codes})
+        order = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        new = self.codes.new
         if new:
             ids, counts = self.encode_many(new)
-            codes.update(zip(new, range(len(codes), len(codes) + len(new))))
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(self.used + len(ids), np.int32)])
             self.flat[self.used:self.used + len(ids)] = ids
@@ -55,7 +67,7 @@ class PieceTable:
             self.counts = np.concatenate([self.counts, counts])
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
             self.used += len(ids)
-        order = np.fromiter(map(codes.__getitem__, pieces), np.int64, len(pieces))
+            self.codes.new = []
         self.uses += np.bincount(order, minlength=len(self.uses))
         counts = self.counts[order]
         return self.flat[gather_ranges(self.starts[order], counts)], counts

@@ -26,8 +26,8 @@ TAIL = re.compile(r"""(?<=[^\W_])([.,;:!?"()%#&*$-]+)(?=\s|$)""")
 class WordCoder:
     """A tokenizer that lower-cases, drops white space and treats the stretches between it one by one.
 
-    Each distinct stretch is encoded by the library once. Before that, what can't change the ids makes more of them
-    equal: text is lower-cased, and marks at the end of a word become stretches of their own. Words of letters alone
+    Each distinct stretch is encoded once, by a table of stretches over a table of words: text is lower-cased, and the marks at
+    the end of a new stretch are set apart, which can't change the ids and makes more words equal. Words of letters alone
     are one piece each for the tokenizer, so many go through it in one call and are told apart by their last token,
     which ends a word. Added tokens are matched on the raw text, before it is lower-cased, and by their exact spelling; the
     stretches between them never are added tokens, whatever they look like in lower case.
@@ -50,12 +50,13 @@ class WordCoder:
         self.added = {f" {t.content}": i for i, t in added.items()}
         self.names = [t.content for t in added.values()]
         self.marks = re.compile("|".join(map(re.escape, sorted(self.names, key=len, reverse=True)))) if self.names else None
-        self.table = PieceTable(self.encode_many, 300_000)
+        self.words = PieceTable(self.encode_words, 300_000)
+        self.table = PieceTable(self.encode_stretches, 300_000)
 
     def stretches(self, text: str) -> list[str]:
         """Lower-case stretches of a text without added tokens."""
         # a capital sigma at the end of a word has a small form of its own only for str.lower()
-        text = TAIL.sub(r" \1", text.replace("\u03a3", "\u03c3").lower())
+        text = text.replace("\u03a3", "\u03c3").lower()
         return NOT_WHITE.findall(text) if SPLIT_ONLY.search(text) else text.split()
 
     def pieces(self, text: str) -> list[str]:
@@ -69,7 +70,18 @@ class WordCoder:
             at = m.end()
         return out + self.stretches(text[at:])
 
-    def encode_many(self, words: list[str]):
+    def encode_stretches(self, stretches: list[str]):
+        """Flat ids and counts of stretches from those of their parts: a word and the marks behind it."""
+        parts, sizes = [], []
+        for w in stretches:
+            p = [w] if w[-1].isalnum() or w in self.added else TAIL.sub(r" \1", w).split(" ")
+            parts += p
+            sizes.append(len(p))
+        ids, counts = self.words.encode(parts)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *sizes])]
+        return ids, np.diff(ends)
+
+    def encode_words(self, words: list[str]):
         plain = np.fromiter(map(str.isalpha, words), bool, len(words))
         many = [w for w, p in zip(words, plain.tolist()) if p]
         joined = self.tokenizer.encode_batch_fast([" ".join(many[i:i + 1000]) for i in range(0, len(many), 1000)], add_special_tokens=False)
