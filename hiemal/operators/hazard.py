@@ -1,9 +1,8 @@
 """Discrete-time hazard models of event termination.
 
-Many small fits (predictors x replicates) are spread over the cluster: a model's rows are packed
-once, its replicates are cut into chunks, and each (model, chunk) is one Arrow row. A model with
-more rows than ``max_rows`` is fitted by ``fit_large`` or ``fit_replicates_large``, which never
-bring rows together: every Newton step is one pass that sums gradients and curvatures.
+Replicated fits (predictors x replicates) of models of any size are in ``replicates``: a model's rows become sufficient rows, cut
+into parts, and every Newton pass of a model with several parts sums gradients and curvatures over them. ``fit_large`` and
+``fit_replicates_large`` give coefficients alone, from the rows as they are.
 """
 from __future__ import annotations
 
@@ -12,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..plans.single import attach
+from .replicates import PART_ROWS, block_numbers, grouped_fits, replicate_fits
 from .resample import benjamini_hochberg, block_list, p_from_tails, plan_matrix, refuse_large
 from .tails import chi2_1_tail
 from ..plans.ordered import tie_totals
@@ -86,35 +86,7 @@ def logistic_fits(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 60,
     firsts = np.searchsorted(row.ravel()[order], np.arange(len(design)))
     merged = lambda v: np.add.reduceat(v[:, order], firsts, axis=1)
     trials, events = merged(w), merged(w * y)
-    k = design.shape[1]
-    beta, done = np.full((len(w), k), np.nan), np.zeros(len(w), bool)
-    hits = events.sum(axis=1)
-    active = np.flatnonzero((hits > 0) & (hits < trials.sum(axis=1)))
-    beta[active] = 0.0
-    for _ in range(steps):
-        if not len(active):
-            break
-        n = trials[active]
-        share = 1.0 / (1.0 + np.exp(-np.clip(beta[active] @ design.T, -700, 700)))
-        score = (events[active] - n * share) @ design
-        spread = n * share * (1 - share)
-        info = np.stack([np.stack([spread @ (design[:, i] * design[:, j]) for j in range(k)], 1) for i in range(k)], 1)
-        info[:, np.arange(k), np.arange(k)] += 1e-10
-        step = np.linalg.solve(info, score[:, :, None])[:, :, 0]
-        reach = np.abs(step @ design.T).max(axis=1, keepdims=True)
-        step *= np.minimum(1.0, 5.0 / np.maximum(reach, 1e-300))
-        beta[active] += step
-        over = np.abs(step).max(axis=1) < tol
-        done[active[over]] = True
-        active = active[~over]
-    return beta, done
-
-
-def _unpack(rows):
-    b = np.asarray([r["b"] for r in rows], int)
-    y = np.asarray([r["y"] for r in rows], float)
-    x = np.asarray([list(r["x"]) for r in rows], float)
-    return b, y, x
+    return grouped_fits(design, trials, events, steps, tol)
 
 
 def _z(x, ref=None):
@@ -123,63 +95,31 @@ def _z(x, ref=None):
     return (x - ref.mean(axis=0)) / np.where(s > 0, s, 1.0)
 
 
-# ---------------------------------------------------------------- packed models
-def pack_models(rs: DataFrame, keys: list[str], columns: list[Column], block: str, blocks: list, y: str = "terminates",
-                max_rows: int = PACKED_ROWS) -> DataFrame:
-    """One row per model key with its complete rows, of which there may be ``max_rows``."""
-    ok = F.col(y).isNotNull()
-    for c in columns:
-        ok = ok & c.isNotNull()
-    no = F.array_position(F.array(*[F.lit(b) for b in blocks]), F.col(block)).cast("int") - 1
-    e = rs.filter(ok).select(*keys, F.struct(no.alias("b"), F.col(y).cast("double").alias("y"), F.array(*[c.cast("double") for c in columns]).alias("x")).alias("_e"))
-    refuse_large(e, keys, max_rows, "pack_models (use fit_large or fit_replicates_large)")
-    return e.groupBy(*keys).agg(F.sort_array(F.collect_list("_e")).alias("_d"))
-
-
-_DRAW = T.ArrayType(T.StructType().add("rep", "integer").add("coef", T.ArrayType(T.DoubleType())).add("converged", "boolean"))
-
-
-def fit_draws(packed: DataFrame, keys: list[str], plan: np.ndarray, chunk: int = 500, standard: bool = True) -> DataFrame:
-    """(keys, rep, coef, converged): the point fit has rep -1, replicate fits 0..B-1."""
-    @F.pandas_udf(_DRAW)
-    def fit(data: pd.Series, part: pd.Series) -> pd.Series:
-        out = []
-        for rows, c in zip(data, part):
-            b, y, x = _unpack(rows)
-            x = _z(x) if standard else x
-            w = np.ones((1, len(y))) if c < 0 else plan[c * chunk:(c + 1) * chunk][:, b].astype(float)
-            coef, conv = logistic_fits(x, y, w)
-            out.append([{"rep": -1 if c < 0 else int(c * chunk + i), "coef": None if np.isnan(coef[i]).any() else coef[i].tolist(), "converged": bool(conv[i])} for i in range(len(w))])
-        return pd.Series(out)
-
-    parts = -(-len(plan) // chunk)
-    p = packed.withColumn("_c", F.explode(F.sequence(F.lit(-1), F.lit(parts - 1)))).repartition(*keys, "_c")
-    return p.select(*keys, F.inline(fit("_d", "_c")))
-
-
+# ---------------------------------------------------------------- replicated models
 def odds_ratios(rs: DataFrame, models: list[tuple[str, str]], adjust: list[str], block: str, reps: int = 10_000, seed: int = 42, keys: list[str] | None = None,
-                method: str = "hash", y: str = "terminates", max_rows: int = PACKED_ROWS) -> DataFrame:
-    """Odds ratio per SD of each (family, predictor), block interval and plus-one p.
+                y: str = "terminates", part_rows: int = PART_ROWS) -> DataFrame:
+    """Odds ratio per SD of each (family, predictor), block interval and plus-one p, for risk sets of any size.
 
     ``keys`` adds group columns of the risk set (variants, catalogues), so that every variant of
-    every predictor is one job. The plan is drawn once on the blocks of the full set.
+    every predictor is one job. The plan is drawn on the blocks of the full set.
     """
-    keys = keys or []
-    blocks = block_list(rs, block)
-    spec = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(p).alias("predictor"), F.col(p).cast("double").alias("_x")) for f, p in models])
-    long = rs.select(*keys, block, y, *adjust, F.inline(spec))
-    k = [*keys, "family", "predictor"]
-    packed = pack_models(long, k, [F.col("_x"), *[F.col(a) for a in adjust]], block, blocks, y, max_rows)
-    d = fit_draws(packed, k, plan_matrix(len(blocks), reps, seed, method)).withColumn("_b", F.get("coef", 1))
+    k = [*(keys or []), "family", "predictor"]
+    draws, facts = replicate_fits(model_rows(rs, models, adjust, block, keys, y), k, ["_x1", *adjust], block, reps, seed, y, block_numbers(rs, block), part_rows)
+    d = draws.withColumn("_b", F.get("coef", 1))
     rep = F.col("rep") >= 0
     g = d.groupBy(*k).agg(
         F.max(F.when(~rep, F.col("_b"))).alias("_o"), F.percentile(F.when(rep, F.col("_b")), 0.025).alias("_l"), F.percentile(F.when(rep, F.col("_b")), 0.975).alias("_h"),
         F.count(F.when(rep, F.col("_b"))).alias("n_boot_valid"), F.count_if(rep & F.col("_b").isNotNull() & ~F.col("converged")).alias("n_not_converged"),
         F.count_if(rep & (F.col("_b") <= 0)).alias("_le"), F.count_if(rep & (F.col("_b") >= 0)).alias("_ge"))
-    n = packed.select(*k, F.size("_d").alias("n_rows"), F.aggregate("_d", F.lit(0.0), lambda s, e: s + e["y"]).cast("int").alias("n_terminations"))
-    return n.join(g, k).select(*k, "n_rows", "n_terminations", F.exp("_o").alias("odds_ratio_per_sd"), F.exp("_l").alias("ci_low"), F.exp("_h").alias("ci_high"),
-                               p_from_tails(F.col("_le"), F.col("_ge"), F.col("n_boot_valid")).alias("p_bootstrap"), "n_boot_valid", "n_not_converged",
-                               ((F.col("_l") > 0) | (F.col("_h") < 0)).alias("ci_excludes_one"))
+    return facts.join(g, k).select(*k, "n_rows", "n_terminations", F.exp("_o").alias("odds_ratio_per_sd"), F.exp("_l").alias("ci_low"), F.exp("_h").alias("ci_high"),
+                                   p_from_tails(F.col("_le"), F.col("_ge"), F.col("n_boot_valid")).alias("p_bootstrap"), "n_boot_valid", "n_not_converged",
+                                   ((F.col("_l") > 0) | (F.col("_h") < 0)).alias("ci_excludes_one"))
+
+
+def model_rows(rs: DataFrame, models: list[tuple[str, str]], adjust: list[str], block: str, keys: list[str] | None = None, y: str = "terminates") -> DataFrame:
+    """The risk set once for each (family, predictor), with the predictor in ``_x1``."""
+    spec = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(p).alias("predictor"), F.col(p).cast("double").alias("_x1")) for f, p in models])
+    return rs.select(*(keys or []), block, y, *adjust, F.inline(spec))
 
 
 def family_scan(rs: DataFrame, models: list[tuple[str, str]], adjust: list[str], block: str, reps: int = 10_000, seed: int = 42) -> DataFrame:
@@ -188,24 +128,20 @@ def family_scan(rs: DataFrame, models: list[tuple[str, str]], adjust: list[str],
     return benjamini_hochberg(benjamini_hochberg(o, ["family"], "p_bootstrap", "q_family"), [], "p_bootstrap", "q_all")
 
 
-def leave_block_out_ratios(rs: DataFrame, models: list[tuple[str, str]], adjust: list[str], block: str) -> DataFrame:
+def leave_block_out_ratios(rs: DataFrame, models: list[tuple[str, str]], adjust: list[str], block: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Odds ratios with each block left out and their sign stability, as 0/1 weights."""
-    blocks = block_list(rs, block)
-    spec = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(p).alias("predictor"), F.col(p).cast("double").alias("_x")) for f, p in models])
-    packed = pack_models(rs.select(block, "terminates", *adjust, F.inline(spec)), ["family", "predictor"], [F.col("_x"), *[F.col(a) for a in adjust]], block, blocks)
-    d = fit_draws(packed, ["family", "predictor"], 1 - np.eye(len(blocks), dtype=np.int32)).withColumn("_b", F.get("coef", 1))
+    k = ["family", "predictor"]
+    draws, _ = replicate_fits(model_rows(rs, models, adjust, block), k, ["_x1", *adjust], block, None, None, blocks=block_numbers(rs, block), part_rows=part_rows)
+    d = draws.withColumn("_b", F.get("coef", 1))
     full = d.filter("rep = -1").select("family", "predictor", F.col("_b").alias("_o"))
     return d.filter("rep >= 0").join(full, ["family", "predictor"]).groupBy("family", "predictor").agg(
         F.exp(F.max("_o")).alias("odds_ratio"), F.exp(F.min("_b")).alias("loo_low"), F.exp(F.max("_b")).alias("loo_high"),
         F.avg((F.signum("_b") == F.signum("_o")).cast("double")).alias("sign_stability"), F.count("_b").alias("block_count"))
 
 
-def multivariable(rs: DataFrame, columns: list[str], block: str, reps: int = 10_000, seed: int = 42) -> DataFrame:
+def multivariable(rs: DataFrame, columns: list[str], block: str, reps: int = 10_000, seed: int = 42, part_rows: int = PART_ROWS) -> DataFrame:
     """One joint model: odds ratio, interval, p and variance inflation of every column."""
-    blocks = block_list(rs, block)
-    one = rs.withColumn("model", F.lit(1))
-    packed = pack_models(one, ["model"], [F.col(c) for c in columns], block, blocks)
-    d = fit_draws(packed, ["model"], plan_matrix(len(blocks), reps, seed))
+    d, _ = replicate_fits(rs.withColumn("_model", F.lit(1)), ["_model"], columns, block, reps, seed, blocks=block_numbers(rs, block), part_rows=part_rows)
     d = d.select("rep", F.posexplode("coef").alias("_i", "_b")).filter("_i > 0")
     rep = F.col("rep") >= 0
     g = d.groupBy("_i").agg(F.max(F.when(~rep, F.col("_b"))).alias("_o"), F.percentile(F.when(rep, F.col("_b")), 0.025).alias("_l"), F.percentile(F.when(rep, F.col("_b")), 0.975).alias("_h"),
