@@ -75,6 +75,27 @@ def newton(keys: str, steps: int = 30) -> str:
 fit AS (SELECT {keys}, arg_max(b0, it) AS b0, arg_max(b1, it) AS b1, arg_max(b2, it) AS b2, arg_max(move, it) < 1e-10 AS conv FROM nw GROUP BY {keys})"""
 
 
+def newton_many(keys: str, columns: list[str], steps: int = 30) -> str:
+    """As ``newton`` for any number of design columns: fit holds b0, b1, ..; the steps come from a Cholesky factor, one layer a number."""
+    k = len(columns) + 1
+    x, bs = ["1", *columns], ", ".join(f"b{i}" for i in range(k))
+    sums = [f"sum(w * (t - m) * {x[i]}) AS g{i}" for i in range(k)] + [f"sum(w * m * (1 - m) * {x[i]} * {x[j]}){' + 1e-10' if i == j else ''} AS s{j}_{i}" for j in range(k) for i in range(j + 1)]
+    q = f"SELECT {keys}, it, {bs}, {', '.join(sums)} FROM (SELECT {keys}, it, {bs}, t, w, {', '.join(columns)}, 1 / (1 + exp(-greatest(-500, least(500, {' + '.join(f'b{i} * {x[i]}' for i in range(k))})))) AS m FROM nw JOIN d USING ({keys}) WHERE it < {steps} AND move >= 1e-10) GROUP BY {keys}, it, {bs}"
+    layers = []
+    for j in range(k):
+        less = "".join(f" - l{j}_{m} * l{j}_{m}" for m in range(j))
+        layers.append([f"sqrt(s{j}_{j}{less}) AS l{j}_{j}"])
+        layers.append([f"(s{i}_{j}" + "".join(f" - l{i}_{m} * l{j}_{m}" for m in range(j)) + f") / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, k)] + [f"(g{j}" + "".join(f" - l{j}_{m} * f{m}" for m in range(j)) + f") / l{j}_{j} AS f{j}"])
+    for i in reversed(range(k)):
+        layers.append([f"(f{i}" + "".join(f" - l{m}_{i} * d{m}" for m in range(i + 1, k)) + f") / l{i}_{i} AS d{i}"])
+    for layer in layers:
+        q = f"SELECT *, {', '.join(layer)} FROM ({q})"
+    zero = ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(k))
+    return f"""nw AS (SELECT {keys}, 0 AS it, {zero}, 1.0::DOUBLE AS move FROM d GROUP BY {keys} HAVING sum(w * t) > 0 AND sum(w * t) < sum(w)
+  UNION ALL SELECT {keys}, it + 1, {', '.join(f'b{i} + d{i}' for i in range(k))}, greatest({', '.join(f'abs(d{i})' for i in range(k))}) FROM ({q})),
+fit AS (SELECT {keys}, {', '.join(f'arg_max(b{i}, it) AS b{i}' for i in range(k))}, arg_max(move, it) < 1e-10 AS conv FROM nw GROUP BY {keys})"""
+
+
 @query("large_logistic_fit", "H05", f"""WITH RECURSIVE d AS (SELECT 1 AS one, l_quantity / 10 AS v, l_discount * 10 AS a, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END::DOUBLE AS t, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL), {newton('one')}
 SELECT term, {R('b', 4)} AS coefficient FROM (SELECT 'intercept' AS term, b0 AS b FROM fit UNION ALL SELECT 'q', b1 FROM fit UNION ALL SELECT 'd', b2 FROM fit)""")
 def _(spark, sf):
@@ -123,9 +144,27 @@ def _(spark, sf):
     return rounded(rounded(got, "odds_ratio", "loo_low", "loo_high", digits=5), "sign_stability")
 
 
-@query("hazard_multivariable", "H10")
+def standardised(columns: list[str], keys: str) -> str:
+    """CTEs zs (z-scores of ``columns`` in cm by ``keys``) and bl (numbered blocks of hz)."""
+    return f"""st AS (SELECT {keys}, {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in columns)} FROM cm GROUP BY {keys}),
+zs AS (SELECT {keys}, season, t::DOUBLE AS t, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in columns)} FROM cm JOIN st USING ({keys})),
+bl AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS i FROM (SELECT DISTINCT season AS b FROM hz))"""
+
+
+HZ_SQL = HAZARD_SQL.split(",\nlo AS")[0]
+MULTI_SQL = f"""WITH RECURSIVE {HZ_SQL}, cm AS (SELECT 1 AS model, season, t, x, y, a FROM hz WHERE x IS NOT NULL AND y IS NOT NULL AND a IS NOT NULL), {standardised(['x', 'y', 'a'], 'model')}, {PLAN_SQL},
+d AS (SELECT model, rep, x, y, a, t, w FROM zs JOIN bl ON season = b JOIN pl USING (i)), {newton_many('model, rep', ['x', 'y', 'a'])},
+lf AS (SELECT rep, conv, unnest([{{'p': 'x', 'b': b1}}, {{'p': 'y', 'b': b2}}, {{'p': 'log_age', 'b': b3}}], recursive := true) FROM fit),
+co AS (SELECT corr(x, y) AS xy, corr(x, a) AS xa, corr(y, a) AS ya FROM cm), de AS (SELECT *, 1 + 2 * xy * xa * ya - xy * xy - xa * xa - ya * ya AS det FROM co),
+vi AS (SELECT unnest([{{'p': 'x', 'vif': (1 - ya * ya) / det}}, {{'p': 'y', 'vif': (1 - xa * xa) / det}}, {{'p': 'log_age', 'vif': (1 - xy * xy) / det}}], recursive := true) FROM de),
+g AS (SELECT p, max(b) FILTER (WHERE rep = -1) AS o, quantile_cont(b, 0.025) FILTER (WHERE rep >= 0) AS l, quantile_cont(b, 0.975) FILTER (WHERE rep >= 0) AS h, count(*) FILTER (WHERE rep >= 0) AS n,
+  count(*) FILTER (WHERE rep >= 0 AND b <= 0) AS le, count(*) FILTER (WHERE rep >= 0 AND b >= 0) AS ge FROM lf GROUP BY 1)
+SELECT p AS predictor, {R('exp(o)', 5)} AS odds_ratio_per_sd, {R('exp(l)', 5)} AS ci_low, {R('exp(h)', 5)} AS ci_high, {R('least(1.0, 2.0 * (least(le, ge) + 1) / (n + 1))')} AS p_bootstrap, n AS n_boot_valid, {R('vif', 5)} AS vif FROM g JOIN vi USING (p)"""
+
+
+@query("hazard_multivariable", "H10", MULTI_SQL)
 def _(spark, sf):
-    return hz.multivariable(hazard_rows(spark, sf), ["x", "y", "log_age"], "season", REPS)
+    return rounded(ratios(hz.multivariable(hazard_rows(spark, sf), ["x", "y", "log_age"], "season", REPS)), "vif", digits=5)
 
 
 @query("variance_inflation", "H10", f"""WITH {SC_SQL}, c AS (SELECT corr(x, y) AS r FROM rs0 JOIN cov USING (date)) SELECT p.predictor, {R('1 / (1 - r * r)')} AS vif FROM c, (SELECT unnest(['x', 'y']) AS predictor) p""")
@@ -174,12 +213,30 @@ def _(spark, sf):
     return rounded(s, "brier_adjust", "brier_full", "brier_climatology", "observed_over_expected", "skill", "auc_adjust", "auc_full", "auc_difference")
 
 
-@query("hazard_with_controls", "H15")
+CONTROL_SQL = f"""WITH RECURSIVE {HZ_SQL}, cm AS (SELECT 'controlled' AS family, 'x' AS predictor, season, t, x AS v, a, y AS c FROM hz WHERE x IS NOT NULL AND y IS NOT NULL AND a IS NOT NULL),
+{standardised(['v', 'a', 'c'], 'family, predictor')}, {PLAN_SQL}, d AS (SELECT family, predictor, rep, v, a, c, t, w FROM zs JOIN bl ON season = b JOIN pl USING (i)), {newton_many('family, predictor, rep', ['v', 'a', 'c'])} {RATIO_SQL}"""
+
+
+@query("hazard_with_controls", "H15", CONTROL_SQL)
 def _(spark, sf):
-    return hz.odds_ratios(hazard_rows(spark, sf), [("controlled", "x")], ["log_age", "y"], "season", REPS)
+    return ratios(hz.odds_ratios(hazard_rows(spark, sf), [("controlled", "x")], ["log_age", "y"], "season", REPS))
+
 
+CENSORED = "CASE WHEN month(end_date) = 2 AND month(CAST(end_date + 1 AS DATE)) <> 2 AND r.date = end_date"
+VARIANT_SQL = f"""WITH RECURSIVE {SC_SQL}, ln AS (SELECT regr_slope(x, date_diff('day', DATE '1970-01-01', date)) AS bx, regr_intercept(x, date_diff('day', DATE '1970-01-01', date)) AS ax, regr_slope(y, date_diff('day', DATE '1970-01-01', date)) AS by_, regr_intercept(y, date_diff('day', DATE '1970-01-01', date)) AS ay FROM cov),
+dt AS (SELECT date, x - (ax + bx * date_diff('day', DATE '1970-01-01', date)) AS x, y - (ay + by_ * date_diff('day', DATE '1970-01-01', date)) AS y FROM cov, ln),
+fl AS (SELECT r.*, {CENSORED} THEN 0 ELSE terminates END AS cens, {CENSORED} THEN 1 ELSE 0 END AS fin FROM rs0 r),
+hz AS (SELECT 'primary' AS variant, season, log_age AS a, cens AS t, x, y FROM fl LEFT JOIN cov USING (date) UNION ALL SELECT 'uncensored', season, log_age, terminates, x, y FROM fl LEFT JOIN cov USING (date)
+ UNION ALL SELECT 'drop_final', season, log_age, terminates, x, y FROM fl LEFT JOIN cov USING (date) WHERE fin = 0 UNION ALL SELECT 'lead_1', season, log_age, cens, c.x, c.y FROM fl LEFT JOIN cov c ON c.date = fl.date - 1
+ UNION ALL SELECT 'detrended', season, log_age, cens, x, y FROM fl LEFT JOIN dt USING (date)),
+cm AS (SELECT * FROM (SELECT variant, 'local' AS family, 'x' AS predictor, season, t, x AS v, a FROM hz UNION ALL SELECT variant, 'local', 'y', season, t, y, a FROM hz) WHERE v IS NOT NULL AND a IS NOT NULL),
+{standardised(['v', 'a'], 'variant, family, predictor')}, {PLAN_SQL}, d AS (SELECT variant, family, predictor, rep, v, a, t, w FROM zs JOIN bl ON season = b JOIN pl USING (i)), {newton('variant, family, predictor, rep')},
+od AS ({RATIO_SQL.replace('SELECT family, predictor,', 'SELECT variant, family, predictor,').replace('GROUP BY 1, 2', 'GROUP BY 1, 2, 3').replace('USING (family, predictor)', 'USING (variant, family, predictor)')}),
+ro AS (SELECT variant, family, predictor, sign(max(b1)) AS way FROM fit WHERE rep = -1 GROUP BY 1, 2, 3)
+SELECT od.*, x.way = y.way AS same_direction FROM od JOIN ro x USING (variant, family, predictor) JOIN ro y ON y.variant = 'primary' AND y.family = od.family AND y.predictor = od.predictor"""
 
-@query("hazard_variants", "H16 H02 H03 K15")
+
+@query("hazard_variants", "H16 H02 H03 K15", VARIANT_SQL)
 def _(spark, sf):
     cat = short_events(spark, sf)
     base = risk(spark, sf, cat=cat)
@@ -191,14 +248,19 @@ def _(spark, sf):
         p = p.withColumn("variant", F.lit(name))
         u = p if u is None else u.unionByName(p)
     o = hz.odds_ratios(cut_lineage(u), [("local", "x"), ("local", "y")], ["log_age"], "season", REPS, keys=["variant"])
-    return hz.direction_agreement(cut_lineage(o), "primary")
+    return ratios(hz.direction_agreement(cut_lineage(o), "primary"))
+
+
+TRAILING_SQL = f"""WITH RECURSIVE {SC_SQL}, tr AS (SELECT date, CASE WHEN count(x) OVER w = 20 THEN avg(x) OVER w END AS x20 FROM cov WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 20 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+hz AS (SELECT season, log_age AS a, {CENSORED} THEN 0 ELSE terminates END AS t, x20 FROM rs0 r LEFT JOIN tr USING (date)), cm AS (SELECT 'trailing' AS family, 'x20' AS predictor, season, t, x20 AS v, a FROM hz WHERE x20 IS NOT NULL AND a IS NOT NULL),
+{standardised(['v', 'a'], 'family, predictor')}, {PLAN_SQL}, {DESIGN_SQL}, {newton('family, predictor, rep')} {RATIO_SQL}"""
 
 
-@query("trailing_window_hazard", "H17 K13")
+@query("trailing_window_hazard", "H17 K13", TRAILING_SQL)
 def _(spark, sf):
     c = k.trailing_mean(cov(spark, sf).select("date", "x"), [], "date", "x", 20, "x20", until=1).select("date", "x20")
     r = hz.censor_season_end(hz.risk_set(short_events(spark, sf), c, ["x20"], [], 2))
-    return hz.odds_ratios(cut_lineage(r), [("trailing", "x20")], ["log_age"], "season", REPS)
+    return ratios(hz.odds_ratios(cut_lineage(r), [("trailing", "x20")], ["log_age"], "season", REPS))
 
 
 @query("duration_driver_tests", "H18 A03 B08 B22")
