@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align as al, climatology as k, events as ev, hazard as hz, resample as rs
+from ..operators import align as al, climatology as k, events as ev, hazard as hz, rank_tests as rt, resample as rs
 from ..session import cut_lineage
 from .q_climate import national
 from .q_events import SWEEP_SQL, _scenario_catalogue, primary, swept
 from .q_grid import rounded
-from .q_resample import COV_SQL, KEEP, REPS, aligned, cov
+from .q_resample import AL_SQL, COV_SQL, DIFF_DRAW, KEEP, PLANS_SQL, RANK_OUT, REPS, aligned, cov, weighted_spearman
 from .registry import R, query, r6, table
 
 SC_SQL = f"""{SWEEP_SQL}, {COV_SQL}, sc AS (SELECT season, event_id, min(date) AS start_date, max(date) AS end_date, count(*) AS dur FROM evd WHERE scenario = 'SHORT' AND event_id IS NOT NULL GROUP BY 1, 2),
@@ -263,12 +263,29 @@ def _(spark, sf):
     return ratios(hz.odds_ratios(cut_lineage(r), [("trailing", "x20")], ["log_age"], "season", REPS))
 
 
-@query("duration_driver_tests", "H18 A03 B08 B22")
+def _q(p: str) -> str:
+    return f"least(1.0, min({p} * n / k) OVER (PARTITION BY win ORDER BY {p} RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+
+
+DRIVER_SQL = f"""WITH {AL_SQL}, wn("window", a, f, t) AS (VALUES ('pre', 'onset', -7, -1), ('first3', 'onset', 0, 2)),
+wm AS (SELECT "window" AS win, event_id, season, duration_group AS g, duration_days::DOUBLE AS d, avg(x) AS x, avg(y) AS y FROM ar JOIN wn ON a = align AND lag BETWEEN f AND t GROUP BY 1, 2, 3, 4, 5),
+ev AS MATERIALIZED (SELECT * FROM (SELECT win, 'x' AS variable, season, g, d, x AS value FROM wm UNION ALL SELECT win, 'y', season, g, d, y FROM wm) WHERE value IS NOT NULL), {PLANS_SQL}, {weighted_spearman('win, variable', ['d', 'value'], 'ev')},
+bs AS (SELECT win, variable, i, coalesce(sum(value) FILTER (WHERE g <> 'short'), 0) AS sa, count(value) FILTER (WHERE g <> 'short') AS na, coalesce(sum(value) FILTER (WHERE g = 'short'), 0) AS sb, count(value) FILTER (WHERE g = 'short') AS nb FROM ev JOIN bl ON season = b GROUP BY 1, 2, 3),
+df AS (SELECT win, variable, rep, {DIFF_DRAW} AS d FROM bs JOIN pl USING (i) GROUP BY 1, 2, 3),
+dp AS (SELECT win, variable, max(d) FILTER (WHERE rep = -1) AS difference, least(1.0, 2.0 * (least(count(*) FILTER (WHERE rep >= 0 AND round(d, 12) <= 0), count(*) FILTER (WHERE rep >= 0 AND round(d, 12) >= 0)) + 1) / (count(d) FILTER (WHERE rep >= 0) + 1)) AS diff_p FROM df GROUP BY 1, 2),
+rp AS (SELECT win, variable, {RANK_OUT} FROM rho GROUP BY 1, 2), j AS (SELECT dp.*, observed, ci_low, ci_high, p_value AS rho_p FROM dp JOIN rp USING (win, variable)),
+qd AS (SELECT *, {_q('diff_p')} AS diff_q FROM (SELECT *, count(*) OVER (PARTITION BY win) AS n, rank() OVER (PARTITION BY win ORDER BY diff_p) + count(*) OVER (PARTITION BY win, diff_p) - 1 AS k FROM j)),
+qr AS (SELECT * EXCLUDE (n, k), {_q('rho_p')} AS rho_q FROM (SELECT * EXCLUDE (n, k), count(*) OVER (PARTITION BY win) AS n, rank() OVER (PARTITION BY win ORDER BY rho_p) + count(*) OVER (PARTITION BY win, rho_p) - 1 AS k FROM qd))
+SELECT win AS "window", variable, {R('difference', 5)} AS difference, {R('diff_p')} AS diff_p, observed AS rho, ci_low, ci_high, rho_p, {R('diff_q')} AS diff_q, {R('rho_q')} AS rho_q FROM qr"""
+
+
+@query("duration_driver_tests", "H18 A03 B08 B22", DRIVER_SQL)
 def _(spark, sf):
     w = cut_lineage(al.window_means(aligned(spark, sf), {"pre": ("onset", -7, -1), "first3": ("onset", 0, 2)}, ["x", "y"], KEEP))
     long = al.long_form(w, ["window", "season", "duration_group", "duration_days"], ["x", "y"])
     short = F.col("duration_group") == "short"
     d = rs.bootstrap_difference(long, ["window", "variable"], "value", "season", ~short, short, REPS).select("window", "variable", F.col("observed").alias("difference"), F.col("p_value").alias("diff_p"))
-    s = rs.spearman_interval(long.withColumn("d", F.col("duration_days").cast("double")), ["window", "variable"], ["d", "value"], "season")
+    s = rt.spearman_interval(long.withColumn("d", F.col("duration_days").cast("double")), ["window", "variable"], ["d", "value"], "season")
     j = cut_lineage(d.join(s.select("window", "variable", F.col("observed").alias("rho"), "ci_low", "ci_high", F.col("p_value").alias("rho_p")), ["window", "variable"]))
-    return rs.benjamini_hochberg(rs.benjamini_hochberg(j, ["window"], "diff_p", "diff_q"), ["window"], "rho_p", "rho_q")
+    q = rs.benjamini_hochberg(rs.benjamini_hochberg(j, ["window"], "diff_p", "diff_q"), ["window"], "rho_p", "rho_q")
+    return rounded(rounded(q, "difference", "rho", "ci_low", "ci_high", digits=5), "diff_p", "rho_p", "diff_q", "rho_q")

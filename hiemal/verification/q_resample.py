@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..plans.single import attach
 from ..functions import calendar as cal
-from ..operators import align as al, climatology as k, events as ev, resample as rs
+from ..operators import align as al, climatology as k, events as ev, rank_tests as rt, resample as rs
 from .q_climate import NATION_SQL, national
 from .q_events import CAT_SQL, DAILY_SQL, REV_SQL, SWEEP_SQL, daily, primary, reversal_series, swept
 from .q_grid import IO_SQL, LAG_SQL, SEC_SQL, _event_fields, inside_outside, rounded, sectors
@@ -203,10 +203,40 @@ def window_table(spark, sf):
     return al.window_means(aligned(spark, sf), {"pre": ("onset", -7, -1), "first3": ("onset", 0, 2)}, ["x", "y"], KEEP)
 
 
-@query("spearman_intervals", "B09 B10 B11")
+def weighted_spearman(keys: str, columns: list[str], src: str) -> str:
+    """CTEs of the partial rank correlation rho of the first two of ``columns`` in ``src`` under each replicate of pl (by keys and rep; n events)."""
+    third = columns[2:]
+    ranks = ", ".join(f"sum(w) OVER (PARTITION BY {keys}, rep ORDER BY {c} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (sum(w) OVER (PARTITION BY {keys}, rep, {c}) - 1) / 2.0::DOUBLE AS r_{c}" for c in columns)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    cov = ", ".join(f"sum(w * r_{a} * r_{b}) / sum(w) - sum(w * r_{a}) / sum(w) * (sum(w * r_{b}) / sum(w)) AS c_{a}_{b}" for a, b in pairs)
+    a, b = columns[:2]
+    if third:
+        z = third[0]
+        top, x, y = f"c_{a}_{b} - c_{a}_{z} * c_{b}_{z} / c_{z}_{z}", f"c_{a}_{a} - c_{a}_{z} * c_{a}_{z} / c_{z}_{z}", f"c_{b}_{b} - c_{b}_{z} * c_{b}_{z} / c_{z}_{z}"
+    else:
+        top, x, y = f"c_{a}_{b}", f"c_{a}_{a}", f"c_{b}_{b}"
+    return f"""rr AS (SELECT {keys}, rep, w, {ranks} FROM {src} JOIN bl ON season = b JOIN pl USING (i)), cv AS (SELECT {keys}, rep, sum(w) AS n, {cov} FROM rr GROUP BY {keys}, rep),
+rho AS (SELECT {keys}, rep, n, CASE WHEN n > 3 AND {x} > 1e-12 * c_{a}_{a} AND {y} > 1e-12 * c_{b}_{b} THEN ({top}) / sqrt(({x}) * ({y})) END AS d FROM cv)"""
+
+
+RANK_OUT = f"""{R('max(d) FILTER (WHERE rep = -1)', 5)} AS observed, {R('stddev_samp(d) FILTER (WHERE rep >= 0)', 5)} AS se, {R('quantile_cont(d, 0.025) FILTER (WHERE rep >= 0)', 5)} AS ci_low, {R('quantile_cont(d, 0.975) FILTER (WHERE rep >= 0)', 5)} AS ci_high,
+count(d) FILTER (WHERE rep >= 0) AS n_valid, CAST(max(n) FILTER (WHERE rep = -1) AS BIGINT) AS n, {R('least(1.0, 2.0 * (least(count(*) FILTER (WHERE rep >= 0 AND round(d, 12) <= 0), count(*) FILTER (WHERE rep >= 0 AND round(d, 12) >= 0)) + 1) / (count(d) FILTER (WHERE rep >= 0) + 1))')} AS p_value"""
+PLANS_SQL = f"""bl AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS i FROM (SELECT DISTINCT season AS b FROM ev)),
+pl AS (SELECT r AS rep, CAST('0x' || substr(md5('42:' || CAST(r AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT count(*) FROM bl) AS i, count(*)::DOUBLE AS w FROM (SELECT unnest(range({REPS})) AS r), (SELECT unnest(range((SELECT count(*) FROM bl))) AS j) GROUP BY 1, 2 UNION ALL SELECT -1, i, 1.0 FROM bl)"""
+SPEARMAN_SQL = f"""WITH {AL_SQL}, wn("window", a, f, t) AS (VALUES ('pre', 'onset', -7, -1), ('first3', 'onset', 0, 2)),
+ev AS MATERIALIZED (SELECT * FROM (SELECT "window" AS win, event_id, season, duration_days::DOUBLE AS d, avg(x) AS x, avg(y) AS y FROM ar JOIN wn ON a = align AND lag BETWEEN f AND t GROUP BY 1, 2, 3, 4) WHERE x IS NOT NULL AND y IS NOT NULL), {PLANS_SQL}, {weighted_spearman('win', ['d', 'x', 'y'], 'ev')},
+pr AS MATERIALIZED (SELECT win, event_id, r_d, r_x, r_y, row_number() OVER (PARTITION BY win ORDER BY event_id || ':') AS i FROM (SELECT win, event_id, {', '.join(f"rank() OVER (PARTITION BY win ORDER BY {c}) + (count(*) OVER (PARTITION BY win, {c}) - 1) / 2.0::DOUBLE AS r_{c}" for c in 'dxy')} FROM ev)),
+pm AS (SELECT win, p, r_x, r_y, row_number() OVER (PARTITION BY win, p ORDER BY md5('42:' || CAST(p AS VARCHAR) || ':' || event_id)) AS i FROM pr, (SELECT unnest(range({REPS})) AS p)),
+pc AS (SELECT win, p, corr(pr.r_d, pm.r_x) AS xy, corr(pr.r_d, pm.r_y) AS xz, corr(pm.r_x, pm.r_y) AS yz FROM pm JOIN pr USING (win, i) GROUP BY 1, 2),
+ph AS (SELECT pc.win, count(*) FILTER (WHERE abs((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz))) >= abs(rho.d) - 1e-9) AS hits FROM pc JOIN rho ON rho.win = pc.win AND rep = -1 GROUP BY 1)
+SELECT win AS "window", {RANK_OUT}, {R(f'(any_value(hits) + 1.0) / {REPS + 1}')} AS p_permutation FROM rho JOIN ph USING (win) GROUP BY 1"""
+
+
+@query("spearman_intervals", "B09 B10 B11", SPEARMAN_SQL)
 def _(spark, sf):
     w = window_table(spark, sf).withColumn("d", F.col("duration_days").cast("double"))
-    return rs.spearman_interval(w, ["window"], ["d", "x", "y"], "season", permutations=10_000)
+    got = rt.spearman_interval(w, ["window"], ["d", "x", "y"], "season", permutations=10_000, row=["event_id"])
+    return rounded(rounded(got.drop("n_le", "n_ge"), "observed", "se", "ci_low", "ci_high", digits=5), "p_value", "p_permutation")
 
 
 # ---------------------------------------------------------------- matched nulls

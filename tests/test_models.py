@@ -1,8 +1,10 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from hiemal.operators import grid_kernels as gk, hazard as hz, reconcile as rc, resample as rs
+from hiemal.operators import grid_kernels as gk, hazard as hz, rank_tests as rt, reconcile as rc, resample as rs
 
 
 def data(n=400, seed=3):
@@ -100,16 +102,18 @@ def test_flux_of_a_wave_on_westerlies_points_east(spark):
     assert row.std() / row.mean() < 0.02
 
 
-def test_spearman_replicates_as_one_by_one(spark):
-    """Chunks of replicates give what ranking each resampled list gives; more replicates than one chunk holds."""
+def test_spearman_as_ranking_each_resampled_list(spark):
+    """Block weights give what ranking each resampled list gives; permutations what ranking by their hashes gives."""
     rng = np.random.default_rng(4)
     x = rng.integers(0, 6, (40, 3)).astype(float)
     b = np.arange(40) % 7
-    rows = [(k, int(s), *map(float, v)) for k in "pq" for s, v in zip(b, x if k == "p" else x[:, ::-1])]
-    got = {r["k"]: r for r in rs.spearman_interval(spark.createDataFrame(rows, "k string, s int, u double, v double, z double"), ["k"], ["u", "v", "z"], "s", 1100, 42, permutations=700).collect()}
+    rows = [(k, f"e{i}", int(b[i]), *map(float, v)) for k in "pq" for i, v in enumerate(x if k == "p" else x[:, ::-1])]
+    rows += [("p", "z", None, 1.0, 2.0, 3.0), ("q", "z", 3, None, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, e string, s int, u double, v double, z double").repartition(6)
+    got = {r["k"]: r for r in rt.spearman_interval(df, ["k"], ["u", "v", "z"], "s", 1100, 42, permutations=700, row=["e"]).collect()}
 
-    def corr(m):
-        r = [pd.Series(c).rank().to_numpy() for c in m.T]
+    def corr(m, ranked=False):
+        r = list(m.T) if ranked else [pd.Series(c).rank().to_numpy() for c in m.T]
         d = np.column_stack([np.ones(len(m)), r[2]])
         p, q = (c - d @ np.linalg.lstsq(d, c, rcond=None)[0] for c in r[:2])
         return np.corrcoef(p, q)[0, 1]
@@ -118,7 +122,16 @@ def test_spearman_replicates_as_one_by_one(spark):
         draws = [corr(m[np.repeat(np.arange(40), w[b])]) for w in rs.plan_matrix(7, 1100, 42)]
         assert abs(got[k]["observed"] - corr(m)) < 1e-9 and got[k]["n"] == 40 and got[k]["n_valid"] == 1100
         assert np.allclose([got[k]["ci_low"], got[k]["ci_high"]], np.percentile(draws, [2.5, 97.5]), atol=1e-9)
-        assert 1 / 701 <= got[k]["p_permutation"] <= 1
+        ranks = np.stack([pd.Series(c).rank().to_numpy() for c in m.T], 1)
+        fixed = ranks[sorted(range(40), key=lambda i: f"e{i}:"), 0]
+        hits = 0
+        for p in range(700):
+            order = sorted(range(40), key=lambda i: hashlib.md5(f"42:{p}:e{i}".encode()).hexdigest())
+            hits += abs(corr(np.column_stack([fixed, ranks[order][:, 1:]]), True)) >= abs(corr(m)) - 1e-9
+        assert got[k]["p_permutation"] == (hits + 1) / 701
+    flat = rt.spearman_interval(df.withColumn("u", F.lit(1.0)), [], ["u", "v"], "s", 20).collect()
+    assert len(flat) == 1 and flat[0]["observed"] is None and flat[0]["n_valid"] == 0
+    assert rt.spearman_interval(df.limit(0), ["k"], ["u", "v"], "s", 20).count() == 0
 
 
 def test_queries_run_the_stated_replicates():
@@ -128,7 +141,7 @@ def test_queries_run_the_stated_replicates():
     from hiemal.verification import q_hazard, q_network, q_resample
     text = "".join(inspect.getsource(m) for m in (q_hazard, q_network, q_resample))
     assert not any(x in text for x in ('"season", 100', "0.1, 400", "permutations=200"))
-    assert "permutations=10_000" in text and all(inspect.signature(f).parameters["reps"].default == n for f, n in ((nw.known_date_shift, 2000), (nw.break_scan, 2000), (rs.spearman_interval, 10_000)))
+    assert "permutations=10_000" in text and all(inspect.signature(f).parameters["reps"].default == n for f, n in ((nw.known_date_shift, 2000), (nw.break_scan, 2000), (rt.spearman_interval, 10_000)))
 
 
 def test_suggestions(spark):
