@@ -341,6 +341,71 @@ def test_phrase_of_many_documents(spark):
     assert len(want) > 300 and sum(not w <= cover.get(i, set()) for i, w in want.items()) == 0
 
 
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    rng = np.random.default_rng(31)
+    one, two, clean = words(rng, 90), words(rng, 70), words(rng, 81)
+    rows = [doc(1, " ".join(one)), doc(2, " ".join(words(rng, 9) + one)), doc(2, " ".join(clean)), doc(2, " ".join(clean)), doc(3, " ".join(clean)), doc(4, " ".join(two)), doc(4, " ".join(two + words(rng, 60)))]
+    clashing = DOCS + ", _cut int, _spans string, _row int, _digest string, doc struct<a:int>, `_doc` int, c1 string"
+    df = spark.createDataFrame([r + (1, "s", 2, "d", (3,), 4, "c") for r in rows], clashing)
+    left = sorted((r.doc_id, len(r.text.split()), r._cut, r._spans, r._row, r.doc.a, r.c1) for r in passages.drop_repeated_passages(df).collect())
+    same = (1, "s", 2, 3, "c")
+    assert left in ([(1, 90, *same), (2, 9, *same), (2, 81, *same), (2, 81, *same), (4, 60, *same), (4, 70, *same)], [(1, 90, *same), (2, 9, *same), (2, 81, *same), (2, 81, *same), (4, 130, *same)])
+    found = sorted((r.doc_id, r.start_word, r.stop_word, r.other_id) for r in passages.repeated_passages(df).collect() if r.doc_id < 4)
+    assert found == [(2, 9, 99, 1), (3, 0, 81, 2)]
+
+
+def test_pairs_at_once_as_one_by_one():
+    rng = np.random.default_rng(33)
+    pairs = []
+    for _ in range(300):
+        x = rng.integers(1, 1 << 62, int(rng.integers(0, 200))).astype(np.uint64)
+        y = rng.integers(1, 1 << 62, int(rng.integers(0, 200))).astype(np.uint64)
+        for _ in range(int(rng.integers(0, 4))):
+            if len(x) and len(y):
+                a, b, n = int(rng.integers(len(x))), int(rng.integers(len(y))), int(rng.integers(1, 120))
+                n = min(n, len(x) - a, len(y) - b)
+                y[b:b + n] = x[a:a + n]
+        if len(x) > 9:
+            x[rng.integers(0, len(x), 4)] = x[0]
+        pairs.append((x, y))
+    got = passages.shared_in_pairs(pairs, 46, .8)
+    assert got == [passages.shared_passages(x, y, 46, .8) if len(x) and len(y) else [] for x, y in pairs] and sum(map(len, got)) > 20
+    texts = ["", "one", "a b c d e", "A  b\tc d e f", " ".join(map(str, range(999)))]
+    assert all((a == passages.shingle_hashes(t)).all() and len(a) == len(passages.shingle_hashes(t)) for t, a in zip(texts, passages.many_shingle_hashes(texts)))
+
+
+def test_runs_join_from_both_sides():
+    x = np.arange(1, 107, dtype=np.uint64)
+    y = x.copy()
+    y[21:26] = y[41:46] = np.arange(1000, 1005, dtype=np.uint64)
+    (s, e, p, q, j), = passages.shared_passages(x, y, 46, .8)
+    assert (s, e, p, q) == (0, 106, 0, 106) and j > .8
+
+
+def test_passages_of_a_very_long_text(spark):
+    rng = np.random.default_rng(34)
+    long, near, far = words(rng, 60_000), words(rng, 60), words(rng, 55)
+    df = spark.createDataFrame([doc(1, " ".join(near + words(rng, 5000) + far)), doc(2, " ".join(long[:30_000] + near + long[30_000:] + far))], DOCS)
+    got = sorted((r.doc_id, r.start_word, r.stop_word, r.other_start, r.other_stop) for r in passages.repeated_passages(df).collect())
+    assert got == [(2, 30_000, 30_060, 0, 60), (2, 60_060, 60_115, 5060, 5115)]
+
+
+@pytest.mark.parametrize("length,changes", [(56, 1), (100, 2), (150, 4)])
+def test_passages_with_changed_words(spark, length, changes):
+    """Recall of passages at a similarity of 0.8 to 0.85 against all planted ones."""
+    rng = np.random.default_rng(35)
+    texts = {}
+    for i in range(200):
+        p = words(rng, length)
+        q = list(p)
+        for c in range(changes):
+            q[(c + 1) * length // (changes + 1)] = f"changed{i}x{c}"
+        texts[2 * i], texts[2 * i + 1] = words(rng, 20) + p + words(rng, 20), words(rng, 25) + q + words(rng, 15)
+    df = spark.createDataFrame([doc(i, " ".join(t)) for i, t in texts.items()], DOCS).repartition(6)
+    found = {r.doc_id for r in passages.repeated_passages(df).collect() if r.other_id == r.doc_id - 1}
+    assert len(found) >= .9 * 200
+
+
 def test_whole_copies_go(spark):
     rng = np.random.default_rng(9)
     t = " ".join(words(rng, 90))
