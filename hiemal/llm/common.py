@@ -104,3 +104,15 @@ def ranked(df: DataFrame, order: list[Column], group: list[str] | None = None, c
         run = Window.partitionBy("_part", *group).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
         out = out.select("*", *[(F.coalesce(F.sum(c).over(run), zero) + F.col(f"_base_{c}")).alias(name) for c, name in carry.items()])
     return out.select(*df.columns, "_rank", "_rows", *carry.values())
+
+
+def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, texts): every text of ``rows`` (_holder, an id that isn't null, _digest, _text) once, numbered in the order of (smallest id, digest).
+
+    nodes has (_digest, _holder, _copies, _key), texts (_id, _copies, _text) with _id the number. Only digests and ids are grouped; of each text one
+    row travels, that of its first holder. Rows that repeat id and text meet there.
+    """
+    nodes = rows.groupBy("_digest").agg(F.min("_holder").alias("_holder"), F.count(F.lit(1)).alias("_copies"))
+    nodes = stage_table(ranked(nodes, [F.col("_holder").asc(), F.col("_digest").asc()]).select("_digest", "_holder", "_copies", F.col("_rank").alias("_key")))
+    texts = rows.join(nodes, ["_holder", "_digest"]).groupBy("_holder", "_digest").agg(F.first("_key").alias("_id"), F.first("_copies").alias("_copies"), F.first("_text").alias("_text"))
+    return nodes, stage_table(texts.select("_id", "_copies", "_text"))

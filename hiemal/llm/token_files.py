@@ -50,8 +50,8 @@ class WordCoder:
         self.added = {f" {t.content}": i for i, t in added.items()}
         self.names = [t.content for t in added.values()]
         self.marks = re.compile("|".join(map(re.escape, sorted(self.names, key=len, reverse=True)))) if self.names else None
-        self.words = PieceTable(self.encode_words, 300_000)
-        self.table = PieceTable(self.encode_stretches, 300_000)
+        self.words = PieceTable(self.encode_words, 400_000)
+        self.table = PieceTable(self.encode_stretches, 600_000)
 
     def stretches(self, text: str) -> list[str]:
         """Lower-case stretches of a text without added tokens."""
