@@ -311,10 +311,10 @@ def _(spark, sf):
     return a.select("central_date", "negative_run_days", *[r6(c).alias(c) for c in ("central_value", "lowest_next", "mean_previous")])
 
 
-@query("nearest_reference_dates", "E25", f"""WITH {REV_SQL}, rf AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS reference_date FROM orders WHERE o_totalprice > 498000), j AS (SELECT reference_date, central_date, row_number() OVER (PARTITION BY reference_date ORDER BY abs(central_date - reference_date), central_date) AS rk FROM rf, rev)
+@query("nearest_reference_dates", "E25", f"""WITH {REV_SQL}, rf AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS reference_date FROM orders), j AS (SELECT reference_date, central_date, row_number() OVER (PARTITION BY reference_date ORDER BY abs(central_date - reference_date), central_date) AS rk FROM rf, rev)
 SELECT reference_date, central_date AS nearest_date, CAST(central_date - reference_date AS INTEGER) AS offset_days, central_date = reference_date AS exact_match, abs(central_date - reference_date) <= 1 AS within_1_day, abs(central_date - reference_date) <= 2 AS within_2_days FROM j WHERE rk = 1""")
 def _(spark, sf):
-    ref = table(spark, sf, "orders").filter("o_totalprice > 498000").select(F.to_date("o_orderdate").alias("reference_date")).distinct()
+    ref = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("reference_date")).distinct()
     return ev.nearest_dates(ref, ev.sign_reversals(reversal_series(spark, sf), "u", 8, 4))
 
 

@@ -79,7 +79,11 @@ def _(spark, sf):
     return qc.ledger_issues(b.unionByName(b.filter("decision = 'set_tmax_missing'")))
 
 
-@query("value_decisions_applied", "Q06", f"""WITH {DEC_SQL}, j AS (SELECT fp.station, fp.date, fp.tmin, fp.tmax, coalesce(led.decision, 'not_reviewed') AS decision, led.old_value AS ov, led.new_value AS nv FROM fp LEFT JOIN led ON led.station = fp.station AND led.date = fp.date),
+#: The decisions come from the flagged rows that they are joined with; both are read once.
+ONCE_SQL = DEC_SQL.replace(" fp AS (", " fp AS MATERIALIZED (").replace(" led AS (", " led AS MATERIALIZED (")
+
+
+@query("value_decisions_applied", "Q06", f"""WITH {ONCE_SQL}, j AS (SELECT fp.station, fp.date, fp.tmin, fp.tmax, coalesce(led.decision, 'not_reviewed') AS decision, led.old_value AS ov, led.new_value AS nv FROM fp LEFT JOIN led ON led.station = fp.station AND led.date = fp.date),
 x AS (SELECT *, CASE WHEN decision IN ('set_tmin_missing', 'set_both_missing') THEN NULL WHEN decision = 'select_old_tmin' THEN ov WHEN decision = 'select_new_tmin' THEN nv ELSE tmin END AS tmin_clean,
   CASE WHEN decision IN ('set_tmax_missing', 'set_both_missing') THEN NULL ELSE tmax END AS tmax_clean FROM j)
 SELECT station, date, decision, {R('tmin_clean')} AS tmin_clean, {R('tmax_clean')} AS tmax_clean, tmin IS DISTINCT FROM tmin_clean AS tmin_changed, tmax IS DISTINCT FROM tmax_clean AS tmax_changed FROM x""")

@@ -125,17 +125,17 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- bootstrap, slopes, leave one out
-@query("map_bootstrap", "B05 B03", f"""WITH {LAG_SQL}, e0 AS (SELECT * FROM ea WHERE lag = 0), {boot('e0', 'lat, lon', 'a')} SELECT lat, lon, {MAP_OUT} FROM dr GROUP BY 1, 2""")
+@query("map_bootstrap", "B05 B03", f"""WITH {LAG_SQL}, {boot('ea', 'lat, lon, lag', 'a')} SELECT lat, lon, lag, {MAP_OUT} FROM dr GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return boot_cols(rs.bootstrap_mean(_event_fields(spark, sf).filter("lag = 0"), ["lat", "lon"], "t_anom", "season", REPS, 42), ["lat", "lon"], 3)
+    return boot_cols(rs.bootstrap_mean(_event_fields(spark, sf), ["lat", "lon", "lag"], "t_anom", "season", REPS, 42), ["lat", "lon", "lag"], 3)
 
 
-@query("map_group_difference", "B05 B04", f"""WITH {LAG_SQL}, e0 AS (SELECT * FROM ea WHERE lag BETWEEN 0 AND 2), {boot('e0', 'lat, lon', 'a', draw=DIFF_DRAW, sums="coalesce(sum(a) FILTER (WHERE duration_group <> 'short'), 0) AS sa, count(a) FILTER (WHERE duration_group <> 'short') AS na, coalesce(sum(a) FILTER (WHERE duration_group = 'short'), 0) AS sb, count(a) FILTER (WHERE duration_group = 'short') AS nb")}
-SELECT lat, lon, {MAP_OUT} FROM dr GROUP BY 1, 2""")
+@query("map_group_difference", "B05 B04", f"""WITH {LAG_SQL}, {boot('ea', 'lat, lon, lag', 'a', draw=DIFF_DRAW, sums="coalesce(sum(a) FILTER (WHERE duration_group <> 'short'), 0) AS sa, count(a) FILTER (WHERE duration_group <> 'short') AS na, coalesce(sum(a) FILTER (WHERE duration_group = 'short'), 0) AS sb, count(a) FILTER (WHERE duration_group = 'short') AS nb")}
+SELECT lat, lon, lag, {MAP_OUT} FROM dr GROUP BY 1, 2, 3""")
 def _(spark, sf):
     short = F.col("duration_group") == "short"
-    d = rs.bootstrap_difference(_event_fields(spark, sf).filter("lag BETWEEN 0 AND 2"), ["lat", "lon"], "t_anom", "season", ~short, short, REPS, 42)
-    return boot_cols(d.filter("n_valid > 0"), ["lat", "lon"], 3)
+    d = rs.bootstrap_difference(_event_fields(spark, sf), ["lat", "lon", "lag"], "t_anom", "season", ~short, short, REPS, 42)
+    return boot_cols(d.filter("n_valid > 0"), ["lat", "lon", "lag"], 3)
 
 
 @query("duration_trend", "B12", f"""WITH {SWEEP_SQL}, trd AS (SELECT scenario, season, event_id, count(*) AS d FROM evd WHERE event_id IS NOT NULL GROUP BY 1, 2, 3), {boot('trd', 'scenario', 'd', draw='(sum(w*n)*sum(w*xy) - sum(w*x)*sum(w*yv)) / nullif(round(sum(w*n)*sum(w*xx) - pow(sum(w*x), 2), 9), 0)', sums='count(*) AS n, sum(season / 10.0::DOUBLE - 199.5) AS x, sum(d)::DOUBLE AS yv, sum(pow(season / 10.0::DOUBLE - 199.5, 2)) AS xx, sum((season / 10.0::DOUBLE - 199.5) * d) AS xy')}, ob AS (SELECT scenario, {R('regr_slope(d, season / 10.0::DOUBLE)', 5)} AS observed FROM trd GROUP BY 1)
@@ -146,10 +146,10 @@ def _(spark, sf):
     return s.select("scenario", r6("observed", 5).alias("observed"), r6("ci_low", 4).alias("ci_low"), r6("ci_high", 4).alias("ci_high"))
 
 
-@query("leave_one_season_out", "B13", f"""WITH {LAG_SQL}, b AS (SELECT lat, lon, season, sum(a) AS s, count(a) AS n FROM ea WHERE lag = 0 GROUP BY 1, 2, 3), t AS (SELECT lat, lon, sum(s) AS ts, sum(n) AS tn FROM b GROUP BY 1, 2), j AS (SELECT b.*, round(ts / tn, 12) AS f, round(s / n, 12) AS o, CASE WHEN tn > n THEN round((ts - s) / (tn - n), 12) END AS r, ts, tn FROM b JOIN t USING (lat, lon))
-SELECT lat, lon, {R('max(ts / tn)')} AS mean, count(*) AS block_count, {R('avg(CASE WHEN r IS NOT NULL THEN CASE WHEN sign(r) = sign(f) THEN 1.0 ELSE 0.0 END END)')} AS loo_sign_stability, {R('avg(CASE WHEN sign(o) = sign(f) THEN 1.0 ELSE 0.0 END)')} AS same_sign_fraction, {R('avg(s / n)')} AS block_equal_mean, {R('min(r)')} AS loo_low, {R('max(r)')} AS loo_high FROM j GROUP BY 1, 2""")
+@query("leave_one_season_out", "B13", f"""WITH {LAG_SQL}, b AS (SELECT lat, lon, lag, season, sum(a) AS s, count(a) AS n FROM ea GROUP BY 1, 2, 3, 4), t AS (SELECT lat, lon, lag, sum(s) AS ts, sum(n) AS tn FROM b GROUP BY 1, 2, 3), j AS (SELECT b.*, round(ts / tn, 12) AS f, round(s / n, 12) AS o, CASE WHEN tn > n THEN round((ts - s) / (tn - n), 12) END AS r, ts, tn FROM b JOIN t USING (lat, lon, lag))
+SELECT lat, lon, lag, {R('max(ts / tn)')} AS mean, count(*) AS block_count, {R('avg(CASE WHEN r IS NOT NULL THEN CASE WHEN sign(r) = sign(f) THEN 1.0 ELSE 0.0 END END)')} AS loo_sign_stability, {R('avg(CASE WHEN sign(o) = sign(f) THEN 1.0 ELSE 0.0 END)')} AS same_sign_fraction, {R('avg(s / n)')} AS block_equal_mean, {R('min(r)')} AS loo_low, {R('max(r)')} AS loo_high FROM j GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    lo = rs.leave_one_out(_event_fields(spark, sf).filter("lag = 0"), ["lat", "lon"], "t_anom", "season")
+    lo = rs.leave_one_out(_event_fields(spark, sf), ["lat", "lon", "lag"], "t_anom", "season")
     return rounded(lo, "mean", "loo_sign_stability", "same_sign_fraction", "block_equal_mean", "loo_low", "loo_high")
 
 

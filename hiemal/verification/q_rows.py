@@ -326,9 +326,9 @@ def _(spark, sf):
 
 
 @query("common_dates", "R09", """
-SELECT CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_returnflag) AS group_count FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3""")
+SELECT CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_returnflag) AS group_count FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3""")
 def _(spark, sf):
-    d = table(spark, sf, "lineitem").filter("l_discount >= 0.05").select(F.to_date("l_shipdate").alias("date"), "l_returnflag")
+    d = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date"), "l_returnflag")
     return tables.common_dates(d, "l_returnflag", 3)
 
 
