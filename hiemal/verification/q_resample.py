@@ -247,7 +247,7 @@ def _(spark, sf):
     return rounded(rs.matched_values(o, cov(spark, sf), "x", REPS, 7), "null_value")
 
 
-NULL_SQL = f"""{REV_SQL}, c0 AS (SELECT strftime(central_date, '%Y%m%d') AS id, central_date AS date, year(central_date) - CASE WHEN month(central_date) <= 6 THEN 1 ELSE 0 END AS own FROM rev), c1 AS (SELECT id, date, s.s, s.s + CASE WHEN month(date) >= 7 THEN 0 ELSE 1 END AS y FROM c0, (SELECT unnest(range(1995, 2001)) AS s) s WHERE s.s <> own),
+NULL_SQL = f"""{REV_SQL}, ss AS (SELECT min(y) AS lo, max(y) AS hi FROM (SELECT year(date) - CASE WHEN month(date) <= 6 THEN 1 ELSE 0 END AS y FROM r0)), c0 AS (SELECT strftime(central_date, '%Y%m%d') AS id, central_date AS date, year(central_date) - CASE WHEN month(central_date) <= 6 THEN 1 ELSE 0 END AS own FROM rev), c1 AS (SELECT id, date, s.s, s.s + CASE WHEN month(date) >= 7 THEN 0 ELSE 1 END AS y FROM c0, (SELECT unnest(range(lo, hi + 1)) AS s FROM ss) s WHERE s.s <> own),
 c2 AS (SELECT id, date, CAST(least(make_date(y, month(date), 1) + INTERVAL (day(date) - 1) DAY, make_date(y, month(date), 1) + INTERVAL 1 MONTH - INTERVAL 1 DAY) AS DATE) AS candidate FROM c1), c3 AS (SELECT c2.*, EXISTS (SELECT 1 FROM c0 WHERE abs(c0.date - c2.candidate) <= 20) AS taken FROM c2),
 adm AS (SELECT id, date, candidate, false AS fallback FROM c3 WHERE NOT taken UNION ALL SELECT id, date, candidate, true FROM c3 WHERE id NOT IN (SELECT id FROM c3 WHERE NOT taken)),
 nul AS (SELECT CAST(r AS INTEGER) AS rep, id, bool_or(fallback) AS fallback, list(candidate ORDER BY candidate)[CAST('0x' || substr(md5('9:' || CAST(any_value(r) AS VARCHAR) || ':' || id), 1, 8) AS BIGINT) % count(*) + 1] AS null_date FROM adm, (SELECT unnest(range({REPS})) AS r) GROUP BY 1, 2)"""
@@ -258,24 +258,32 @@ def reversal_dates(spark, sf):
     return d.select(F.date_format("central_date", "yyyyMMdd").alias("id"), F.col("central_date").alias("date"))
 
 
+def controls(spark, sf, dates):
+    """(candidates, first season, last season): every season that the series has dates of."""
+    y = cal.season_year(F.col("date"), 6)
+    first, last = reversal_series(spark, sf).agg(F.min(y), F.max(y)).first()
+    return rs.admissible_dates(dates, first, last, 20), first, last
+
+
 @query("matched_control_dates", "B15", f"WITH {NULL_SQL} SELECT * FROM nul")
 def _(spark, sf):
-    return rs.null_dates(rs.admissible_dates(reversal_dates(spark, sf), 1995, 2000, 20), REPS, 9)
+    return rs.null_dates(controls(spark, sf, reversal_dates(spark, sf))[0], REPS, 9)
 
 
-@query("redraw_diagnostics", "B25", f"""WITH {NULL_SQL}, n AS (SELECT c0.id, count(*) FILTER (WHERE NOT taken) AS a FROM c0 JOIN c3 ON c3.id = c0.id GROUP BY 1) SELECT id, a AS admissible, {R('a / 5.0')} AS admissible_share, {R('CASE WHEN a > 0 THEN 5.0 / a END')} AS expected_draws, a = 0 AS always_fails FROM n""")
+@query("redraw_diagnostics", "B25", f"""WITH {NULL_SQL}, n AS (SELECT c0.id, count(*) FILTER (WHERE NOT taken) AS a FROM c0 JOIN c3 ON c3.id = c0.id GROUP BY 1) SELECT id, a AS admissible, {R('a / (hi - lo)::DOUBLE')} AS admissible_share, {R('CASE WHEN a > 0 THEN (hi - lo)::DOUBLE / a END')} AS expected_draws, a = 0 AS always_fails FROM n, ss""")
 def _(spark, sf):
     d = reversal_dates(spark, sf)
-    return rounded(rs.redraw_diagnostics(d, rs.admissible_dates(d, 1995, 2000, 20), 5), "admissible_share", "expected_draws")
+    candidates, first, last = controls(spark, sf, d)
+    return rounded(rs.redraw_diagnostics(d, candidates, last - first), "admissible_share", "expected_draws")
 
 
-@query("onset_count_null", "B16 B17", f"""WITH {NULL_SQL}, x AS (SELECT CAST(o_orderdate AS DATE) AS start_date, o_orderkey FROM orders WHERE o_totalprice > 490000), hit AS (SELECT rep, count(DISTINCT o_orderkey) AS c FROM nul JOIN x ON start_date BETWEEN null_date AND null_date + 20 GROUP BY 1),
-a AS (SELECT r.rep, coalesce(c, 0)::DOUBLE AS c FROM (SELECT DISTINCT rep FROM nul) r LEFT JOIN hit ON hit.rep = r.rep), ob AS (SELECT count(DISTINCT o_orderkey)::DOUBLE AS o FROM rev JOIN x ON start_date BETWEEN central_date AND central_date + 20)
+@query("onset_count_null", "B16 B17", f"""WITH {NULL_SQL}, x AS (SELECT CAST(o_orderdate AS DATE) AS start_date, count(DISTINCT o_orderkey) AS k FROM orders GROUP BY 1), wd AS (SELECT DISTINCT rep, CAST(null_date + CAST(o AS INTEGER) AS DATE) AS start_date FROM nul, (SELECT unnest(range(21)) AS o)), hit AS (SELECT rep, sum(k) AS c FROM wd JOIN x USING (start_date) GROUP BY 1),
+a AS (SELECT r.rep, coalesce(c, 0)::DOUBLE AS c FROM (SELECT DISTINCT rep FROM nul) r LEFT JOIN hit ON hit.rep = r.rep), ob AS (SELECT sum(k)::DOUBLE AS o FROM (SELECT DISTINCT CAST(central_date + CAST(d AS INTEGER) AS DATE) AS start_date FROM rev, (SELECT unnest(range(21)) AS d)) JOIN x USING (start_date))
 SELECT o AS observed, count(*) AS n, {R('avg(c)')} AS null_mean, {R('quantile_cont(c, 0.025)')} AS null_p025, {R('quantile_cont(c, 0.975)')} AS null_p975, (SELECT min(k) FROM range(0, 100000) t(k) WHERE (SELECT count(*) FROM a WHERE c >= k) <= 0.05 * (SELECT count(*) FROM a)) AS critical_value, {R('(count(*) FILTER (WHERE c >= o) + 1) / (count(*) + 1)')} AS p_one_sided, {R('least(1.0, 2.0 * (least(count(*) FILTER (WHERE c <= o), count(*) FILTER (WHERE c >= o)) + 1) / (count(*) + 1))')} AS p_two_sided, {R('var_pop(c) / avg(c)')} AS dispersion FROM a, ob GROUP BY o""")
 def _(spark, sf):
     d = reversal_dates(spark, sf)
-    x = table(spark, sf, "orders").filter("o_totalprice > 490000").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("start_date"))
-    nul = rs.null_dates(rs.admissible_dates(d, 1995, 2000, 20), REPS, 9)
+    x = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("start_date"))
+    nul = rs.null_dates(controls(spark, sf, d)[0], REPS, 9)
     c = rs.onsets_in_windows(x, nul, 0, 20, ["rep"], "null_date")
     c = nul.select("rep").distinct().join(c, "rep", "left").select("rep", F.coalesce("onset_count", F.lit(0)).alias("c"))
     ob = rs.onsets_in_windows(x, d, 0, 20).select(F.col("onset_count").cast("double").alias("o"))
