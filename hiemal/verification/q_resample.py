@@ -270,6 +270,18 @@ def _(spark, sf):
     return rs.null_dates(controls(spark, sf, reversal_dates(spark, sf))[0], REPS, 9)
 
 
+PHASE_SQL = NULL_SQL.replace("WHERE s.s <> own)", "WHERE s.s <> own AND s.s % 2 = own % 2)").replace(
+    "INTERVAL 1 DAY) AS DATE) AS candidate FROM c1)", "INTERVAL 1 DAY) AS DATE) + CAST(o AS INTEGER) AS candidate FROM c1, (SELECT unnest(range(-3, 4)) AS o))")
+
+
+@query("matched_control_dates_in_phase", "B15", f"WITH {PHASE_SQL} SELECT rep, id, fallback, CAST(null_date AS DATE) AS null_date FROM nul")
+def _(spark, sf):
+    d = reversal_dates(spark, sf)
+    _, first, last = controls(spark, sf, d)
+    phases = spark.range(first, last + 1).select(F.col("id").cast("int").alias("season"), (F.col("id") % 2).alias("phase"))
+    return rs.null_dates(rs.admissible_dates(d, first, last, 20, jitter=3, phases=phases), REPS, 9)
+
+
 @query("redraw_diagnostics", "B25", f"""WITH {NULL_SQL}, n AS (SELECT c0.id, count(*) FILTER (WHERE NOT taken) AS a FROM c0 JOIN c3 ON c3.id = c0.id GROUP BY 1) SELECT id, a AS admissible, {R('a / (hi - lo)::DOUBLE')} AS admissible_share, {R('CASE WHEN a > 0 THEN (hi - lo)::DOUBLE / a END')} AS expected_draws, a = 0 AS always_fails FROM n, ss""")
 def _(spark, sf):
     d = reversal_dates(spark, sf)

@@ -71,3 +71,16 @@ def test_plans_made_in_tasks_equal_the_matrix():
     assert (rp.weights_of(np.arange(-1, 30), 6, 9) == np.concatenate([np.ones((1, 6)), rs.plan_matrix(6, 30, 9)])).all()
     assert (rp.weights_of(np.array([4, 7]), 6, 9) == rs.plan_matrix(6, 30, 9)[[4, 7]]).all()
     assert [rp.replicates_of(c, 5, 2).tolist() for c in range(3)] == [[-1, 0, 1], [2, 3], [4]]
+
+
+def test_random_sign_flips_agree_with_all_patterns(spark):
+    """Beyond the exact limit random patterns stand for all of them; here both can be had."""
+    rng = np.random.default_rng(8)
+    rows = [(k, b, float(v)) for k, mean in (("a", 0.1), ("b", 0.4), ("c", 1.0)) for b, v in enumerate(rng.normal(mean, 1, 28))]
+    df = spark.createDataFrame(rows, "k string, s int, d double").repartition(3)
+    many = {r.k: r for r in rs.sign_flip(df, ["k"], "s", "d").collect()}
+    every = {r.k: r for r in rs.sign_flip(df, ["k"], "s", "d", exact_up_to=28).collect()}
+    for k in "abc":
+        p, n = every[k].p_value, 200_000
+        assert many[k].block_count == 28 and many[k].p_value != p and many[k].p_value >= 1 / (n + 1)
+        assert abs(many[k].p_value - p) < 5 * (p * (1 - p) / n) ** 0.5 + 2 / n
