@@ -41,19 +41,25 @@ def pooled_samples(base: DataFrame, keys: list[str], value: str, slot: str, half
 
 
 def pooled_moments(base: DataFrame, keys: list[str], value: str, slot: str, half: int, period: int = 365) -> DataFrame:
-    """(keys, slot, n, mean, sd): moments of all values within +-half slots, pooled not averaged."""
-    x = F.col(value)
+    """(keys, slot, n, mean, sd): moments of all values within +-half slots, pooled not averaged.
+
+    Each slot holds its count, sum and sum of squared departures from its mean; those of a window are merged pairwise, so a large mean costs no digit
+    of the deviation.
+    """
+    x = F.col(value).cast("double")
     by_slot = base.filter(x.isNotNull()).groupBy(*keys, slot).agg(
-        F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")).alias("_v"))
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
-    total = lambda parts, f: F.aggregate(parts, F.lit(0.0), lambda a, p: a + p[f])
-    out = _windows(by_slot, keys, slot, "_v", zero, half, period, lambda t, parts: F.struct(
-        t.alias(slot), total(parts, "n").alias("n"), total(parts, "s").alias("_s"), total(parts, "ss").alias("_ss")))
-    out = out.filter("n > 0")
-    mean = F.col("_s") / F.col("n")
-    var = (F.col("_ss") - F.col("_s") * F.col("_s") / F.col("n")) / (F.col("n") - 1)
-    return out.select(*keys, slot, F.col("n").cast("long").alias("n"), mean.alias("mean"),
-                      F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sd"))
+        F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("s"), (F.var_pop(x) * F.count(F.lit(1))).alias("q")).alias("_v"))
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+
+    def merge(a, p):
+        both = (a["n"] > 0) & (p["n"] > 0)
+        d = p["s"] / p["n"] - a["s"] / a["n"]
+        apart = F.when(both, d * d * a["n"] * p["n"] / (a["n"] + p["n"])).otherwise(F.lit(0.0))
+        return F.struct((a["n"] + p["n"]).alias("n"), (a["s"] + p["s"]).alias("s"), (a["q"] + p["q"] + apart).alias("q"))
+
+    out = _windows(by_slot, keys, slot, "_v", zero, half, period, lambda t, parts: F.struct(t.alias(slot), F.aggregate(parts, zero, merge).alias("_m")))
+    n = F.col("_m.n")
+    return out.filter(n > 0).select(*keys, slot, n.cast("long").alias("n"), (F.col("_m.s") / n).alias("mean"), F.when(n > 1, F.sqrt(F.col("_m.q") / (n - 1))).alias("sd"))
 
 
 def calendar_anomaly(df: DataFrame, keys: list[str], value: str, slot: str, half: int, baseline: Column | str,

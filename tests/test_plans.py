@@ -61,3 +61,14 @@ def test_plan_table_equals_matrix(spark):
     for r in rs.plan_table(spark, 7, 20, 42).collect():
         t[r["rep"], r["block_no"]] = r["weight"]
     assert (m == t).all() and (m.sum(axis=1) == 7).all()
+
+
+def test_moments_of_a_large_mean_keep_their_digits(spark):
+    import numpy as np
+    from hiemal.operators import climatology as k
+    rng = np.random.default_rng(6)
+    rows = [(1, slot, float(v)) for slot in range(1, 366) for v in 1e8 + rng.normal(0, 0.01, 5)]
+    got = {r.slot: r for r in k.pooled_moments(spark.createDataFrame(rows, "g int, slot int, x double").repartition(4), ["g"], "x", "slot", 7).collect()}
+    for slot in (1, 100, 365):
+        near = np.array([v for _, s, v in rows if min((s - slot) % 365, (slot - s) % 365) <= 7]) - 1e8
+        assert got[slot].n == 75 and abs(got[slot].sd / near.std(ddof=1) - 1) < 1e-6
