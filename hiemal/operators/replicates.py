@@ -283,6 +283,21 @@ def fits_of_many_parts(parts: DataFrame, facts: DataFrame, keys: list[str], k: i
     return whole.select(*keys, F.inline(draws("beta", "status", "_c")))
 
 
+def model_parts(df: DataFrame, keys: list[str], columns: list[str], block: str, y: str, blocks: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, parts, facts) of every model, staged: its sufficient rows, ``parts_of`` them, and its facts. ``blocks`` has (_block, _b)."""
+    rows = stage_table(sufficient_rows(df, keys, columns, block, y).join(blocks, "_block").select(*keys, "_b", "_x", "trials", "events"))
+    return rows, *parts_of(rows, keys, len(columns), part_rows)
+
+
+def fits_of_parts(parts: DataFrame, facts: DataFrame, keys: list[str], k: int, n_blocks: int, reps: int, seed: int | None, chunk: int = CHUNK) -> DataFrame:
+    """(keys, rep, coef, converged): models of one part where it lies, larger ones by passes over their parts."""
+    out = fits_of_one_part(parts.where("_parts = 1"), keys, k, n_blocks, reps, seed, chunk)
+    large = facts.where("_parts > 1")
+    if not large.isEmpty():
+        out = out.unionByName(fits_of_many_parts(parts.where("_parts > 1"), large, keys, k, n_blocks, reps, seed, chunk))
+    return out
+
+
 def replicate_fits(df: DataFrame, keys: list[str], columns: list[str], block: str, reps: int | None, seed: int | None = 42, y: str = "terminates", blocks: DataFrame | None = None,
                    part_rows: int = PART_ROWS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(draws, facts) of every model, however many rows it has.
@@ -293,12 +308,5 @@ def replicate_fits(df: DataFrame, keys: list[str], columns: list[str], block: st
     """
     blocks = stage_table(block_numbers(df, block) if blocks is None else blocks)
     n_blocks = blocks.count()
-    reps = n_blocks if seed is None else reps
-    k = len(columns)
-    rows = stage_table(sufficient_rows(df, keys, columns, block, y).join(blocks, "_block").select(*keys, "_b", "_x", "trials", "events"))
-    parts, facts = parts_of(rows, keys, k, part_rows)
-    out = fits_of_one_part(parts.where("_parts = 1"), keys, k, n_blocks, reps, seed, chunk)
-    large = facts.where("_parts > 1")
-    if not large.isEmpty():
-        out = out.unionByName(fits_of_many_parts(parts.where("_parts > 1"), large, keys, k, n_blocks, reps, seed, chunk))
-    return out, facts.select(*keys, "n_rows", "n_terminations")
+    _, parts, facts = model_parts(df, keys, columns, block, y, blocks, part_rows)
+    return fits_of_parts(parts, facts, keys, len(columns), n_blocks, n_blocks if seed is None else reps, seed, chunk), facts.select(*keys, "n_rows", "n_terminations")

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align as al, climatology as k, events as ev, hazard as hz, rank_tests as rt, resample as rs
-from ..session import cut_lineage
+from ..operators import align as al, climatology as k, events as ev, hazard as hz, rank_tests as rt, resample as rs, validation as vl
+from ..session import cut_lineage, stage_table
 from .q_climate import national
 from .q_events import SWEEP_SQL, _scenario_catalogue, primary, swept
 from .q_grid import rounded
@@ -75,12 +75,14 @@ def newton(keys: str, steps: int = 30) -> str:
 fit AS (SELECT {keys}, arg_max(b0, it) AS b0, arg_max(b1, it) AS b1, arg_max(b2, it) AS b2, arg_max(move, it) < 1e-10 AS conv FROM nw GROUP BY {keys})"""
 
 
-def newton_many(keys: str, columns: list[str], steps: int = 30) -> str:
-    """As ``newton`` for any number of design columns: fit holds b0, b1, ..; the steps come from a Cholesky factor, one layer a number."""
+def newton_many(keys: str, columns: list[str], steps: int = 30, tag: str = "") -> str:
+    """As ``newton`` for any number of design columns: fit holds b0, b1, ..; the steps come from a Cholesky factor, one layer a number.
+
+    ``tag`` ends the names of its tables (d, nw, fit), for a second fit in one statement."""
     k = len(columns) + 1
     x, bs = ["1", *columns], ", ".join(f"b{i}" for i in range(k))
     sums = [f"sum(w * (t - m) * {x[i]}) AS g{i}" for i in range(k)] + [f"sum(w * m * (1 - m) * {x[i]} * {x[j]}){' + 1e-10' if i == j else ''} AS s{j}_{i}" for j in range(k) for i in range(j + 1)]
-    q = f"SELECT {keys}, it, {bs}, {', '.join(sums)} FROM (SELECT {keys}, it, {bs}, t, w, {', '.join(columns)}, 1 / (1 + exp(-greatest(-500, least(500, {' + '.join(f'b{i} * {x[i]}' for i in range(k))})))) AS m FROM nw JOIN d USING ({keys}) WHERE it < {steps} AND move >= 1e-10) GROUP BY {keys}, it, {bs}"
+    q = f"SELECT {keys}, it, {bs}, {', '.join(sums)} FROM (SELECT {keys}, it, {bs}, t, w, {', '.join(columns)}, 1 / (1 + exp(-greatest(-500, least(500, {' + '.join(f'b{i} * {x[i]}' for i in range(k))})))) AS m FROM nw{tag} JOIN d{tag} USING ({keys}) WHERE it < {steps} AND move >= 1e-10) GROUP BY {keys}, it, {bs}"
     layers = []
     for j in range(k):
         less = "".join(f" - l{j}_{m} * l{j}_{m}" for m in range(j))
@@ -91,9 +93,9 @@ def newton_many(keys: str, columns: list[str], steps: int = 30) -> str:
     for layer in layers:
         q = f"SELECT *, {', '.join(layer)} FROM ({q})"
     zero = ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(k))
-    return f"""nw AS (SELECT {keys}, 0 AS it, {zero}, 1.0::DOUBLE AS move FROM d GROUP BY {keys} HAVING sum(w * t) > 0 AND sum(w * t) < sum(w)
+    return f"""nw{tag} AS (SELECT {keys}, 0 AS it, {zero}, 1.0::DOUBLE AS move FROM d{tag} GROUP BY {keys} HAVING sum(w * t) > 0 AND sum(w * t) < sum(w)
   UNION ALL SELECT {keys}, it + 1, {', '.join(f'b{i} + d{i}' for i in range(k))}, greatest({', '.join(f'abs(d{i})' for i in range(k))}) FROM ({q})),
-fit AS (SELECT {keys}, {', '.join(f'arg_max(b{i}, it) AS b{i}' for i in range(k))}, arg_max(move, it) < 1e-10 AS conv FROM nw GROUP BY {keys})"""
+fit{tag} AS (SELECT {keys}, {', '.join(f'arg_max(b{i}, it) AS b{i}' for i in range(k))}, arg_max(move, it) < 1e-10 AS conv FROM nw{tag} GROUP BY {keys})"""
 
 
 @query("large_logistic_fit", "H05", f"""WITH RECURSIVE d AS (SELECT 1 AS one, l_quantity / 10 AS v, l_discount * 10 AS a, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END::DOUBLE AS t, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL), {newton('one')}
@@ -172,32 +174,70 @@ def _(spark, sf):
     return rounded(hz.variance_inflation(risk(spark, sf), ["x", "y"]), "vif")
 
 
-def predictions(spark, sf, **kw):
+def predictions(spark, sf, candidates=("x", "y", "xy"), **kw):
     r = hazard_rows(spark, sf)
-    p = hz.nested_predictions(r, ["x", "y", "xy"], ["log_age"], "season", F.concat_ws("|", "event_id", "event_age"), **kw)
-    return cut_lineage(p.filter("p_full IS NOT NULL"))
+    return stage_table(vl.nested_predictions(r, list(candidates), ["log_age"], "season", F.concat_ws("|", "event_id", "event_age"), keep=["season"], **kw).filter("p_full IS NOT NULL"))
+
+
+def validated(p):
+    """Scores with their block intervals; a replicate draws the seasons that were predicted."""
+    out = hz.scores(p, ["model"]).join(vl.score_intervals(p, ["model"], "season", REPS), "model")
+    return rounded(out, *[c for c in out.columns if c not in ("model", "n")], digits=5)
+
+
+def validation_sql(folds: str) -> str:
+    """Scores of fixed predictors x and y beside log age, out of block; ``folds`` has (model, fold, season, trains) for every season of a fold."""
+    eta = lambda b: f"1 / (1 + exp(-({b})))"
+    return f"""WITH RECURSIVE {HZ_SQL}, rw AS (SELECT row_number() OVER (ORDER BY season, a, t, x, y) AS id, season, t::DOUBLE AS t, a, x, y FROM hz WHERE a IS NOT NULL AND t IS NOT NULL),
+se AS (SELECT DISTINCT season FROM rw), fo AS ({folds}), cm AS (SELECT 1 AS one, * FROM rw WHERE x IS NOT NULL AND y IS NOT NULL),
+st AS (SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy, avg(a) AS ma, stddev_samp(a) AS sa FROM cm), zs AS (SELECT id, season, t, (x - mx) / sx AS v, (y - my) / sy AS c, (a - ma) / sa AS a FROM rw, st),
+d AS (SELECT model, fold, 'full' AS kind, v, c, a, t, 1.0::DOUBLE AS w FROM zs JOIN fo USING (season) WHERE trains AND v IS NOT NULL AND c IS NOT NULL UNION ALL SELECT model, fold, 'less', 0.0, 0.0, a, t, 1.0 FROM zs JOIN fo USING (season) WHERE trains),
+{newton_many('model, fold, kind', ['v', 'c', 'a'])},
+mn AS (SELECT model, fold, avg(v) FILTER (WHERE kind = 'full') AS mv, avg(c) FILTER (WHERE kind = 'full') AS mc, avg(t) FILTER (WHERE kind = 'less') AS pc FROM d GROUP BY 1, 2),
+pr AS MATERIALIZED (SELECT model, season, id, t AS y, pc, {eta('l.b0 + l.b3 * a')} AS pa, {eta('f.b0 + f.b1 * coalesce(v, mv) + f.b2 * coalesce(c, mc) + f.b3 * a')} AS pf FROM zs JOIN fo USING (season) JOIN mn USING (model, fold)
+  JOIN fit f USING (model, fold) JOIN fit l USING (model, fold) WHERE NOT trains AND f.kind = 'full' AND l.kind = 'less'),
+rk AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY pf) + (count(*) OVER (PARTITION BY model, pf) - 1) / 2.0 AS rf, rank() OVER (PARTITION BY model ORDER BY pa) + (count(*) OVER (PARTITION BY model, pa) - 1) / 2.0 AS ra FROM pr),
+g AS (SELECT model, count(*) AS n, sum(y) AS p, sum(y * rf) AS sf, sum(y * ra) AS sa, avg(pow(y - pf, 2)) AS bf, avg(pow(y - pa, 2)) AS ba, avg(pow(y - pc, 2)) AS bc, sum(y) / sum(pf) AS oe FROM rk GROUP BY 1),
+ps AS (SELECT model, season, row_number() OVER (PARTITION BY model ORDER BY season) - 1 AS i, count(*) OVER (PARTITION BY model) AS k FROM (SELECT DISTINCT model, season FROM pr)),
+dw AS MATERIALIZED (SELECT model, season, r, count(*)::DOUBLE AS w FROM (SELECT model, r, CAST('0x' || substr(md5('42:' || CAST(r AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8) AS BIGINT) % k AS i FROM (SELECT DISTINCT model, k FROM ps) q, unnest(range({REPS})) u(r), unnest(range(k)) s(j)) JOIN ps USING (model, i) GROUP BY 1, 2, 3),
+oc AS MATERIALIZED (SELECT a.model, a.season AS sa, b.season AS sb, sum(CASE WHEN a.pf > b.pf THEN 1 WHEN a.pf = b.pf THEN 0.5 ELSE 0 END - CASE WHEN a.pa > b.pa THEN 1 WHEN a.pa = b.pa THEN 0.5 ELSE 0 END)::DOUBLE AS m FROM pr a JOIN pr b ON a.model = b.model AND a.y = 1 AND b.y = 0 GROUP BY 1, 2, 3),
+bs AS (SELECT model, season, sum(y) AS p, count(*) AS n, sum(pow(y - pf, 2) - pow(y - pa, 2)) AS e FROM pr GROUP BY 1, 2),
+dr AS (SELECT model, r, sum(w * p) AS p, sum(w * n) AS n, sum(w * e) AS e FROM dw JOIN bs USING (model, season) GROUP BY 1, 2),
+da AS (SELECT x.model, x.r, sum(x.w * z.w * m) AS m FROM dw x JOIN oc ON x.model = oc.model AND x.season = sa JOIN dw z ON z.model = x.model AND z.r = x.r AND z.season = sb GROUP BY 1, 2),
+iv AS (SELECT model, quantile_cont(e / n, 0.025) AS bl, quantile_cont(e / n, 0.975) AS bh, quantile_cont(coalesce(m, 0) / (p * (n - p)), 0.025) FILTER (WHERE p > 0 AND p < n) AS al, quantile_cont(coalesce(m, 0) / (p * (n - p)), 0.975) FILTER (WHERE p > 0 AND p < n) AS ah FROM dr LEFT JOIN da USING (model, r) GROUP BY 1),
+d2 AS (SELECT model, ln(pf / (1 - pf)) AS v, y AS t, 1.0::DOUBLE AS w FROM pr),
+{newton_many('model', ['v'], tag='2')}
+SELECT model, n, {R('ba', 5)} AS brier_adjust, {R('bf', 5)} AS brier_full, {R('bc', 5)} AS brier_climatology, {R('oe', 5)} AS observed_over_expected, {R('1 - bf / bc', 5)} AS skill, {R('(sa - p * (p + 1) / 2) / (p * (n - p))', 5)} AS auc_adjust,
+  {R('(sf - p * (p + 1) / 2) / (p * (n - p))', 5)} AS auc_full, {R('(sf - sa) / (p * (n - p))', 5)} AS auc_difference, {R('al', 5)} AS auc_diff_ci_low, {R('ah', 5)} AS auc_diff_ci_high, {R('bl', 5)} AS brier_diff_ci_low, {R('bh', 5)} AS brier_diff_ci_high, {R('b1', 5)} AS calibration_slope
+FROM g JOIN iv USING (model) JOIN fit2 USING (model)"""
+
+
+@query("cross_validated_scores", "H11 H14", validation_sql("SELECT 'all' AS model, f.season AS fold, s.season, s.season <> f.season AS trains FROM se f, se s"))
+def _(spark, sf):
+    # xy is a combination of x and y: the SQL fits the two alone
+    return validated(predictions(spark, sf, select=False).withColumn("model", F.lit("all")))
 
 
-@query("cross_validated_scores", "H11 H14")
+@query("split_period_validation", "H13 H14", validation_sql("SELECT 'early' AS model, 0 AS fold, season, season < 1998 AS trains FROM se UNION ALL SELECT 'late', 0, season, season >= 1998 FROM se"))
 def _(spark, sf):
-    p = predictions(spark, sf, select=False).withColumn("model", F.lit("all"))
-    return hz.scores(p, ["model"]).join(hz.score_intervals(p, ["model"], "fold", REPS), "model")
+    early, late = ((F.col("season") < 1998, "early"), (F.col("season") >= 1998, "late"))
+    one, two = (validated(predictions(spark, sf, ("x", "y"), select=False, split=c).withColumn("model", F.lit(m))) for c, m in (early, late))
+    return one.unionByName(two)
 
 
 @query("nested_selection", "H12 H13")
 def _(spark, sf):
-    return predictions(spark, sf).groupBy("fold", F.concat_ws(",", "chosen").alias("chosen")).agg(F.count(F.lit(1)).alias("rows"))
+    return predictions(spark, sf, excluded=["xy"]).groupBy("fold", F.concat_ws(",", "chosen").alias("chosen")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("nested_selection_frequency", "H13")
 def _(spark, sf):
-    return hz.selection_frequency(predictions(spark, sf), ["x", "y", "xy"])
+    return vl.selection_frequency(predictions(spark, sf), ["x", "y", "xy"])
 
 
 @query("split_period_scores", "H13 H14")
 def _(spark, sf):
-    p = predictions(spark, sf, split=F.col("season") < 1998).withColumn("model", F.lit("split"))
-    return hz.scores(p, ["model"])
+    return validated(predictions(spark, sf, split=F.col("season") < 1998).withColumn("model", F.lit("split")))
 
 
 SCORE_SQL = """t AS (SELECT o_orderpriority AS model, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS y, o_totalprice / 510000 AS pf, (o_custkey % 97) / 97.0::DOUBLE AS pa, 0.3::DOUBLE AS pc FROM orders),
