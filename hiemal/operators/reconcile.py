@@ -175,6 +175,26 @@ def collapse_duplicates(rows: DataFrame, keys: list[str], value: str = "value",
         F.when(clash, "duplicate_conflict").otherwise(F.col("_s")).alias("parse_status"))
 
 
+def source_row_runs(rows: DataFrame, keys: list[str], order: str = "src_row", stretch: int = 1 << 16) -> DataFrame:
+    """(keys, first_row, last_row, run_rows): every source row number of every key, as maximal runs of consecutive numbers.
+
+    The numbers of a key are never packed into one row. Runs are found inside stretches of ``stretch`` numbers; only those at an
+    edge of their stretch, at most two for each, are joined up by a window over the key. Repeated numbers count once; rows without a
+    number are left out.
+    """
+    n = F.col(order).cast("long")
+    d = rows.where(F.col(order).isNotNull()).select(*keys, n.alias("_n"), F.floor(n / stretch).alias("_p")).distinct()
+    inside = W.partitionBy(*keys, "_p").orderBy("_n")
+    d = d.withColumn("_g", F.col("_n") - F.row_number().over(inside))
+    runs = d.groupBy(*keys, "_p", "_g").agg(F.min("_n").alias("first_row"), F.max("_n").alias("last_row")).drop("_g")
+    edge = (F.pmod("first_row", F.lit(stretch)) == 0) | (F.pmod("last_row", F.lit(stretch)) == stretch - 1)
+    along = W.partitionBy(*keys).orderBy("first_row")
+    touching = runs.where(edge).withColumn("_new", (F.col("first_row") != F.lag("last_row", 1, None).over(along) + 1).cast("int"))
+    joined = touching.withColumn("_g", F.sum(F.coalesce("_new", F.lit(1))).over(along)).groupBy(*keys, "_g").agg(F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"))
+    out = runs.where(~edge).select(*keys, "first_row", "last_row").unionByName(joined.drop("_g"))
+    return out.withColumn("run_rows", F.col("last_row") - F.col("first_row") + 1)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row per key by ``order``, as an aggregate instead of a window sort.
 

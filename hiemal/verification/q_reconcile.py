@@ -114,6 +114,20 @@ def _(spark, sf):
     return rc.collapse_duplicates(source_rows(spark, sf), ["source_no", *KEYS])
 
 
+@query("duplicate_source_rows", "C06", """WITH n AS (SELECT DISTINCT l_linenumber % 2 AS source_no, l_suppkey AS station, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS r FROM lineitem),
+g AS (SELECT *, r - row_number() OVER (PARTITION BY source_no, station ORDER BY r) AS g FROM n) SELECT source_no, station, min(r) AS first_row, max(r) AS last_row, count(*) AS run_rows FROM g GROUP BY source_no, station, g""")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select((F.col("l_linenumber") % 2).alias("source_no"), F.col("l_suppkey").alias("station"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("src_row"))
+    return rc.source_row_runs(rows, ["source_no", "station"])
+
+
+@query("all_source_rows_of_orders", "C06", """WITH n AS (SELECT DISTINCT o_orderstatus AS status, CAST(o_orderkey AS BIGINT) AS r FROM orders),
+g AS (SELECT *, r - row_number() OVER (PARTITION BY status ORDER BY r) AS g FROM n) SELECT status, min(r) AS first_row, max(r) AS last_row, count(*) AS run_rows FROM g GROUP BY status, g""")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("src_row"))
+    return rc.source_row_runs(rows, ["status"])
+
+
 RECONCILED_SQL = COLLAPSE_SQL + """, rec0 AS (
  SELECT coalesce(o.station, n.station) AS station, coalesce(o.date, n.date) AS date, o.value AS old_value, n.value AS new_value, o.station IS NOT NULL AS has_o, n.station IS NOT NULL AS has_n,
   coalesce(o.duplicate_status, '') = 'conflicting_duplicate' AS clash
