@@ -37,7 +37,7 @@ def kept(key, build):
 def drawn(n_blocks: int, lo: int, hi: int, seed: int) -> np.ndarray:
     """Rows lo..hi-1 of the hash plan: how often each block is drawn; draw j of replicate r comes from md5("seed:r:j")."""
     def build():
-        draws = np.array([[int(hashlib.md5(f"{seed}:{r}:{j}".encode()).hexdigest()[:8], 16) % n_blocks for j in range(n_blocks)] for r in range(lo, hi)]).reshape(hi - lo, n_blocks)
+        draws = np.array([[int(hashlib.md5(f"{seed}:{r}:{j}".encode()).hexdigest()[:8], 16) % n_blocks for j in range(n_blocks)] for r in range(lo, hi)], np.int64).reshape(hi - lo, n_blocks)
         out = np.zeros((hi - lo, n_blocks), np.int32)
         np.add.at(out, (np.arange(hi - lo)[:, None], draws), 1)
         return out

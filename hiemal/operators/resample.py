@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..plans.single import attach
 from ..functions import calendar as cal
 from ..plans.ordered import average_rank, running_extreme, tie_totals, with_rank
+from .replicates import drawn, kept
 from .tails import binomial_interval, t_p_value
 
 def refuse_large(df: DataFrame, keys: list[str], limit: int, what: str) -> None:
@@ -39,7 +40,7 @@ def plan_matrix(n_blocks: int, reps: int, seed: int, method: str = "hash") -> np
     if method == "numpy":
         draws = np.random.default_rng(seed).integers(0, n_blocks, size=(reps, n_blocks))
     else:
-        draws = np.array([[int(hashlib.md5(f"{seed}:{r}:{j}".encode()).hexdigest()[:8], 16) % n_blocks for j in range(n_blocks)] for r in range(reps)])
+        draws = np.array([[int(hashlib.md5(f"{seed}:{r}:{j}".encode()).hexdigest()[:8], 16) % n_blocks for j in range(n_blocks)] for r in range(reps)], np.int64).reshape(reps, n_blocks)
     out = np.zeros((reps, n_blocks), np.int32)
     np.add.at(out, (np.arange(reps)[:, None], draws), 1)
     return out
@@ -87,19 +88,28 @@ def _summary(obs: np.ndarray, draws: np.ndarray) -> pd.DataFrame:
                          "n_ge": ((draws >= 0) & ok).sum(axis=0).astype(float), "n_valid": n.astype(float)})
 
 
-def _by_chunks(make, arrays: list[pd.Series], plan: np.ndarray, chunk: int = 256) -> pd.DataFrame:
-    cols = [np.stack([np.asarray(x, float) for x in a]) if len(a) else np.zeros((0, plan.shape[1])) for a in arrays]
-    parts = []
-    one = np.ones((1, plan.shape[1]))
+def plan_tiles(n_blocks: int, reps: int, seed: int, method: str, size: int = 1000) -> list[np.ndarray]:
+    """The plan in tiles of ``size`` replicates, made in the task and kept by its Python worker; what travels is the seed."""
+    if method == "numpy":
+        whole = kept(("numpy", n_blocks, reps, seed), lambda: plan_matrix(n_blocks, reps, seed, method))
+        return [whole[lo:lo + size] for lo in range(0, reps, size)]
+    return [drawn(n_blocks, lo, min(reps, lo + size), seed) for lo in range(0, reps, size)]
+
+
+def _by_chunks(make, arrays: list[pd.Series], plan: tuple, chunk: int = 256) -> pd.DataFrame:
+    """Key tiles times replicate tiles; ``plan`` has the arguments of ``plan_tiles``."""
+    cols = [np.stack([np.asarray(x, float) for x in a]) if len(a) else np.zeros((0, plan[0])) for a in arrays]
+    parts, tiles = [], plan_tiles(*plan)
+    one = np.ones((1, plan[0]))
     for i in range(0, len(arrays[0]), chunk):
         c = [a[i:i + chunk] for a in cols]
         with np.errstate(all="ignore"):
-            parts.append(_summary(make(one, c)[0], make(plan, c)))
+            parts.append(_summary(make(one, c)[0], np.concatenate([make(tile, c) for tile in tiles])))
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[f.name for f in _RESULT])
 
 
-def _udf(make, plan: np.ndarray, n: int):
-    """Arrow function of n array columns that summarises ``make(weights, arrays)`` over the plan."""
+def _udf(make, plan: tuple, n: int):
+    """Arrow function of n array columns that summarises ``make(weights, arrays)`` over the plan of ``plan_tiles(*plan)``."""
     if n == 2:
         def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
             return _by_chunks(make, [a, b], plan)
@@ -143,7 +153,7 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, block: str, reps:
     d = df.filter(F.col(value).isNotNull())
     blocks = blocks or block_list(d, block)
     a = block_arrays(d, keys, block, blocks, {"_s": F.col(value), "_n": F.lit(1.0)})
-    return _unpack(a.withColumn("_r", _udf(_mean, plan_matrix(len(blocks), reps, seed, method), 2)("_s", "_n")), keys)
+    return _unpack(a.withColumn("_r", _udf(_mean, (len(blocks), reps, seed, method), 2)("_s", "_n")), keys)
 
 
 def bootstrap_difference(df: DataFrame, keys: list[str], value: str, block: str, is_a: Column, is_b: Column, reps: int = 10_000, seed: int = 42,
@@ -153,7 +163,7 @@ def bootstrap_difference(df: DataFrame, keys: list[str], value: str, block: str,
     blocks = blocks or block_list(d, block)
     one, x = F.lit(1.0), F.col(value)
     a = block_arrays(d, keys, block, blocks, {"_sa": F.when(is_a, x), "_na": F.when(is_a, one), "_sb": F.when(is_b, x), "_nb": F.when(is_b, one)})
-    a = a.withColumn("_r", _udf(_difference, plan_matrix(len(blocks), reps, seed, method), 4)("_sa", "_na", "_sb", "_nb"))
+    a = a.withColumn("_r", _udf(_difference, (len(blocks), reps, seed, method), 4)("_sa", "_na", "_sb", "_nb"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v).cast("long")
     counts = a.select(*keys, "_r", total("_na").alias("n_a"), total("_nb").alias("n_b"))
     return _unpack(counts, [*keys, "n_a", "n_b"])
@@ -164,7 +174,7 @@ def bootstrap_slope(df: DataFrame, keys: list[str], x: Column, y: str, block: st
     d = df.filter(F.col(y).isNotNull()).withColumn("_x", x.cast("double") / per)
     blocks = block_list(d, block)
     a = block_arrays(d, keys, block, blocks, {"_n": F.lit(1.0), "_sx": F.col("_x"), "_sy": F.col(y), "_xx": F.col("_x") * F.col("_x"), "_xy": F.col("_x") * F.col(y)})
-    return _unpack(a.withColumn("_r", _udf(_slope, plan_matrix(len(blocks), reps, seed, method), 5)("_n", "_sx", "_sy", "_xx", "_xy")), keys)
+    return _unpack(a.withColumn("_r", _udf(_slope, (len(blocks), reps, seed, method), 5)("_n", "_sx", "_sy", "_xx", "_xy")), keys)
 
 
 def leave_one_out(df: DataFrame, keys: list[str], value: str, block: str) -> DataFrame:

@@ -84,3 +84,9 @@ def test_random_sign_flips_agree_with_all_patterns(spark):
         p, n = every[k].p_value, 200_000
         assert many[k].block_count == 28 and many[k].p_value != p and many[k].p_value >= 1 / (n + 1)
         assert abs(many[k].p_value - p) < 5 * (p * (1 - p) / n) ** 0.5 + 2 / n
+
+
+def test_plan_tiles_are_the_plan():
+    for method in ("hash", "numpy"):
+        assert (np.concatenate(rs.plan_tiles(7, 25, 3, method, 10)) == rs.plan_matrix(7, 25, 3, method)).all()
+    assert rs.plan_tiles(0, 4, 3, "hash")[0].shape == (4, 0)
