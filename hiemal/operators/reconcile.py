@@ -3,11 +3,13 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import first_match
 from ..functions.parse import parse_measurement, parse_whole_number
+from ..session import stage_table
 
 AGREEMENT = 1e-6
 ZERO = 1e-12
@@ -32,40 +34,109 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * _lcs(a, b) / total
 
 
-_BEST = T.StructType().add("key", "string").add("score", "double")
+_BEST = "name_key string, suggested_key string, suggestion_score double"
+DELETIONS = ((1, 256), (2, 48))  # characters left out by each step of the index, of keys up to this length
 
 
-@F.pandas_udf(_BEST)
-def _best_of(keys: pd.Series, pools: pd.Series) -> pd.DataFrame:
+def _remainders(key: Column, gone: int) -> Column:
+    """Distinct texts that are left of ``key`` without 0 to ``gone`` of its characters."""
+    def shorter(t):
+        n = F.length(t)
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i > 0), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, n)))
+
+    last = F.array(key)
+    out = [last]
+    for _ in range(gone):
+        last = F.array_distinct(F.flatten(F.transform(last, shorter)))
+        out.append(last)
+    return F.array_distinct(F.concat(*out))
+
+
+def _score(common: Column, total: Column) -> Column:
+    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common / total)
+
+
+def _near_names(asked: DataFrame, keys: DataFrame, gone: int, longest: int, lengths: list[int]) -> DataFrame:
+    """(name_key, _b, _settled): the best official key that has a remainder in common, and whether no other pair can reach its score.
+
+    Of the official keys with one remainder and length only the smallest is kept: they all have the same score by it. So no pair
+    rows arise but one for each remainder and length.
+    """
+    n, deletions = F.length("name_key"), lambda m: F.when(m <= longest, F.lit(gone)).otherwise(F.lit(-1))
+
+    def unseen(m):
+        common = F.least(n, m, F.greatest(n - deletions(n) - 1, m - deletions(m) - 1))
+        return F.when(common >= 0, _score(common, n + m)).otherwise(F.lit(-1.0))
+
+    index = (keys.filter(F.length("official_key") <= longest).select("official_key", F.explode(_remainders(F.col("official_key"), gone)).alias("_text"))
+             .groupBy("_text", F.length("official_key").alias("_m")).agg(F.min("official_key").alias("key")))
+    hits = asked.filter(n <= longest).select("name_key", F.explode(_remainders(F.col("name_key"), gone)).alias("_text")).join(index, "_text")
+    hits = hits.select("name_key", F.struct((-_score(F.length("_text"), n + F.col("_m"))).alias("loss"), "key").alias("_b"))
+    found = asked.join(hits.groupBy("name_key").agg(F.min("_b").alias("_b")), "name_key", "left")
+    bound = F.array_max(F.transform(F.array(*[F.lit(m) for m in lengths]), unseen))
+    return found.withColumn("_settled", F.coalesce(-F.col("_b.loss") > bound, F.lit(False)))
+
+
+def _best_in_pool(asked: pa.Table, pool: pa.Table) -> pa.Table:
+    """Best key of one pool for every key of one block; a bit row of the common subsequence for each key of the pool."""
+    cands = sorted(pool.column("official_key").to_pylist())
+    sizes = np.array([len(c) for c in cands])
+    letters = {ch: i for i, ch in enumerate(sorted(set("".join(cands))), 1)}
+    codes = np.zeros((max(sizes, default=0), len(cands)), np.int64)
+    for j, c in enumerate(cands):
+        codes[:len(c), j] = [letters[ch] for ch in c]
     out = []
-    for key, pool in zip(keys, pools):
-        best, score = None, -1.0
-        for cand in pool:
-            if 200.0 * min(len(key), len(cand)) / max(1, len(key) + len(cand)) < score:
-                continue  # no candidate of this length can win
-            s = indel_ratio(key, cand)
-            if s > score or (s == score and cand < best):
-                best, score = cand, s
-        out.append((best, None if best is None else score))
-    return pd.DataFrame(out, columns=["key", "score"])
+    for key in asked.column("name_key").to_pylist() if cands else []:
+        if len(key) > 64:
+            scores = np.array([indel_ratio(key, c) for c in cands])
+        else:
+            where = np.zeros(len(letters) + 1, np.uint64)
+            for i, ch in enumerate(key):
+                where[letters.get(ch, 0)] |= np.uint64(1 << i)
+            where[0] = 0
+            full = np.uint64((1 << len(key)) - 1)
+            row = np.full(len(cands), full)
+            for line in codes:
+                hit = row & where[line]
+                row = (row + hit) | (row - hit)
+            total = len(key) + sizes
+            scores = np.where(total == 0, 100.0, 200.0 * (len(key) - np.bitwise_count(row & full).astype(np.int64)) / np.maximum(total, 1))
+        at = int(np.argmax(scores))  # the first of the best, which is the smallest key
+        out.append((key, cands[at], float(scores[at])))
+    return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("name_key", pa.string()), ("suggested_key", pa.string()), ("suggestion_score", pa.float64())))})
+
+
+def _compared(asked: DataFrame, keys: DataFrame, pool_size: int) -> DataFrame:
+    """Best official key of every asked key, each block of asked keys beside each pool of official ones as a group of its own."""
+    blocks, pools = (max(1, math.ceil(d.count() / pool_size)) for d in (asked, keys))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = asked.select("name_key", part("name_key", blocks).alias("_block"), every(pools).alias("_pool")).groupBy("_block", "_pool")
+    k = keys.select("official_key", part("official_key", pools).alias("_pool"), every(blocks).alias("_block")).groupBy("_block", "_pool")
+    best = a.cogroup(k).applyInArrow(_best_in_pool, _BEST)
+    return best.groupBy("name_key").agg(F.min(F.struct((-F.col("suggestion_score")).alias("loss"), F.col("suggested_key").alias("key"))).alias("_b"))
 
 
 def suggest_names(unmatched: DataFrame, official: DataFrame, pool_size: int = 2000) -> DataFrame:
-    """Best similar official key for every distinct unmatched key.
+    """Best similar official key for every distinct unmatched key; of equal scores the smallest key.
 
-    Official keys are packed into pools of bounded size; each key meets every pool once, and the
-    pools' winners are compared by an aggregate. No pair rows are produced.
+    Two keys have a common subsequence of L characters if both leave the same text of that length when the others are taken out. Texts
+    without one and then two characters are joined on equality, which grows with the keys and not with their product. A key leaves
+    as soon as no pair outside that index can reach its score; only those without a close official key are compared with all of them,
+    in blocks and pools of bounded size.
     """
-    keys = official.select("official_key").distinct()
-    pools = max(1, math.ceil(keys.count() / pool_size))
-    packed = (keys.groupBy(F.pmod(F.xxhash64("official_key"), F.lit(pools)).cast("int").alias("pool"))
-              .agg(F.sort_array(F.collect_list("official_key")).alias("keys")))
-    asked = unmatched.select("name_key").distinct().withColumn(
-        "pool", F.explode(F.sequence(F.lit(0), F.lit(pools - 1))))
-    scored = asked.join(packed, "pool").withColumn("_b", _best_of("name_key", "keys"))
-    return (
-        scored.groupBy("name_key").agg(F.min_by("_b", F.struct(-F.col("_b.score"), F.col("_b.key"))).alias("_b"))
-        .select("name_key", F.col("_b.key").alias("suggested_key"), F.col("_b.score").alias("suggestion_score")))
+    keys = stage_table(official.select("official_key").filter("official_key IS NOT NULL").distinct())
+    asked = stage_table(unmatched.select("name_key").filter("name_key IS NOT NULL").distinct())
+    lengths = sorted(r[0] for r in keys.select(F.length("official_key")).distinct().collect())
+    done = []
+    for gone, longest in DELETIONS if lengths else ():
+        found = stage_table(_near_names(asked, keys, gone, longest, lengths))
+        done.append(found.filter("_settled").select("name_key", "_b"))
+        asked = found.filter("NOT _settled").select("name_key")
+    out = _compared(asked, keys, pool_size)
+    for d in done:
+        out = out.unionByName(d)
+    return out.select("name_key", F.col("_b.key").alias("suggested_key"), (-F.col("_b.loss")).alias("suggestion_score"))
 
 
 def crosswalk(names: DataFrame, official: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -153,3 +153,24 @@ def test_suggestions(spark):
         best = max(off, key=lambda o: rc.indel_ratio(n, o))
         assert got[n] == (best, rc.indel_ratio(n, best))
     assert abs(rc.indel_ratio("dhakka", "dhaka") - 100 * 10 / 11) < 1e-9
+
+
+def test_suggestions_by_index_and_by_pools(spark):
+    rng = np.random.default_rng(5)
+    off = sorted({f"supplier{i:06d}" for i in rng.integers(0, 3000, 400)} | {"", "a", "x" * 70, "supplier"})
+    names = sorted({f"supplier{i:06d}" for i in rng.integers(0, 900000, 300)} | {"", "b", "xy" * 40, "q" * 70, "suplier"} - set(off))
+    frame = lambda c, v: spark.createDataFrame([(x,) for x in v] + [(None,)], f"{c} string")
+    got = {r[0]: (r[1], r[2]) for r in rc.suggest_names(frame("name_key", names), frame("official_key", off), pool_size=50).collect()}
+    assert sorted(got) == names
+    for n in names:
+        best = min(off, key=lambda o: (-rc.indel_ratio(n, o), o))
+        assert got[n] == (best, rc.indel_ratio(n, best)), n
+
+
+def test_suggestions_compare_near_names_only(spark, monkeypatch):
+    seen = []
+    whole = rc._compared
+    monkeypatch.setattr(rc, "_compared", lambda asked, keys, n: seen.append(asked.count()) or whole(asked, keys, n))
+    off = spark.range(300).select(F.format_string("supplier%09d", "id").alias("official_key"))
+    names = spark.range(300, 3000).select(F.format_string("supplier%09d", "id").alias("name_key"))
+    assert rc.suggest_names(names, off).count() == 2700 and seen == [0]
