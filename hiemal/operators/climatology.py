@@ -8,36 +8,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..plans.single import attach
-from ..functions import quantile as q
-
-
-def _windows(by_slot: DataFrame, keys: list[str], slot: str, entry: str, empty: Column, half: int, period: int,
-             make: Callable[[Column, Column], Column]) -> DataFrame:
-    """Apply ``make(target_slot, array_of_entries)`` to every slot of every packed calendar."""
-    packed = by_slot.groupBy(*keys).agg(F.collect_list(F.struct(F.col(slot).alias("k"), F.col(entry).alias("v"))).alias("_e"))
-    slots = F.sequence(F.lit(1), F.lit(period))
-    offsets = F.sequence(F.lit(-half), F.lit(half))
-    # Each nested array() binds a value once, so that it is not rebuilt for every element.
-    dense = F.flatten(F.transform(F.array(F.map_from_entries("_e")), lambda m: F.transform(
-        slots, lambda s: F.coalesce(F.try_element_at(m, s), empty))))
-    rows = F.flatten(F.transform(F.array(dense), lambda cal: F.transform(slots, lambda t: make(
-        t, F.transform(offsets, lambda o: F.element_at(cal, F.pmod(t - 1 + o, F.lit(period)) + 1))))))
-    return packed.select(*keys, F.inline(rows))
-
-
-def pooled_samples(base: DataFrame, keys: list[str], value: str, slot: str, half: int, period: int = 366,
-                   year: str = "year") -> DataFrame:
-    """(keys, slot, sample) with sample = ascending array of struct(x, year) pooled over +-half slots."""
-    e = base.filter(F.col(value).isNotNull()).select(*keys, slot, F.struct(F.col(value).alias("x"), F.col(year).alias("year")).alias("_s"))
-    by_slot = e.groupBy(*keys, slot).agg(F.collect_list("_s").alias("_v"))
-    none = F.filter(F.array(F.struct(F.lit(0.0).cast(base.schema[value].dataType).alias("x"),
-                                     F.lit(0).cast(base.schema[year].dataType).alias("year"))), lambda x: F.lit(False))
-    out = _windows(by_slot, keys, slot, "_v", none, half, period,
-                   lambda t, parts: F.struct(t.alias(slot), F.array_sort(F.flatten(parts)).alias("sample")))
-    return out.filter(F.size("sample") > 0)
+from . import calendar_kernels as ck
+
+
+def _series(batch: pa.RecordBatch, entry: str):
+    """For each row of a batch its number and the columns of its packed entries."""
+    packed = batch.column(batch.schema.get_field_index(entry))
+    ends, flat = packed.offsets.to_numpy(), packed.values
+    columns = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
+    return [(i, [c[ends[i]:ends[i + 1]] for c in columns]) for i in range(batch.num_rows)]
+
+
+def _sampled(base: DataFrame, keys: list[str], value: str, slot: str, half: int, period: int, year: str, columns: str,
+             make: Callable[[ck.Samples], list[tuple]]) -> DataFrame:
+    """(keys, ``columns``): what ``make`` gives of the ordered samples of every slot, pooled over +-half slots.
+
+    The years of a series are packed into one row, at most its calendar; its windows are read from the row.
+    """
+    x, here = F.col(value).cast("double"), F.col(slot).between(1, period)
+    e = base.filter(x.isNotNull() & here).select(*keys, F.struct(F.col(slot).cast("int").alias("k"), x.alias("x"), F.coalesce(F.col(year).cast("int"), F.lit(-1)).alias("y")).alias("_e"))
+    packed = e.groupBy(*keys).agg(F.collect_list("_e").alias("_e"))
+    kept = [packed.schema[k] for k in keys]
+    schema = T.StructType(kept + list(T.StructType.fromDDL(columns).fields))
+
+    def run(batches):
+        for batch in batches:
+            head = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keys))], names=keys)
+            ready, size = [], 0
+            for i, (k, x, y) in _series(batch, "_e"):
+                for samples in ck.pooled(k, x, y, half, period):
+                    for part in make(samples):
+                        ready.append((i, part))
+                        size += len(part[0])
+                if size > 20_000:
+                    yield _rows(head, ready)
+                    ready, size = [], 0
+            if ready:
+                yield _rows(head, ready)
+
+    def _rows(head, ready):
+        owner = np.repeat([i for i, _ in ready], [len(p[0]) for _, p in ready])
+        out = list(head.take(pa.array(owner)).columns)
+        for j, t in enumerate(types):
+            v = np.ma.concatenate([p[j] for _, p in ready])
+            out.append(pa.array(v.data, t, mask=np.ma.getmaskarray(v)))
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    names = schema.names
+    types = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.float64() for f in schema.fields[len(keys):]]
+    return packed.mapInArrow(run, schema)
 
 
 def pooled_moments(base: DataFrame, keys: list[str], value: str, slot: str, half: int, period: int = 365) -> DataFrame:
@@ -47,19 +71,29 @@ def pooled_moments(base: DataFrame, keys: list[str], value: str, slot: str, half
     of the deviation.
     """
     x = F.col(value).cast("double")
-    by_slot = base.filter(x.isNotNull()).groupBy(*keys, slot).agg(
-        F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("s"), (F.var_pop(x) * F.count(F.lit(1))).alias("q")).alias("_v"))
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-
-    def merge(a, p):
-        both = (a["n"] > 0) & (p["n"] > 0)
-        d = p["s"] / p["n"] - a["s"] / a["n"]
-        apart = F.when(both, d * d * a["n"] * p["n"] / (a["n"] + p["n"])).otherwise(F.lit(0.0))
-        return F.struct((a["n"] + p["n"]).alias("n"), (a["s"] + p["s"]).alias("s"), (a["q"] + p["q"] + apart).alias("q"))
-
-    out = _windows(by_slot, keys, slot, "_v", zero, half, period, lambda t, parts: F.struct(t.alias(slot), F.aggregate(parts, zero, merge).alias("_m")))
-    n = F.col("_m.n")
-    return out.filter(n > 0).select(*keys, slot, n.cast("long").alias("n"), (F.col("_m.s") / n).alias("mean"), F.when(n > 1, F.sqrt(F.col("_m.q") / (n - 1))).alias("sd"))
+    by_slot = base.filter(x.isNotNull() & F.col(slot).between(1, period)).groupBy(*keys, slot).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("s"), (F.var_pop(x) * F.count(F.lit(1))).alias("q"))
+    packed = by_slot.groupBy(*keys).agg(F.collect_list(F.struct(F.col(slot).cast("int").alias("k"), "n", "s", "q")).alias("_e"))
+    kind = base.schema[slot].dataType
+    schema = T.StructType([packed.schema[k] for k in keys]).add(slot, "integer").add("n", "long").add("mean", "double").add("sd", "double")
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):
+                batch = whole.slice(first, 64)
+                cal = np.zeros((3, batch.num_rows, period))
+                for i, (k, *v) in _series(batch, "_e"):
+                    cal[:, i, k - 1] = v
+                n, s, q = ck.merged_moments(*cal, half)
+                owner, at = np.nonzero(n)
+                n, s, q = n[owner, at], s[owner, at], q[owner, at]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sd = pa.array(np.sqrt(q / (n - 1)), pa.float64(), mask=n <= 1)
+                head = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keys))], names=keys).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(at + 1, pa.int32()), pa.array(n, pa.int64()), pa.array(s / n), sd], names=names)
+
+    names = schema.names
+    return packed.mapInArrow(run, schema).withColumn(slot, F.col(slot).cast(kind))
 
 
 def calendar_anomaly(df: DataFrame, keys: list[str], value: str, slot: str, half: int, baseline: Column | str,
@@ -78,14 +112,15 @@ def robust_calendar(base: DataFrame, keys: list[str], value: str, slot: str, hal
     b = base.filter(F.col(value).isNotNull())
     years = b.groupBy(*keys, year).agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys).agg(
         F.count(F.lit(1)).cast("int").alias("clim_years")).filter(F.col("clim_years") >= min_years)
-    s = pooled_samples(b, keys, value, slot, half, year=year)
-    s = s.filter(F.size("sample") >= min_obs).withColumn("_x", F.transform("sample", lambda e: e["x"]))
-    s = s.withColumn("clim_median", q.median(F.col("_x")))
-    s = s.withColumn("clim_mad", q.mad(F.col("_x"), F.col("clim_median")))
-    return s.join(years, keys).select(
-        *keys, slot, F.size("_x").alias("clim_n"), "clim_years", "clim_median", "clim_mad",
-        F.greatest(F.lit(1.4826) * F.col("clim_mad"), F.lit(min_scale)).alias("clim_scale"),
-        q.linear(F.col("_x"), 0.01).alias("clim_p01"), q.linear(F.col("_x"), 0.99).alias("clim_p99"))
+
+    def make(d):
+        m = d.median()
+        mad = d.departures(m).median()
+        enough = d.n >= min_obs
+        return [tuple(v[enough] for v in (d.slots, d.n, m, mad, np.maximum(1.4826 * mad, min_scale), d.linear(0.01), d.linear(0.99)))]
+
+    s = _sampled(b, keys, value, slot, half, 366, year, f"{slot} int, clim_n int, clim_median double, clim_mad double, clim_scale double, clim_p01 double, clim_p99 double", make)
+    return s.join(years, keys).select(*keys, slot, "clim_n", "clim_years", "clim_median", "clim_mad", "clim_scale", "clim_p01", "clim_p99")
 
 
 def month_day_climatology(df: DataFrame, keys: list[str], value: str, month_day: str, baseline: Column | str | None = None,
@@ -113,26 +148,29 @@ LEVELS = {"p05": 0.05, "p10": 0.10, "p20": 0.20}
 def calendar_thresholds(base: DataFrame, keys: list[str], value: str, slot: str, half: int = 2, levels=None,
                         min_obs: int = 1, min_years: int = 1, year: str = "year") -> DataFrame:
     """Median-unbiased calendar quantiles with observation and year counts."""
-    s = pooled_samples(base, keys, value, slot, half, year=year)
-    s = s.withColumn("_x", F.transform("sample", lambda e: e["x"]))
-    n, ny = F.size("_x"), F.size(F.array_distinct(F.transform("sample", lambda e: e["year"])))
-    enough = (n >= min_obs) & (ny >= min_years)
-    return s.select(*keys, slot, n.alias("observation_count"), ny.alias("year_count"),
-                    *[F.when(enough, q.median_unbiased(F.col("_x"), p)).alias(k) for k, p in (levels or LEVELS).items()])
+    levels = levels or LEVELS
+
+    def make(d):
+        ny = d.years()
+        enough = (d.n >= min_obs) & (ny >= min_years)
+        return [(d.slots, d.n, ny, *[np.ma.array(d.median_unbiased(p), mask=~enough) for p in levels.values()])]
+
+    return _sampled(base, keys, value, slot, half, 366, year, ", ".join([f"{slot} int", "observation_count int", "year_count int", *[f"{k} double" for k in levels]]), make)
 
 
 def leave_year_out_thresholds(base: DataFrame, keys: list[str], value: str, slot: str, p: float, first: int, last: int,
                               half: int = 2, min_obs: int = 1, min_years: int = 1, year: str = "year") -> DataFrame:
     """The same quantile with one calendar year left out, for every baseline year."""
-    s = pooled_samples(base, keys, value, slot, half, year=year)
-    left = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda y: F.struct(
-        y.alias("excluded_year"), F.filter("sample", lambda e: e["year"] != y).alias("kept")))
-    s = s.select(*keys, slot, F.inline(left))
-    s = s.withColumn("_x", F.transform("kept", lambda e: e["x"]))
-    n, ny = F.size("_x"), F.size(F.array_distinct(F.transform("kept", lambda e: e["year"])))
-    enough = (n >= min_obs) & (ny >= min_years) & (n > 0)
-    return s.select(*keys, slot, "excluded_year", n.alias("loo_observation_count"), ny.alias("loo_year_count"),
-                    F.when(enough, q.median_unbiased(F.col("_x"), p)).alias("loo_threshold"))
+    def make(d):
+        out = []
+        for y in range(first, last + 1):
+            kept = d.without(y)
+            ny = kept.years()
+            enough = (kept.n >= min_obs) & (ny >= min_years) & (kept.n > 0)
+            out.append((d.slots, np.full(len(d.n), y), kept.n, ny, np.ma.array(kept.median_unbiased(p), mask=~enough)))
+        return out
+
+    return _sampled(base, keys, value, slot, half, 366, year, f"{slot} int, excluded_year int, loo_observation_count int, loo_year_count int, loo_threshold double", make)
 
 
 def assign_threshold(df: DataFrame, full: DataFrame, loo: DataFrame, keys: list[str], slot: str, column: str, first: int,

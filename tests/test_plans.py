@@ -72,3 +72,28 @@ def test_moments_of_a_large_mean_keep_their_digits(spark):
     for slot in (1, 100, 365):
         near = np.array([v for _, s, v in rows if min((s - slot) % 365, (slot - s) % 365) <= 7]) - 1e8
         assert got[slot].n == 75 and abs(got[slot].sd / near.std(ddof=1) - 1) < 1e-6
+
+
+def test_calendar_windows_of_any_rows(spark):
+    import numpy as np
+    from hiemal.operators import climatology as k
+    rng = np.random.default_rng(8)
+    rows = [(int(g), int(y), int(s), float(v)) for g, y, s, v in zip(rng.integers(0, 3, 900), rng.integers(1995, 2000, 900), rng.integers(1, 367, 900), rng.normal(size=900).round(1))]
+    df = spark.createDataFrame(rows + [(0, 1996, None, 5.0), (1, 1996, 7, None)], "station int, year int, slot int, x double")
+    near = lambda g, slot: [(v, y) for h, y, s, v in rows if h == g and min((s - slot) % 366, (slot - s) % 366) <= 2]
+    got = {(r.station, r.slot): r for r in k.robust_calendar(df, ["station"], "x", "slot", 2, min_scale=0.1).collect()}
+    out = {(r.station, r.slot, r.excluded_year): r for r in k.leave_year_out_thresholds(df, ["station"], "x", "slot", 0.1, 1995, 1996, 2, 2, 2).collect()}
+    moments = {(r.station, r.slot): r for r in k.pooled_moments(df, ["station"], "x", "slot", 2, 366).collect()}
+    assert len(got) == len(moments) == sum(bool(near(g, s)) for g in range(3) for s in range(1, 367)) and len(out) == 2 * len(got)
+    for (g, slot), r in got.items():
+        v = np.array([v for v, _ in near(g, slot)])
+        m = np.median(v)
+        assert r.clim_n == moments[g, slot].n == len(v) and abs(moments[g, slot].mean - v.mean()) < 1e-9
+        assert np.allclose([r.clim_median, r.clim_mad, r.clim_p01, r.clim_p99], [m, np.median(np.abs(v - m)), *np.quantile(v, [0.01, 0.99])])
+        kept = [(v, y) for v, y in near(g, slot) if y != 1995]
+        o = out[g, slot, 1995]
+        assert (o.loo_observation_count, o.loo_year_count) == (len(kept), len({y for _, y in kept}))
+        if o.loo_year_count >= 2:
+            assert abs(o.loo_threshold - np.quantile([v for v, _ in kept], 0.1, method="median_unbiased")) < 1e-9
+        else:
+            assert o.loo_threshold is None
