@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import area, climatology as k, events as ev
-from ..session import cut_lineage
+from ..session import cut_lineage, stage_table
 from .q_climate import BASE, FIRST, LAST, NATION_SQL, SD_SQL, national, series, t8
 from .q_quality import KM
 from .registry import GRID_DAILY_SQL, R, STATION_XY_SQL, grid_daily, query, r6, station_xy, table
@@ -58,8 +58,8 @@ DAILY_SQL = f"""{FLAG_SQL}, {W_SQL}, dly AS (SELECT date, CAST(any_value(season)
   round(sum(weight), 9) >= 0.1 AND count(*) >= 2 AS usable, round(sum(weight), 9) >= 0.1 AND count(*) >= 2 AND round(coalesce(sum(weight) FILTER (WHERE cold), 0), 9) >= 0.065 AS cold_day FROM flg JOIN wts USING (station) GROUP BY 1)"""
 
 
-def daily(spark, sf, w=None):
-    d = area.area_diagnostics(flagged(spark, sf), w if w is not None else weights(spark, sf), 0.1, 2, 0.065, {"mild": F.col("value") <= 10})
+def daily(spark, sf, w=None, flags=None):
+    d = area.area_diagnostics(flags if flags is not None else flagged(spark, sf), w if w is not None else weights(spark, sf), 0.1, 2, 0.065, {"mild": F.col("value") <= 10})
     return d.withColumn("season", cal.season_year(F.col("date")))
 
 
@@ -134,13 +134,19 @@ def primary_days(spark, sf, d=None):
     return ev.sweep(d, SCENARIOS[:1], keep=DAY_COLUMNS).filter("event_id IS NOT NULL")
 
 
-def primary_plan(spark, sf):
-    return ev.catalogue(primary_days(spark, sf), ["season"], METRICS, "cold_area", "cold_count")
+def primary_plan(spark, sf, d=None):
+    return ev.catalogue(primary_days(spark, sf, d), ["season"], METRICS, "cold_area", "cold_count")
 
 
-def primary(spark, sf):
+def primary(spark, sf, d=None):
     """The catalogue as a materialised stage: later steps read it several times."""
-    return cut_lineage(primary_plan(spark, sf))
+    return cut_lineage(primary_plan(spark, sf, d))
+
+
+def daily_and_primary(spark, sf):
+    """The daily table and the catalogue made from it, both materialised: the days are worked out once."""
+    d = cut_lineage(daily(spark, sf))
+    return d, primary(spark, sf, d)
 
 
 @query("event_catalogue_area_weighted", "E09 E10", f"""WITH {CAT_SQL} SELECT season, event_id, start_date, end_date, duration_days, peak_date, duration_group, max_cold_count, {', '.join(R(c) + ' AS ' + c for c in ('min_cold_area', 'max_cold_area', 'mean_cold_area', 'sum_cold_area', 'sum_weighted_deficit', 'min_weighted_mean', 'sum_mild_area'))} FROM cat""")
@@ -153,8 +159,8 @@ def _(spark, sf):
 MEM_SQL = f"""{CAT_SQL}, mem AS (SELECT f.*, e.event_id, e.event_day, coalesce(e.event_id IS NOT NULL AND f.cold, false) AS participates FROM flg f LEFT JOIN (SELECT * FROM evd WHERE scenario = 'PRIMARY' AND event_id IS NOT NULL) e ON e.date = f.date)"""
 
 
-def members(spark, sf):
-    return ev.with_membership(flagged(spark, sf), primary_days(spark, sf))
+def members(spark, sf, flags=None, d=None):
+    return ev.with_membership(flags if flags is not None else flagged(spark, sf), primary_days(spark, sf, d))
 
 
 @query("event_membership", "E13", f"WITH {MEM_SQL} SELECT station, date, event_id, participates FROM mem")
@@ -177,7 +183,9 @@ def _(spark, sf):
 @query("station_participation", "E12", f"""WITH {MEM_SQL} SELECT m.event_id, m.station, count(*) AS cold_days, min(date) AS first_cold_date, max(date) AS last_cold_date, min(value) AS lowest_value, {R('sum(deficit)')} AS total_deficit, {R('count(*) * any_value(weight)')} AS weighted_days, {R('count(*) / any_value(duration_days)')} AS share_of_event
 FROM mem m JOIN cat USING (event_id) JOIN wts ON wts.station = m.station WHERE participates GROUP BY 1, 2""")
 def _(spark, sf):
-    p = ev.participation(members(spark, sf), primary(spark, sf), weights(spark, sf))
+    f, w = stage_table(flagged(spark, sf)), stage_table(weights(spark, sf))
+    d = cut_lineage(daily(spark, sf, w, f))
+    p = ev.participation(members(spark, sf, f, d), primary(spark, sf, d), w)
     return p.select("event_id", "station", "cold_days", "first_cold_date", "last_cold_date", "lowest_value", *[r6(c).alias(c) for c in ("total_deficit", "weighted_days", "share_of_event")])
 
 

@@ -7,7 +7,7 @@ from ..plans.single import attach
 from ..functions import calendar as cal
 from ..operators import align as al, climatology as k, events as ev, rank_tests as rt, resample as rs
 from .q_climate import NATION_SQL, national
-from .q_events import CAT_SQL, DAILY_SQL, REV_SQL, SWEEP_SQL, daily, primary, reversal_series, swept
+from .q_events import CAT_SQL, DAILY_SQL, REV_SQL, SWEEP_SQL, daily_and_primary, primary, reversal_series, swept
 from .q_grid import IO_SQL, LAG_SQL, SEC_SQL, _event_fields, inside_outside, rounded, sectors
 from .registry import GRID_DAILY_SQL, R, grid_daily, query, r6, table
 
@@ -312,14 +312,15 @@ def _ref(spark, sf):
 
 @query("at_risk_exposure", "B19", f"WITH {EXPO_SQL} SELECT season, count(*) AS at_risk_days, count(*) FILTER (WHERE w) AS window_days FROM rk GROUP BY 1")
 def _(spark, sf):
-    return rs.exposure(daily(spark, sf), primary(spark, sf), _ref(spark, sf), 0, 15)
+    return rs.exposure(*daily_and_primary(spark, sf), _ref(spark, sf), 0, 15)
 
 
 @query("rate_ratio_interval", "B20")
 def _(spark, sf):
-    e = rs.exposure(daily(spark, sf), primary(spark, sf), _ref(spark, sf), 0, 15)
+    d, c = daily_and_primary(spark, sf)
+    e = rs.exposure(d, c, _ref(spark, sf), 0, 15)
     w = rs.window_days(_ref(spark, sf), 0, 15).select(F.col("day").alias("start_date"), F.lit(True).alias("_w"))
-    o = primary(spark, sf).join(w, "start_date", "left").groupBy("season").agg(F.count("_w").alias("k"), F.count_if(F.col("_w").isNull()).alias("m"))
+    o = c.join(w, "start_date", "left").groupBy("season").agg(F.count("_w").alias("k"), F.count_if(F.col("_w").isNull()).alias("m"))
     t = e.join(o, "season", "left").agg(F.sum("window_days").alias("din"), F.sum(F.col("at_risk_days") - F.col("window_days")).alias("dout"), F.sum("k").alias("k"), F.sum("m").alias("m"))
     return rs.rate_ratio(t, "k", "din", "m", "dout")
 
@@ -327,7 +328,7 @@ def _(spark, sf):
 @query("quiet_day_contrast", "B21", f"""WITH {CAT_SQL}, nr AS (SELECT DISTINCT CAST(unnest(generate_series(start_date - 6, end_date + 6, INTERVAL 1 DAY)) AS DATE) AS date FROM cat), q AS (SELECT season, avg(weighted_mean) AS qm, count(*) AS n FROM dly WHERE date NOT IN (SELECT date FROM nr) AND weighted_mean IS NOT NULL GROUP BY 1 HAVING count(*) >= 5)
 SELECT c.event_id, c.start_date AS date, c.season, {R('d.weighted_mean')} AS onset_value, {R('qm')} AS quiet_mean, n AS quiet_days, {R('d.weighted_mean - qm')} AS contrast FROM cat c JOIN dly d ON d.date = c.start_date JOIN q ON q.season = c.season""")
 def _(spark, sf):
-    return rounded(rs.quiet_contrast(daily(spark, sf), primary(spark, sf), "weighted_mean", 6, 5), "onset_value", "quiet_mean", "contrast")
+    return rounded(rs.quiet_contrast(*daily_and_primary(spark, sf), "weighted_mean", 6, 5), "onset_value", "quiet_mean", "contrast")
 
 
 @query("minimum_detectable", "B22 B26", f"""WITH {CT_SQL}, ci AS (SELECT variable, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM dr GROUP BY 1), sd2 AS (SELECT variable, count(*) FILTER (WHERE g <> 'short') AS na, var_samp(value) FILTER (WHERE g <> 'short') AS va, count(*) FILTER (WHERE g = 'short') AS nb, var_samp(value) FILTER (WHERE g = 'short') AS vb, stddev_samp(value) AS s FROM lf GROUP BY 1)

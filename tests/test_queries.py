@@ -43,3 +43,13 @@ def test_plan_has_no_product(spark, name):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().explainString(mode)
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
+@pytest.mark.parametrize("name", ["at_risk_exposure", "rate_ratio_interval", "quiet_day_contrast", "station_participation"])
+def test_station_flags_are_made_once(spark, name, monkeypatch):
+    from hiemal.verification import q_events
+    made, flagged = [], q_events.flagged
+    monkeypatch.setattr(q_events, "flagged", lambda *a: made.append(1) or flagged(*a))
+    entry.queries()[name](spark, SF)
+    assert len(made) == 1
