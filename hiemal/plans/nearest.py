@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.geo import EARTH_KM, great_circle_km, sphere_xyz
+from ..session import stage_table
 
 
 def _cubes(df: DataFrame, side: float, suffix: str) -> DataFrame:
@@ -32,7 +33,8 @@ def nearest_k(targets: DataFrame, candidates: DataFrame, k: int, radius_km: floa
     """Rows (id, neighbour, distance_km, neighbour_rank); ties are broken by neighbour id.
 
     Both inputs have columns id, lat, lon. ``levels`` is chosen from the crowding of the
-    candidates when not given.
+    candidates when not given. The neighbours found at a level and the targets left for the next are staged: each level
+    reads the one before twice, so that a plan of all levels would work out the first ones 2 ** levels times.
     """
     chord = 2 * EARTH_KM * math.sin(min(radius_km / EARTH_KM, math.pi) / 2)
     # Points at one position tie on distance, so the k+1 smallest ids there are enough.
@@ -67,12 +69,13 @@ def nearest_k(targets: DataFrame, candidates: DataFrame, k: int, radius_km: floa
             near = near.filter(F.col("id") != F.col("neighbour"))
         top = (near.select("id", "neighbour", "distance_km")
                .withColumn("neighbour_rank", F.row_number().over(rank)).filter(F.col("neighbour_rank") <= k))
+        top = stage_table(top) if levels > 1 else top
         if last:
             parts.append(top)
         else:
             done = top.groupBy("id").count().filter(F.col("count") == k).select("id")
             parts.append(top.join(done, "id", "left_semi"))
-            open_targets = open_targets.join(done, "id", "left_anti")
+            open_targets = stage_table(open_targets.join(done, "id", "left_anti"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

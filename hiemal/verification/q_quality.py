@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import climatology as k, quality as qc
 from ..plans.nearest import nearest_k
+from ..session import stage_table
 from .q_climate import BASE, FIRST, LAST, SD_SQL, S365, moments_sql, series
 from .q_reconcile import RECONCILED_SQL, collapsed, reconciled
 from .registry import R, STATION_DAILY_SQL, STATION_XY_SQL, query, r6, station_daily, station_xy
@@ -187,7 +188,8 @@ sp AS (SELECT *, a IS NOT NULL AND n >= 2 AND coalesce(abs(res) >= 20 AND abs(re
 
 
 def spatial(spark, sf):
-    o = outliers(spark, sf)
+    # candidates and neighbours both read the outliers: the calendar behind them is made once
+    o = stage_table(outliers(spark, sf).select("station", "date", "tmin", "anomaly", "climatological_outlier"))
     cand = o.filter("climatological_outlier OR anomaly IS NULL").select("station", "date", "anomaly", F.col("tmin").alias("value"), F.lit("raw").alias("source"))
     return qc.spatial_metrics(cand, network(spark, sf), o.select("station", "date", "anomaly"), min_neighbours=2, min_scale=1.0, residual_limit=20.0, z_limit=2.0,
                               support_median=1.0, support_residual=22.0, support_share=0.5, cold_target=-1.0, cold_neighbour=-0.5)

@@ -97,3 +97,14 @@ def test_calendar_windows_of_any_rows(spark):
             assert abs(o.loo_threshold - np.quantile([v for v, _ in kept], 0.1, method="median_unbiased")) < 1e-9
         else:
             assert o.loo_threshold is None
+
+
+def test_nearest_levels_do_not_multiply_the_plan(spark):
+    rng = np.random.default_rng(9)
+    p = pd.DataFrame({"id": range(90), "lat": rng.uniform(20, 26, 90), "lon": rng.uniform(88, 92, 90)})
+    pts = spark.createDataFrame(p)
+    plan = lambda n: nearest.nearest_k(pts, pts, 3, 300.0, True, levels=n)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    one, two, six = plan(1), plan(2), plan(6)
+    assert six <= one + 6 * (two + one)
+    rows = lambda n: sorted((r.id, r.neighbour_rank, r.neighbour) for r in nearest.nearest_k(pts, pts, 3, 300.0, True, levels=n).collect())
+    assert rows(6) == rows(1)

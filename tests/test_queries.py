@@ -53,3 +53,10 @@ def test_station_flags_are_made_once(spark, name, monkeypatch):
     monkeypatch.setattr(q_events, "flagged", lambda *a: made.append(1) or flagged(*a))
     entry.queries()[name](spark, SF)
     assert len(made) == 1
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
+@pytest.mark.parametrize("name", ["spatial_consistency", "spatial_decisions"])
+def test_spatial_checks_read_the_outliers_once(spark, name):
+    """Candidates and neighbours read one staged table; the calendar isn't part of the plan any more."""
+    assert "MapInArrow" not in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
