@@ -1,6 +1,8 @@
 """Quantiles of a sorted array column under the three rules in use."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -33,6 +35,11 @@ def median(a: Column) -> Column:
                           + F.get(a, F.floor(n / 2).cast("int"))) / 2)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once. Spark doesn't share what a lambda repeats: an expression in one is worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mad(a: Column, centre: Column) -> Column:
     """Median absolute deviation of an array about ``centre``."""
-    return median(F.array_sort(F.transform(a, lambda x: F.abs(x - centre))))
+    return bound(centre, lambda c: bound(F.array_sort(F.transform(a, lambda x: F.abs(x - c))), median))

@@ -123,8 +123,8 @@ def network_residuals(monthly: DataFrame, min_others: int = 8, value: str = "mon
 
 def robust_scale(values: Column, floor: float) -> Column:
     """max(1.4826 MAD, floor) of an ascending array; null if empty."""
-    m = q.mad(values, q.median(values))
-    return F.when(m.isNotNull(), F.greatest(F.lit(1.4826) * m, F.lit(floor)))
+    deviation = q.bound(values, lambda v: q.mad(v, q.median(v)))
+    return q.bound(deviation, lambda m: F.when(m.isNotNull(), F.greatest(F.lit(1.4826) * m, F.lit(floor))))
 
 
 def series_scale(df: DataFrame, key: str, value: str, floor: float) -> DataFrame:

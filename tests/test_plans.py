@@ -108,3 +108,12 @@ def test_nearest_levels_do_not_multiply_the_plan(spark):
     assert six <= one + 6 * (two + one)
     rows = lambda n: sorted((r.id, r.neighbour_rank, r.neighbour) for r in nearest.nearest_k(pts, pts, 3, 300.0, True, levels=n).collect())
     assert rows(6) == rows(1)
+
+
+def test_robust_scale_works_its_array_out_once(spark):
+    from hiemal.operators import network as nw
+    c = nw.robust_scale(F.array_sort(F.concat("a", "b")), 0.1)
+    assert str(c).count("concat(") == 1
+    df = spark.createDataFrame([([3.0, 1.0], [8.0, 4.0, 100.0]), ([], []), (None, [1.0]), ([2.0], [2.0])], "a array<double>, b array<double>")
+    got = [r[0] for r in df.select(c).collect()]
+    assert abs(got[0] - 1.4826 * 3) < 1e-9 and got[1:] == [None, None, 0.1]
