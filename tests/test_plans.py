@@ -117,3 +117,17 @@ def test_robust_scale_works_its_array_out_once(spark):
     df = spark.createDataFrame([([3.0, 1.0], [8.0, 4.0, 100.0]), ([], []), (None, [1.0]), ([2.0], [2.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(c).collect()]
     assert abs(got[0] - 1.4826 * 3) < 1e-9 and got[1:] == [None, None, 0.1]
+
+
+def test_staging_frees_its_shuffle_files(spark):
+    from hiemal.session import stage_table
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = lambda: tracker.shuffleStatuses().size()
+    before = held()
+    assert stage_table(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stage_table(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert held() - before <= 1  # count() above is no staging
