@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from hiemal.operators import resample as rs
@@ -131,3 +132,21 @@ def test_staging_frees_its_shuffle_files(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert held() - before <= 1  # count() above is no staging
+
+
+def test_passing_tables_go(spark):
+    import os
+    from hiemal.session import passing_tables, stage_folder, stage_table
+    tables = f"{stage_folder(spark)}/tables"
+    os.makedirs(tables, exist_ok=True)
+    before = set(os.listdir(tables))
+    with passing_tables(spark) as keep:
+        with passing_tables(spark) as stay:
+            inner = stay(stage_table(spark.range(10)).where("id > 2"))
+        assert inner.count() == 7 and len(set(os.listdir(tables)) - before) == 1
+        out = keep(inner.where("id > 5"))
+    assert out.count() == 4 and len(set(os.listdir(tables)) - before) == 1
+    with pytest.raises(ZeroDivisionError), passing_tables(spark):
+        stage_table(spark.range(3))
+        1 / 0
+    assert len(set(os.listdir(tables)) - before) == 1
