@@ -1,6 +1,7 @@
 """SimHash, byte-level BPE, token files and repeated passages against brute force."""
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -406,6 +407,32 @@ def test_passages_with_changed_words(spark, length, changes):
     assert len(found) >= .9 * 200
 
 
+def crowded_fixture(spark):
+    """72 texts with a phrase of 42 words; the later 16 of 32 hold a passage of 52 words round it, one word of them changed, that one of the others holds."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    phrase = word(42)
+    tails = [word(9) for _ in range(16)]
+    rows = [(i, " ".join(word(30) + phrase + word(1) + (tails[i % 100] if i % 100 < 16 else word(9)) + word(30))) for i in [*range(16), *range(20, 60), *range(100, 116)]]
+    return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+
+
+def test_changed_words_round_a_phrase_of_many_documents(spark):
+    """Groups that stay crowded after the split: links that the first and the previous rows don't make."""
+    found = {r.doc_id for r in passages.repeated_passages(crowded_fixture(spark)).collect() if r.other_id == r.doc_id - 100 and r.stop_word - r.start_word >= 50}
+    assert found == set(range(100, 116))
+
+
+def test_dense_stretches():
+    rng = np.random.default_rng(5)
+    for part in (.3, .8, .95):
+        hit, want = rng.random(60) < part, np.zeros(60, bool)
+        for i, j in itertools.combinations(range(61), 2):
+            if j - i >= 12 and hit[i:j].sum() >= 8 / 9 * (j - i) - 1e-9:
+                want[i:j] = True
+        assert (passages.dense(hit, 12, 8 / 9) == want).all()
+
+
 def test_whole_copies_go(spark):
     rng = np.random.default_rng(9)
     t = " ".join(words(rng, 90))
