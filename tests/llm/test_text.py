@@ -423,6 +423,34 @@ def test_changed_words_round_a_phrase_of_many_documents(spark):
     assert found == set(range(100, 116))
 
 
+def test_open_words_beside_a_passage_of_many_documents(spark):
+    """A phrase beside a passage of 150 words, one word of it changed in each text: too far from it for a passage of any two texts. Passages that are known don't come again with it."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    phrase, passage = word(9), word(150)
+    texts = [phrase + word(9) + passage[:30 + i] + word(1) + passage[31 + i:] for i in range(70)]
+    found = passages.repeated_passages(spark.createDataFrame([doc(i, " ".join(t)) for i, t in enumerate(texts)], DOCS).repartition(3)).collect()
+    cover = {}
+    for r in found:
+        cover.setdefault(r.doc_id, set()).update(range(r.start_word, r.stop_word))
+    assert all(set(range(18, 168)) <= cover[i] for i in range(1, 70)) and len(found) == len({(r.doc_id, r.other_id) for r in found})
+
+
+def test_rare_places_meet_every_passage():
+    """A text that holds none of the places has no passage of 12 through a place asked for."""
+    rng, asked = np.random.default_rng(6), 0
+    for _ in range(150):
+        holders = rng.integers(1, 60, int(rng.integers(12, 40))) * 1
+        holders[rng.random(len(holders)) < .05] = 0
+        use = (rng.random(len(holders)) < .2) & (holders > 0)
+        rare = passages.rare_places(holders, use, 12, 8 / 9)
+        for _ in range(6):
+            hit = (holders > 0) & ~rare & (rng.random(len(holders)) < .97)
+            assert not (passages.dense(hit, 12, 8 / 9) & use & hit).any()
+        asked += bool(use.any() and rare.sum() < (holders > 0).sum())
+    assert asked > 100
+
+
 def test_dense_stretches():
     rng = np.random.default_rng(5)
     for part in (.3, .8, .95):
