@@ -70,7 +70,8 @@ def _near_names(asked: DataFrame, keys: DataFrame, gone: int, longest: int, leng
 
     index = (keys.filter(F.length("official_key") <= longest).select("official_key", F.explode(_remainders(F.col("official_key"), gone)).alias("_text"))
              .groupBy("_text", F.length("official_key").alias("_m")).agg(F.min("official_key").alias("key")))
-    hits = asked.filter(n <= longest).select("name_key", F.explode(_remainders(F.col("name_key"), gone)).alias("_text")).join(index, "_text")
+    hits = asked.filter(n <= longest).select("name_key", F.explode(_remainders(F.col("name_key"), gone)).alias("_text"))
+    hits = hits.join(index.hint("merge"), "_text")  # Spark sizes both sides as before their explodes and would broadcast one
     hits = hits.select("name_key", F.struct((-_score(F.length("_text"), n + F.col("_m"))).alias("loss"), "key").alias("_b"))
     found = asked.join(hits.groupBy("name_key").agg(F.min("_b").alias("_b")), "name_key", "left")
     bound = F.array_max(F.transform(F.array(*[F.lit(m) for m in lengths]), unseen))
@@ -146,7 +147,7 @@ def crosswalk(names: DataFrame, official: DataFrame, aliases: DataFrame) -> Data
     """
     off = official.select("official_key", "station")
     out = names.join(aliases, "name_key", "left").withColumn("official_key", F.coalesce("alias_target", "name_key"))
-    out = out.join(off, "official_key", "left")
+    out = out.join(off.hint("merge"), "official_key", "left")  # grows with the input, and compressed names are sized too low for a broadcast
     method = first_match([(F.col("station").isNull(), "unmatched"), (F.col("alias_target").isNotNull(), "manual_alias")],
                          "normalized_exact")
     return out.select(
