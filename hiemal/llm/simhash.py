@@ -130,7 +130,7 @@ def near_links(values: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
             keyed = rows.select("fingerprint", F.explode(below[F.col("mask")]).alias("mask"))
         keyed = keyed.withColumn("part", F.col("fingerprint").bitwiseAND(F.col("mask")))
         counts = keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        keyed = stage_table(keyed.join(counts, ["mask", "part"]))
+        keyed = stage_table(keyed.join(counts.hint("merge"), ["mask", "part"]))  # neither side may be broadcast: Spark sizes them as before the explode
         full = F.lit(level < LEVELS) & (F.col("n") > bucket)
         fit = keyed.where(~full).repartition("mask", "part").sortWithinPartitions("mask", "part", "fingerprint")
 
@@ -167,7 +167,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = stage_table(fingerprints(docs, id_col, text_col, words))
     nodes = stage_table(marks.groupBy("fingerprint").agg(F.min(id_col).alias("_first")))
     member = components(near_links(nodes, radius, bucket)).select(F.col("node").alias("fingerprint"), F.col("root").alias("_root"))
-    named = stage_table(nodes.join(member, "fingerprint", "left").withColumn("_root", F.coalesce("_root", "fingerprint")))
+    named = stage_table(nodes.join(member.hint("merge"), "fingerprint", "left").withColumn("_root", F.coalesce("_root", "fingerprint")))
     first = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = stage_table(salted_lookup(named, "_root", first, "fingerprint").select("fingerprint", "component_id"))
     out = salted_lookup(marks, "fingerprint", named, id_col)

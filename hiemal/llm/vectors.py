@@ -129,12 +129,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     key = ["label", "dim", "table", "code"]
     full = stage_table(spots.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # a bucket of n vectors has c = ceil(n / block) blocks; a vector of block i meets blocks 0..c-1: group (min, max) of both
-    hit = spots.join(full, key)
+    hit = spots.join(full.hint("merge"), key)  # neither side may be broadcast: Spark sizes them as before their explodes
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node", "table"), blocks).cast("int")
     hit = hit.select("node", F.xxhash64(*key).alias("bucket"), "table", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     hit = hit.select("node", "bucket", "table", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    packed = hit.join(coded.select("node", "copies", "x", "codes"), "node").select("bucket", "lo", "hi", "mine", "table", "node", "copies", "x", "codes")
+    packed = hit.join(coded.select("node", "copies", "x", "codes").hint("merge"), "node").select("bucket", "lo", "hi", "mine", "table", "node", "copies", "x", "codes")
     packed = packed.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "mine", "node")
 
     def run(batches):
