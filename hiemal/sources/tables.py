@@ -1,9 +1,14 @@
 """Columnar reads, typed sinks, inventories and checks of monthly grid tables."""
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import all_nan_to_null
+from ..session import stage_table
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
@@ -110,12 +115,70 @@ def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
             .select("path", "length", "modificationTime"))
 
 
-def file_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 manifest, one task per file; meant for result files, which are part files of
-    bounded size."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-            .select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("length").alias("bytes"),
-                    F.sha2("content", 256).alias("sha256")))
+#: Files above this many bytes are read in pieces: a cell can't hold 2 GB, and one cell holds a whole file in memory.
+WHOLE_FILE = 64 << 20
+
+
+def file_checksums(spark: SparkSession, path: str, glob: str = "*", whole: int = WHOLE_FILE) -> DataFrame:
+    """SHA-256 manifest, one task per file.
+
+    Files up to ``whole`` bytes are one cell each. Larger ones stream through their task as pieces between line feeds, whatever the
+    content, so memory is bounded by the longest piece.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    small = files.where(F.col("length") <= whole).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    longest = files.select("length").where(F.col("length") > whole).agg(F.max("length")).first()[0]
+    return small if longest is None else small.unionByName(_streamed_checksums(spark, path, glob, whole, longest))
+
+
+def _streamed_checksums(spark: SparkSession, path: str, glob: str, whole: int, longest: int) -> DataFrame:
+    """Checksums of the files over ``whole`` bytes; they are never split, and staged, as that is a setting of the session."""
+    pieces = spark.read.format("text").option("lineSep", "\n").option("pathGlobFilter", glob).load(path).where(F.col("_metadata.file_size") > whole)
+    pieces = pieces.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+
+    def run(batches):
+        now, size, seen, plain, marked = None, 0, 0, None, None
+
+        def done():
+            # the reader leaves out a mark at the start and doesn't tell whether a line feed ends the file: the size does
+            for ends in (b"", b"\n"):
+                for head, digest in ((0, plain), (3, marked)):
+                    if head + seen + len(ends) == size:
+                        digest.update(ends)
+                        name = now.rsplit("/", 1)[-1]
+                        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([digest.hexdigest()])], ["file", "bytes", "sha256"])
+            raise ValueError(f"{now}: {seen} bytes read of {size}")
+
+        for batch in batches:
+            names = pc.run_end_encode(batch.column(1))
+            start = 0
+            for name, stop in zip(names.values.to_pylist(), names.run_ends.to_pylist()):
+                part = batch.column(0).slice(start, stop - start)
+                text = b"\n".join(part.to_pylist())
+                if name != now:
+                    if now is not None:
+                        yield done()
+                    now, size, seen, plain, marked = name, batch.column(2)[start].as_py(), 0, hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")
+                else:
+                    plain.update(b"\n")
+                    marked.update(b"\n")
+                    seen += 1
+                plain.update(text)
+                marked.update(text)
+                seen += len(text)
+                start = stop
+        if now is not None:
+            yield done()
+
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:  # a file as long as a partition may be, and opening one costs as much: one file a task, from its start to its end
+            spark.conf.set(k, str(longest + 1))
+        return stage_table(pieces.mapInArrow(run, "file string, bytes bigint, sha256 string"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def merge_parts(parts: list[DataFrame], key: list[str], order: list[str] | None = None) -> DataFrame:

@@ -1,3 +1,6 @@
+import hashlib
+import os
+
 from pyspark.sql import functions as F, types as T
 
 from hiemal.sources import delimited, tables
@@ -28,3 +31,18 @@ def test_partition_pruning_join(spark, tmp_path):
     want = spark.createDataFrame([("2001-03-05",), ("2001-03-06",)], "date string").select(F.col("date").cast("date").alias("date"))
     out = tables.rows_for_dates(spark.read.parquet(str(tmp_path / "g")), want)
     assert out.count() == 20
+
+
+def test_checksums_of_large_files_are_streamed(spark, tmp_path):
+    random = os.urandom(300_000)
+    content = {"a": random, "b": random + b"\n", "c": b"\xef\xbb\xbf" + random, "d": b"\xef\xbb\xbf\r\n" + random + b"\n\n", "e": b"\n" * 5000, "f": b"x" * 200_000, "h": b"small\n", "i": b"\x00" * 9000 + b"\r"}
+    for name, data in content.items():
+        (tmp_path / f"{name}.parquet").write_bytes(data)
+    want = sorted((f"{n}.parquet", len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        for whole in (1000, 0, 1 << 30):
+            assert sorted(map(tuple, tables.file_checksums(spark, str(tmp_path), "*.parquet", whole).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
