@@ -471,3 +471,17 @@ def test_whole_copies_go(spark):
 
 def test_cut_words():
     assert passages.cut_words("a b  c\nd e", [(1, 3)]) == "a d e" and passages.cut_words("a b c", [(0, 2), (1, 3)]) == "" and passages.cut_words("a b c", [(0, 1), (2, 3)]) == "b "
+
+
+def test_words_between_are_slices(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", "É", "c", " ", "  ", "\t", "\n\x0b", "\x0c\r", "\u00a0", "\x1c"], int(rng.integers(0, 40))))
+        rows.append((text, int(rng.integers(0, 12)), int(rng.integers(12, 24))))
+    df = spark.createDataFrame(rows, "t string, s int, e int")
+    got = df.select("t", "s", "e", passages.words_between(passages.spaced(df.t), df.s, df.e).alias("part")).collect()
+    assert [r.part.encode().split() for r in got] == [r.t.encode().split()[r.s:r.e] for r in got]
+    plan = passages.verified(spark.createDataFrame([(1, 0, 0, 9, 0, 9)], "a bigint, b bigint, la int, ra int, lb int, rb int"),
+                             spark.createDataFrame([(0, "x"), (1, "y")], "_id bigint, _text string"), 46, .8)._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan  # whole texts aren't cut into words for each pair
